@@ -148,7 +148,7 @@ def summary(ledger: DataFrame, totals: DataFrame, method: str = BASIC) -> DataFr
         .otherwise(unlimited).alias("remaining_budget"),
         F.col("method").alias("composition_method"),
         "query_count",
-        F.concat(F.format_number(F.col("utilization") * 100, "0.0"), F.lit("%")).alias("budget_utilization"),
+        F.format_string("%.1f%%", F.col("utilization") * 100).alias("budget_utilization"),
         F.col("exceeded").alias("is_exceeded"),
     )
 

@@ -114,17 +114,19 @@ _REQUESTS = "requests AS (SELECT * REPLACE (epsilon + 0.0001 AS epsilon), row_nu
 
 QUERIES["ledger_admission"] = lambda spark, sf: ledger.admit(
     requests(spark, sf), budgets(spark, sf), "basic").select("query_id", "dataset", "admitted")
-SQL["ledger_admission"] = f"""WITH RECURSIVE {ENTRIES}, {BUDGETS}, {_REQUESTS},
-fold(dataset, rn, query_id, e, d, admitted) AS (
- SELECT dataset, 0::BIGINT, NULL::VARCHAR, 0.0::DOUBLE, NULL::DOUBLE, NULL::BOOLEAN FROM budgets
- UNION ALL
- SELECT f.dataset, q.rn, q.query_id,
-  CASE WHEN ok THEN f.e + q.epsilon ELSE f.e END,
-  CASE WHEN ok AND q.delta IS NOT NULL THEN coalesce(f.d, 0) + q.delta ELSE f.d END, ok
- FROM fold f JOIN requests q ON q.dataset = f.dataset AND q.rn = f.rn + 1 JOIN budgets b ON b.dataset = f.dataset,
- LATERAL (SELECT b.total_epsilon IS NULL OR (f.e + q.epsilon <= b.total_epsilon AND
-  ((f.d IS NULL AND q.delta IS NULL) OR coalesce(coalesce(f.d, 0) + coalesce(q.delta, 0) <= b.total_delta, false))) AS ok))
-SELECT query_id, dataset, admitted FROM fold WHERE rn > 0"""
+SQL["ledger_admission"] = f"""WITH {ENTRIES}, {BUDGETS}, {_REQUESTS},
+queues AS (SELECT dataset, total_epsilon, total_delta,
+  list({{'e': epsilon, 'd': delta, 'ids': [query_id]}} ORDER BY rn) AS queue
+  FROM requests JOIN budgets USING (dataset) WHERE total_epsilon IS NOT NULL GROUP BY dataset, total_epsilon, total_delta),
+folded AS (SELECT dataset, list_reduce(queue, lambda s, q:
+  CASE WHEN s.e + q.e <= total_epsilon AND ((s.d IS NULL AND q.d IS NULL)
+    OR coalesce(coalesce(s.d, 0) + coalesce(q.d, 0) <= total_delta, false))
+  THEN {{'e': s.e + q.e, 'd': CASE WHEN s.d IS NULL AND q.d IS NULL THEN NULL ELSE coalesce(s.d, 0) + coalesce(q.d, 0) END,
+         'ids': list_concat(s.ids, q.ids)}}
+  ELSE s END, {{'e': 0.0::DOUBLE, 'd': NULL::DOUBLE, 'ids': []::VARCHAR[]}}) AS state FROM queues),
+taken AS (SELECT unnest(state.ids) AS query_id FROM folded)
+SELECT r.query_id, r.dataset, total_epsilon IS NULL OR t.query_id IS NOT NULL AS admitted
+FROM requests r JOIN budgets USING (dataset) LEFT JOIN taken t ON t.query_id = r.query_id"""
 
 QUERIES["ledger_admission_parallel"] = lambda spark, sf: ledger.admit(
     requests(spark, sf), budgets(spark, sf), "parallel").select("query_id", "dataset", "admitted")
