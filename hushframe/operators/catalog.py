@@ -89,7 +89,7 @@ def classify(catalog: DataFrame, rules: NameRules = NameRules(), name: str = "co
             F.get(plan_array([d for _, _, d in listed], "string"), rule),
             F.lit("No pattern match - using default"),
         ).alias("description"),
-        F.when(rule.isNull(), 0.5).when(norm.rlike(text), F.least(F.lit(0.9), close))
+        F.when(rule.isNull(), 0.5).when(F.rlike(norm, text), F.least(F.lit(0.9), close))
         .otherwise(0.7).alias("confidence"),
     ))
     override = F.lit(None).cast("struct<level:string,reason:string>")
@@ -201,6 +201,6 @@ def display(classified: DataFrame) -> DataFrame:
         "column",
         F.upper("level").alias("sensitivity"),
         F.concat(F.round(F.col("confidence") * 100, 0).cast("int").cast("string"), F.lit("%")).alias("confidence"),
-        F.coalesce("description", F.lit("")).alias("description"),
+        F.coalesce("description", F.lit("-")).alias("description"),
         F.when(F.col("is_override"), "Yes").otherwise("No").alias("override"),
     )
