@@ -107,7 +107,8 @@ def histogram_bounds(cells: DataFrame, by: Sequence[str] = ("column",)) -> DataF
 
 def bin_of(value: Column, low: Column, high: Column, bins: Column) -> Column:
     """1-based bin; the last bin is closed on the right."""
-    return F.least(F.width_bucket(value, low, high, bins), bins)
+    # least alone would put a null into the last bin
+    return F.when(value.isNotNull(), F.least(F.width_bucket(value, low, high, bins), bins))
 
 
 def histogram(

@@ -216,7 +216,8 @@ def report_configuration(release: Release) -> DataFrame:
     dash = F.lit("—")
     return release.summary().select(
         "column", mode.alias("mode"),
-        F.coalesce(F.format_string("%.2f", F.col("epsilon")), dash).alias("epsilon"),
+        F.when(F.col("epsilon").isNotNull(), F.format_string("%.2f", F.col("epsilon")))
+        .otherwise(dash).alias("epsilon"),
         F.coalesce("mechanism", dash).alias("mechanism"),
     )
 

@@ -28,21 +28,26 @@ def local_session(cpus: int = 8, name: str = "hushframe", **extra: str) -> Spark
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A session without that setting (tests) gets a folder of its own; on a
+    A local session without that setting gets a folder of its own; on a
     cluster that would be a machine-local path, so it is refused there.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="hushframe-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: it survives the loss of any executor."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="hushframe-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint(eager=True)
