@@ -211,7 +211,7 @@ def _kendall_pair(df: DataFrame, a: str, b: str) -> DataFrame:
             F.sum(F.when(F.col("one") == 0, F.col("w")).otherwise(0)).alias("zeros"),
         )
     )
-    places = into_ranges(sides["x"], ["column"], "value").select(F.col("value").alias("x"), "_range", "n")
+    places = into_ranges(sides["x"], ["column"], "value", ["n", "one"]).select(F.col("value").alias("x"), "_range")
     borders = places.groupBy("_range").agg(F.min("x").alias("first"))
     edges = sorted(r["first"] for r in borders.collect())
     in_range = _range_of(F.col("x"), edges, most_ranges(df))

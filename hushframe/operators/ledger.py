@@ -13,8 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from hushframe.functions.search import count_where_prefix, plan_array
+from hushframe.operators.ordered import most_ranges
 from hushframe.operators.protect import PROTECT, Release
-from hushframe.session import cut_lineage
+from hushframe.session import materialize
 
 BASIC, ADVANCED, PARALLEL = "basic", "advanced", "parallel"
 METHODS = (BASIC, ADVANCED, PARALLEL)
@@ -185,120 +187,206 @@ def can_afford(
     )
 
 
-_STATE = "struct<k:bigint,se:double,me:double,sd:double,md:double,taken:array<string>>"
 CHUNK = 2_000
+SLACK = 1e-9
+_SUMS = ("k", "se", "me", "sd", "md")
 
 
 def admit(
     requests: DataFrame,
     totals: DataFrame,
     method: str = BASIC,
-    order: Sequence[str] = ("ts", "query_id"),
     delta_prime: float = DELTA_PRIME,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Requests in order, each admitted when the composed cost of the admitted
-    ones and itself fits; refused ones cost nothing. Adds ``admitted``.
+    """Requests in the order of (ts, query_id), each admitted when the composed
+    cost of the admitted ones and itself fits; refused ones cost nothing. Adds
+    ``admitted``. Datasets without a total admit all.
 
     Every decision depends on all earlier ones, yet no dataset is gathered in
-    one task: a round folds the next ``chunk`` requests of every dataset that
-    may still fit. Composed epsilon never falls, so a request larger than
-    what is left is refused for good and drops out; a budget allows only so
-    many admissions, hence few rounds. Datasets without a total admit all.
+    one task. A round first admits, by distributed running sums, everything
+    before the first moment the budget could not hold, then folds the next
+    ``chunk`` requests one by one. Composed epsilon never falls, so a request
+    larger than what is left is refused for good and drops out of the next
+    round. What a round leaves behind is a few numbers per dataset.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown composition {method}, use one of {METHODS}")
+    limits = totals.where("total_epsilon is not null").select("dataset", "total_epsilon", "total_delta")
     columns = requests.columns
-    limited = requests.join(totals.where("total_epsilon is not null"), "dataset")
     if method == PARALLEL:
         # the largest admitted cost fits by itself, so order does not matter
-        accepted = limited.where(
-            fits(F.col("epsilon"), F.col("delta"), F.col("total_epsilon"), F.col("total_delta"))
-        ).select("query_id")
-        return _flag(requests, totals, accepted, columns)
-
-    spark = requests.sparkSession
-    place = F.struct(*order)
-    base = limited.select("dataset", "query_id", "epsilon", "delta", "total_epsilon", "total_delta",
-                          place.alias("place"))
-    place_type = base.schema["place"].dataType.simpleString()
-    states = cut_lineage(totals.where("total_epsilon is not null").select(
-        "dataset", "total_epsilon", "total_delta",
-        F.lit(None).cast(place_type).alias("done"),
-        F.from_json(F.lit('{"k":0,"se":0.0,"me":0.0,"sd":null,"md":null,"taken":[]}'), _STATE).alias("state"),
-    ))
-    accepted = None
+        ok = fits(F.col("epsilon"), F.col("delta"), F.col("total_epsilon"), F.col("total_delta"))
+        return requests.join(limits, "dataset", "left").withColumn(
+            "admitted", F.col("total_epsilon").isNull() | ok
+        ).select(*columns, "admitted")
+
+    queue = requests.join(limits.select("dataset"), "dataset", "left_semi").select(
+        "dataset", "query_id", "epsilon", "delta", "ts"
+    )
+    first_span = "array<struct<after:struct<ts:{t},query_id:string>,until:{t},limit:double>>".format(
+        t=queue.schema["ts"].dataType.simpleString()
+    )
+    none = F.lit(None).cast("double")
+    states = materialize(limits.withColumns({
+        "k": F.lit(0).cast("bigint"), "se": F.lit(0.0), "me": F.lit(0.0), "sd": none, "md": none,
+        "done": F.lit(None).cast(f"struct<ts:{queue.schema['ts'].dataType.simpleString()},query_id:string>"),
+        "spans": F.array().cast(first_span),
+    }))
+    taken, finished = None, None
     while True:
-        chunk_rows = _next_chunk(base, states, method, delta_prime, chunk)
-        folded = (
-            chunk_rows.groupBy("dataset")
-            .agg(F.sort_array(F.collect_list(
-                F.struct("place", "query_id", "epsilon", "delta")
-            )).alias("queue"))
-            .join(states, "dataset")
-            .select(
-                "dataset", "total_epsilon", "total_delta",
-                F.element_at("queue", -1)["place"].alias("done"),
-                F.aggregate(
-                    "queue",
-                    F.col("state").withField("taken", F.array().cast("array<string>")),
-                    lambda s, q: _step(s, q, method, delta_prime),
-                ).alias("state"),
-            )
-        )
-        folded = cut_lineage(folded)
-        taken = folded.select(F.explode("state.taken").alias("query_id"))
-        accepted = taken if accepted is None else accepted.union(taken)
-        if folded.isEmpty():
+        waiting = _waiting(queue, states, method, delta_prime)
+        sizes = waiting.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        if most == 0:
             break
-        states = folded
-    return _flag(requests, totals, accepted, columns)
+        if most > chunk:
+            states = materialize(_admit_in_bulk(waiting, states, method, delta_prime))
+            waiting = _waiting(queue, states, method, delta_prime)
+        folded = materialize(_fold(waiting, states, method, delta_prime, chunk))
+        found = folded.select(F.explode("taken").alias("query_id"))
+        taken = found if taken is None else taken.unionByName(found)
+        states = folded.drop("taken")
+    place = F.struct("ts", "query_id")
+    spans = states.select("dataset", "spans")
+    in_span = F.exists(
+        "spans",
+        lambda s: (s["after"].isNull() | (place > s["after"])) & (F.col("ts") < s["until"])
+        & (F.col("epsilon") <= s["limit"]),
+    )
+    marked = requests.join(spans, "dataset", "left")
+    if taken is None:
+        accepted = in_span
+    else:
+        marked = marked.join(taken.withColumn("_taken", F.lit(True)), "query_id", "left")
+        accepted = in_span | F.col("_taken").isNotNull()
+    return marked.withColumn("admitted", F.col("spans").isNull() | accepted).select(*columns, "admitted")
+
+
+def _left(method: str, delta_prime: float) -> Column:
+    """Epsilon a dataset may still spend."""
+    spent = F.col("se")
+    if method == ADVANCED:
+        spent = F.least(spent, advanced_epsilon(F.col("k"), F.col("me"), delta_prime))
+    return F.col("total_epsilon") - spent
+
+
+def _waiting(queue: DataFrame, states: DataFrame, method: str, delta_prime: float) -> DataFrame:
+    """Undecided requests that may still fit, with what was left for them."""
+    left = _left(method, delta_prime) + SLACK
+    if method == ADVANCED:
+        # one more query may cost less than its own epsilon
+        left = F.when(left >= 0, F.lit(float("inf"))).otherwise(F.lit(-1.0))
+    place = F.struct("ts", "query_id")
+    return (
+        queue.join(states.select("dataset", "done", left.alias("limit")), "dataset")
+        .where((F.col("done").isNull() | (place > F.col("done"))) & (F.col("epsilon") <= F.col("limit")))
+    )
 
 
-def _next_chunk(base: DataFrame, states: DataFrame, method: str, delta_prime: float, chunk: int) -> DataFrame:
-    s = F.col("state")
-    left = F.col("total_epsilon") - (
-        s["se"] if method == BASIC
-        else F.least(s["se"], advanced_epsilon(s["k"], s["me"], delta_prime))
+def _admit_in_bulk(waiting: DataFrame, states: DataFrame, method: str, delta_prime: float) -> DataFrame:
+    """States after admitting, per dataset, all requests before the first
+    moment at which the running cost would not fit."""
+    moments = waiting.groupBy("dataset", "ts").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("epsilon").alias("se"), F.max("epsilon").alias("me"),
+        F.sum("delta").alias("sd"), F.max("delta").alias("md"),
     )
-    # one unit in the last place of slack: the fold itself decides exactly
-    slack = F.lit(1e-9)
-    waiting = (
-        base.drop("total_epsilon", "total_delta")
-        .join(states.select("dataset", "done", left.alias("_left")), "dataset")
-        .where((F.col("done").isNull() | (F.col("place") > F.col("done"))))
+    # time ranges shared by all datasets; the borders only balance the work
+    most = most_ranges(waiting)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    borders = moments.agg(F.approx_percentile(micros, [i / most for i in range(1, most)], 4 * most)).first()[0]
+    borders = sorted(set(borders or []))
+    ranged = moments.withColumn("_range", F.lit(0) if not borders else count_where_prefix(
+        plan_array(borders, "bigint"), lambda b: b < micros, most
+    ))
+    merge = {"k": F.sum, "se": F.sum, "me": F.max, "sd": F.sum, "md": F.max}
+    earlier = W.partitionBy("dataset").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    parts = ranged.groupBy("dataset", "_range").agg(*[f(c).alias(c) for c, f in merge.items()])
+    offsets = parts.select(
+        "dataset", "_range", *[f(c).over(earlier).alias(f"_{c}") for c, f in merge.items()]
     )
-    if method == BASIC:
-        waiting = waiting.where(F.col("epsilon") <= F.col("_left") + slack)
-    else:
-        waiting = waiting.where(F.col("_left") + slack >= 0)
-    line = W.partitionBy("dataset").orderBy("place")
-    return waiting.withColumn("_line", F.row_number().over(line)).where(F.col("_line") <= chunk)
-
-
-def _step(state: Column, query: Column, method: str, delta_prime: float) -> Column:
-    eps, delta = query["epsilon"], query["delta"]
-    after = {
-        "k": state["k"] + 1,
-        "se": state["se"] + eps,
-        "me": F.greatest(state["me"], eps),
-        "sd": add_budgets(eps, state["sd"], eps, delta)[1],
-        "md": F.greatest(state["md"], delta),
-    }
-    cost, cost_delta = _composed(
-        F.lit(method), after["k"], after["se"], after["me"], after["sd"], after["md"], delta_prime
+    inside = W.partitionBy("dataset", "_range").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    running = ranged.select(
+        "dataset", "_range", "ts", *[f(c).over(inside).alias(c) for c, f in merge.items()]
+    ).join(offsets, ["dataset", "_range"])
+
+    def reached(name: str) -> Column:
+        """The state's sum, the earlier ranges and this range up to here."""
+        parts = [F.col(f"now_{name}"), F.col(f"_{name}"), F.col(name)]
+        if merge[name] is F.max:
+            return F.greatest(*parts)
+        total = F.coalesce(parts[0], F.lit(0)) + F.coalesce(parts[1], F.lit(0)) + F.coalesce(parts[2], F.lit(0))
+        known = parts[0].isNotNull() | parts[1].isNotNull() | parts[2].isNotNull()
+        return F.when(known, total)
+
+    now = states.select("dataset", "total_epsilon", "total_delta", *[F.col(c).alias(f"now_{c}") for c in _SUMS])
+    sums = running.join(now, "dataset").select(
+        "dataset", "ts", "total_epsilon", "total_delta", *[reached(c).alias(c) for c in _SUMS]
+    )
+    epsilon, delta = _composed(F.lit(method), *[F.col(c) for c in _SUMS], delta_prime)
+    # ties with the total are left to the fold, which adds in order
+    safe = fits(epsilon + SLACK, delta, F.col("total_epsilon"), F.col("total_delta"))
+    judged = sums.withColumn("_safe", safe)
+    stops = judged.groupBy("dataset").agg(F.min(F.when(~F.col("_safe"), F.col("ts"))).alias("_stop"), F.max("ts").alias("_last"))
+    reached_sums = (
+        judged.join(stops, "dataset").where(F.col("_stop").isNull() | (F.col("ts") < F.col("_stop")))
+        .groupBy("dataset").agg(F.max_by(F.struct(*_SUMS), "ts").alias("_new"), F.max("ts").alias("_until"))
+    )
+    limit = _left(method, delta_prime) + SLACK
+    if method == ADVANCED:
+        limit = F.lit(float("inf"))
+    joined = states.withColumn("_limit", limit).join(reached_sums, "dataset", "left")
+    moved = F.col("_new").isNotNull()
+    # moments are admitted whole: the span ends just after the last of them
+    after = F.col("_until") + F.expr("INTERVAL 1 MICROSECOND")
+    span = F.struct(F.col("done").alias("after"), after.alias("until"), F.col("_limit").alias("limit"))
+    span_type = states.schema["spans"].dataType.simpleString()
+    return joined.select(
+        "dataset", "total_epsilon", "total_delta",
+        *[F.when(moved, F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in _SUMS],
+        F.when(moved, F.struct(after.alias("ts"), F.lit("").alias("query_id"))).otherwise(F.col("done")).alias("done"),
+        F.when(moved, F.concat("spans", F.array(span).cast(span_type))).otherwise(F.col("spans")).alias("spans"),
     )
-    ok = fits(cost, cost_delta, F.col("total_epsilon"), F.col("total_delta"))
-    taken = F.concat(state["taken"], F.array(query["query_id"]))
-    moved = F.struct(*[v.alias(k) for k, v in after.items()], taken.alias("taken")).cast(_STATE)
-    return F.when(ok, moved).otherwise(state)
 
 
-def _flag(requests: DataFrame, totals: DataFrame, accepted: DataFrame, columns: list[str]) -> DataFrame:
-    limited = totals.where("total_epsilon is not null").select("dataset", F.lit(True).alias("_limited"))
-    return (
-        requests.join(limited, "dataset", "left")
-        .join(accepted.withColumn("_accepted", F.lit(True)), "query_id", "left")
-        .withColumn("admitted", F.col("_limited").isNull() | F.col("_accepted").isNotNull())
-        .select(*columns, "admitted")
+def _fold(waiting: DataFrame, states: DataFrame, method: str, delta_prime: float, chunk: int) -> DataFrame:
+    """States after deciding the next ``chunk`` requests of every dataset one
+    by one, with the ids ``taken``."""
+    line = W.partitionBy("dataset").orderBy("ts", "query_id")
+    nearest = waiting.withColumn("_line", F.row_number().over(line)).where(F.col("_line") <= chunk)
+    queues = nearest.groupBy("dataset").agg(
+        F.sort_array(F.collect_list(F.struct("ts", "query_id", "epsilon", "delta"))).alias("queue")
+    )
+    start = F.struct(*_SUMS, F.array().cast("array<string>").alias("taken"))
+    kind = "struct<k:bigint,se:double,me:double,sd:double,md:double,taken:array<string>>"
+
+    def step(state: Column, query: Column) -> Column:
+        eps, delta = query["epsilon"], query["delta"]
+        after = {
+            "k": state["k"] + 1,
+            "se": state["se"] + eps,
+            "me": F.greatest(state["me"], eps),
+            "sd": add_budgets(eps, state["sd"], eps, delta)[1],
+            "md": F.greatest(state["md"], delta),
+        }
+        cost, cost_delta = _composed(F.lit(method), *after.values(), delta_prime)
+        ok = fits(cost, cost_delta, F.col("total_epsilon"), F.col("total_delta"))
+        taken = F.concat(state["taken"], F.array(query["query_id"]))
+        moved = F.struct(*[v.alias(c) for c, v in after.items()], taken.alias("taken")).cast(kind)
+        return F.when(ok, moved).otherwise(state)
+
+    last = F.element_at("queue", -1)
+    decided = states.join(queues, "dataset", "left").withColumn(
+        "_end", F.when(F.col("queue").isNotNull(), F.aggregate("queue", start.cast(kind), step))
+    )
+    moved = F.col("_end").isNotNull()
+    return decided.select(
+        "dataset", "total_epsilon", "total_delta",
+        *[F.when(moved, F.col("_end")[c]).otherwise(F.col(c)).alias(c) for c in _SUMS],
+        F.when(moved, F.struct(last["ts"].alias("ts"), last["query_id"].alias("query_id")))
+        .otherwise(F.col("done")).alias("done"),
+        "spans",
+        F.coalesce(F.col("_end")["taken"], F.array().cast("array<string>")).alias("taken"),
     )
 
 

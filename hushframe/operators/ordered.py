@@ -52,20 +52,27 @@ def most_ranges(df: DataFrame) -> int:
 
 
 def range_borders(
-    counts: DataFrame, by: Sequence[str], value: str, per_range: int, max_ranges: int
+    counts: DataFrame, by: Sequence[str], value: str, weights: Sequence[str], per_range: int
 ) -> DataFrame:
-    """by -> borders: as many ranges as the number of values asks for."""
-    shares = [i / max_ranges for i in range(1, max_ranges)]
+    """by -> borders (as many as the number of values asks for) and the total
+    of each weight.
+
+    Summing the weights here is no extra work, and it lets this branch read
+    the same shuffled value counts as the branch that is cut into ranges.
+    """
+    most = most_ranges(counts)
+    shares = [i / most for i in range(1, most)]
     # the sketch sees one value in SKETCH_SHARE: enough to balance the ranges,
     # and the borders have no say in the result
     sketched = F.when(F.pmod(F.xxhash64(value), F.lit(SKETCH_SHARE)) == 0, F.col(value).cast("double"))
-    ranges = F.least(F.ceil(F.col("_values") / per_range), F.lit(max_ranges))
-    stride = F.greatest(F.floor(F.lit(max_ranges) / ranges), F.lit(1))
+    ranges = F.least(F.ceil(F.col("_values") / per_range), F.lit(most))
+    stride = F.greatest(F.floor(F.lit(most) / ranges), F.lit(1))
     return (
         counts.groupBy(*by)
         .agg(
             F.count(F.lit(1)).alias("_values"),
-            F.approx_percentile(sketched, shares, 2 * max_ranges).alias("_all"),
+            F.approx_percentile(sketched, shares, 2 * most).alias("_all"),
+            *[F.sum(w).alias(f"{w}_total") for w in weights],
         )
         .select(
             *by,
@@ -74,6 +81,7 @@ def range_borders(
                 F.array_distinct(F.filter("_all", lambda x, i: (i + 1) % stride == 0))
             )
             .alias("_borders"),
+            *[f"{w}_total" for w in weights],
         )
     )
 
@@ -82,15 +90,16 @@ def into_ranges(
     counts: DataFrame,
     by: Sequence[str],
     value: str,
+    weights: Sequence[str],
     per_range: int = VALUES_PER_RANGE,
 ) -> DataFrame:
-    """Adds ``_range``. ``by`` must name few groups (columns of a table): the
-    broadcast side holds one row of at most ``max_ranges`` numbers per group."""
-    max_ranges = most_ranges(counts)
-    borders = range_borders(counts, by, value, per_range, max_ranges)
+    """Adds ``_range`` and the totals of the weights. ``by`` must name few
+    groups (columns of a table): the broadcast side holds one row of at most
+    ``most_ranges`` numbers per group."""
+    borders = range_borders(counts, by, value, weights, per_range)
     joined = counts.join(F.broadcast(borders), list(by), "left")
     target = F.col(value).cast("double")
-    found = count_where_prefix(F.col("_borders"), lambda b: b < target, max_ranges)
+    found = count_where_prefix(F.col("_borders"), lambda b: b < target, most_ranges(counts))
     return joined.withColumn("_range", F.coalesce(found, F.lit(0))).drop("_borders")
 
 
@@ -104,9 +113,8 @@ def cumulate(
     """For distinct values: ``<w>_before`` (sum over smaller values),
     ``<w>_total`` and ``next_value`` in each ``by`` group."""
     by = list(by)
-    ranged = into_ranges(counts, by, value, per_range)
+    ranged = into_ranges(counts, by, value, weights, per_range)
     earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*by)
     following = W.partitionBy(*by).orderBy("_range")
     # at most most_ranges() rows a group
     offsets = (
@@ -120,21 +128,21 @@ def cumulate(
             "_range",
             F.lead("_first").over(following).alias("_next_first"),
             *[F.coalesce(F.sum(f"_{w}").over(earlier), F.lit(0)).alias(f"_{w}_offset") for w in weights],
-            *[F.sum(f"_{w}").over(whole).alias(f"{w}_total") for w in weights],
         )
     )
     inside = W.partitionBy(*by, "_range").orderBy(value)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
     return (
-        ranged.join(F.broadcast(offsets), [*by, "_range"])
+        ranged.withColumns({
+            "_lead": F.lead(value).over(inside),
+            **{f"_{w}_near": F.coalesce(F.sum(w).over(before), F.lit(0)) for w in weights},
+        })
+        .join(F.broadcast(offsets), [*by, "_range"])
         .withColumns({
-            "next_value": F.coalesce(F.lead(value).over(inside), F.col("_next_first")),
-            **{
-                f"{w}_before": F.col(f"_{w}_offset") + F.coalesce(F.sum(w).over(before), F.lit(0))
-                for w in weights
-            },
+            "next_value": F.coalesce("_lead", "_next_first"),
+            **{f"{w}_before": F.col(f"_{w}_offset") + F.col(f"_{w}_near") for w in weights},
         })
-        .drop("_range", "_next_first", *[f"_{w}_offset" for w in weights])
+        .drop("_range", "_lead", "_next_first", *[f"_{w}_{x}" for w in weights for x in ("offset", "near")])
     )
 
 

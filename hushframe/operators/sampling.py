@@ -23,6 +23,7 @@ from hushframe.functions import keyed
 from hushframe.functions.noise import gumbel
 from hushframe.functions.search import count_where_prefix, plan_array
 from hushframe.operators.ordered import value_counts
+from hushframe.session import materialize
 
 HEAD = 10_000
 LEVEL_SLICES = 4096
@@ -101,7 +102,8 @@ def category_laws(
     and the levels whose probability is not zero in a double.
     """
     spark = df.sparkSession
-    counts = category_counts(df, list(columns))
+    # read several times below and again by the draws: one pass over the table
+    counts = materialize(category_counts(df, list(columns)))
     rates = spark.createDataFrame(
         [(c, eps / (2 * sens)) for c, (eps, sens) in columns.items()], "column string, rate double"
     )

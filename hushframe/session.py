@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +43,12 @@ def scratch_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="hushframe-"))
-    return context.getCheckpointDir()
+    return context.getCheckpointDir().rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: it survives the loss of any executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder and read back: later plans
+    start from files that survive the loss of any executor."""
+    path = f"{scratch_folder(df.sparkSession)}/hushframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
