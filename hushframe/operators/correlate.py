@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hushframe.functions.search import count_where_prefix, plan_array
-from hushframe.operators.ordered import cumulate, into_ranges, most_ranges, value_counts
+from hushframe.operators.ordered import cumulate, into_ranges, most_ranges
 from hushframe.operators.protect import present
+from hushframe.session import materialize
 
 # above this many pairs one aggregate per pair makes the plan too wide
 PLAIN_PAIRS = 66
@@ -90,55 +91,71 @@ def _pearson_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def average_ranks(counts: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """Distinct values with the mean of the 1-based positions they occupy."""
     return cumulate(counts, by, value, ["n"]).select(
-        *by, value, "n", "n_total", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank")
+        *by, value, "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank")
     )
 
 
+def hot_values(counts: DataFrame, value: str) -> list:
+    """The at most HOT_SHARE values with more than 1/HOT_SHARE of the rows."""
+    total = counts.agg(F.sum("n")).scalar()
+    return [r[0] for r in counts.where(F.col("n") * HOT_SHARE > total).select(value).collect()]
+
+
 def lookup(
-    rows: DataFrame, value: str, table: DataFrame, result: str, spread: Column
+    rows: DataFrame, value: str, table: DataFrame, result: str, hot: list, spread: Column
 ) -> DataFrame:
-    """``rows`` with ``result`` of the matching row of ``table`` (value, n,
-    n_total, result), unmatched kept.
+    """``rows`` with ``result`` of the matching row of ``table`` (value, result).
 
-    The few values that hold a large share of the rows are read once and sit
-    in the plan; their rows get join keys that match nothing and spread over
-    all tasks, so that no task receives a hot value.
+    Rows with a hot value find it in a broadcast table of the hot values. In
+    the shuffled join they carry keys that match nothing and spread over all
+    tasks, so that no task receives a hot value.
     """
-    hot = table.where(F.col("n") * HOT_SHARE > F.col("n_total")).select(value, result).collect()
     if not hot:
-        return rows.join(table.select(value, result), value, "left")
-    found = F.create_map(*[x for r in hot for x in (F.lit(r[value]), F.lit(r[result]))])[F.col(value)]
+        return rows.join(table.select(value, result), value)
+    is_hot = F.col(value).isin(hot)
     off = F.lit(0).cast("bigint")
-    keyed = rows.withColumns({
-        "_hot": found,
-        "_slot": F.when(F.col(value).isNull() | found.isNotNull(), 1 + F.pmod(spread, F.lit(1 << 20)))
-        .otherwise(off),
-    })
-    side = table.select(value, F.col(result).alias("_cold"), off.alias("_slot"))
+    keyed = rows.withColumn(
+        "_slot", F.when(is_hot, 1 + F.pmod(spread, F.lit(1 << 20))).otherwise(off)
+    )
+    few = table.where(is_hot).select(value, F.col(result).alias("_hot"))
+    rest = table.where(~is_hot).select(value, F.col(result).alias("_cold"), off.alias("_slot"))
     return (
-        keyed.join(side, [value, "_slot"], "left")
+        keyed.join(F.broadcast(few), value, "left")
+        .join(rest, [value, "_slot"], "left")
         .withColumn(result, F.coalesce("_hot", "_cold"))
         .drop("_hot", "_cold", "_slot")
     )
 
 
+def counted_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(x, y, w): how often each pair of values occurs, written once because
+    ranks and the joint table both start from it."""
+    x, y = present(df, a).cast("double").alias("x"), present(df, b).cast("double").alias("y")
+    pairs = df.select(x, y).where("x is not null and y is not null")
+    return materialize(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
+
+
+def side_of(pairs: DataFrame, side: str) -> DataFrame:
+    return pairs.groupBy(side).agg(F.sum("w").alias("n")).select(
+        F.lit(side).alias("column"), F.col(side).alias("value"), "n", F.lit(1).alias("one")
+    )
+
+
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson on average ranks; ranks are taken within the complete rows of
     each pair. Pairs are counted before the ranks are looked up."""
     result = None
     for a, b in combinations(columns, 2):
-        x, y = present(df, a).cast("double").alias("x"), present(df, b).cast("double").alias("y")
-        pairs = df.select(x, y).where("x is not null and y is not null")
-        pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+        pairs = counted_pairs(df, a, b)
         ranked = pairs
         for side in ("x", "y"):
-            counts = pairs.groupBy(side).agg(F.sum("w").alias("n")).select(
-                F.lit(side).alias("column"), F.col(side).alias("value"), "n"
-            )
+            counts = side_of(pairs, side)
             table = average_ranks(counts, ["column"]).select(
-                F.col("value").alias(side), "n", "n_total", F.col("rank").alias(f"rank_{side}")
+                F.col("value").alias(side), F.col("rank").alias(f"rank_{side}")
+            )
+            ranked = lookup(
+                ranked, side, table, f"rank_{side}", hot_values(counts, "value"), F.xxhash64("x", "y")
             )
-            ranked = lookup(ranked, side, table, f"rank_{side}", F.xxhash64("x", "y"))
         line = _weighted_corr(ranked, "rank_x", "rank_y", "w", a, b)
         result = line if result is None else result.unionByName(line)
     return result
@@ -180,24 +197,14 @@ def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _kendall_pair(df: DataFrame, a: str, b: str) -> DataFrame:
-    x, y = present(df, a).cast("double").alias("x"), present(df, b).cast("double").alias("y")
-    pairs = (
-        df.select(x, y).where("x is not null and y is not null")
-        .groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    )
-    sides = {}
-    for side in ("x", "y"):
-        sides[side] = pairs.groupBy(side).agg(F.sum("w").alias("n")).select(
-            F.lit(side).alias("column"), F.col(side).alias("value"), "n", F.lit(1).alias("one")
-        )
-    dense = cumulate(sides["y"], ["column"], "value", ["one", "n"])
-    ranks = dense.select(
-        F.col("value").alias("y"), "n", "n_total", F.col("one_before").alias("rank"),
-        F.col("one_total").alias("levels"),
+    pairs = counted_pairs(df, a, b)
+    sides = {side: side_of(pairs, side) for side in ("x", "y")}
+    ranks = cumulate(sides["y"], ["column"], "value", ["one", "n"]).select(
+        F.col("value").alias("y"), F.col("one_before").alias("rank")
     )
-    distinct = dense.agg(F.max("one_total")).first()[0] or 1
-    bits = max(int(distinct - 1).bit_length(), 1)
-    ranked = lookup(pairs, "y", ranks, "rank", F.xxhash64("x", "y"))
+    bits = max((sides["y"].count() - 1).bit_length(), 1)
+    hot = hot_values(sides["y"], "value")
+    ranked = lookup(pairs, "y", ranks, "rank", hot, F.xxhash64("x", "y"))
 
     per_bit = (
         ranked.select("x", "w", "rank", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))

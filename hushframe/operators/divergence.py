@@ -92,19 +92,20 @@ def divergences(
     )
 
 
-def histogram_bounds(cells: DataFrame, by: Sequence[str] = ("column",)) -> DataFrame:
-    """Common range of both sides; a single value gets half a unit each way."""
-    low = F.min(F.least("o", "p"))
-    high = F.max(F.greatest("o", "p"))
-    flat = F.col("_lo") == F.col("_hi")
-    half = F.when(flat, 0.5).otherwise(0.0)
-    return (
-        cells.groupBy(*by).agg(low.alias("_lo"), high.alias("_hi"))
-        .where(F.col("_lo").isNotNull())
-        .select(*by, (F.col("_lo") - half).alias("low"), (F.col("_hi") + half).alias("high"))
+def _widened(ranges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A single value gets half a unit each way."""
+    half = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)
+    return ranges.where(F.col("_lo").isNotNull()).select(
+        *by, (F.col("_lo") - half).alias("low"), (F.col("_hi") + half).alias("high")
     )
 
 
+def histogram_bounds(cells: DataFrame, by: Sequence[str] = ("column",)) -> DataFrame:
+    """Common range of both sides."""
+    low, high = F.min(F.least("o", "p")), F.max(F.greatest("o", "p"))
+    return _widened(cells.groupBy(*by).agg(low.alias("_lo"), high.alias("_hi")), by)
+
+
 def bin_of(value: Column, low: Column, high: Column, bins: Column) -> Column:
     """1-based bin; the last bin is closed on the right."""
     # least alone would put a null into the last bin
@@ -133,6 +134,29 @@ def histogram(
         .where(F.col("bin").isNotNull())
         .groupBy(*by, "bin").agg(F.sum("_o").alias("n_o"), F.sum("_p").alias("n_p"))
     )
+    return _with_empty_bins(found, ranges, by)
+
+
+def histogram_of_counts(counts: DataFrame, bins: int = 50, by: Sequence[str] = ("column",)) -> DataFrame:
+    """The same histogram from (by..., value, n_o, n_p), where those counts
+    are needed anyway."""
+    by = list(by)
+    # the sums keep this branch on the same shuffled counts as the next one
+    ends = counts.groupBy(*by).agg(
+        F.min(F.when(F.col("n_o") + F.col("n_p") > 0, F.col("value"))).alias("_lo"),
+        F.max(F.when(F.col("n_o") + F.col("n_p") > 0, F.col("value"))).alias("_hi"),
+    )
+    ranges = _widened(ends, by).withColumn("bins", F.lit(bins).cast("bigint"))
+    found = (
+        counts.join(F.broadcast(ranges), by)
+        .groupBy(*by, bin_of(F.col("value"), F.col("low"), F.col("high"), F.col("bins")).alias("bin"))
+        .agg(F.sum("n_o").alias("n_o"), F.sum("n_p").alias("n_p"))
+    )
+    return _with_empty_bins(found, ranges, by)
+
+
+def _with_empty_bins(found: DataFrame, ranges: DataFrame, by: Sequence[str]) -> DataFrame:
+    low, high, count = F.col("low"), F.col("high"), F.col("bins")
     width = (high - low) / count
     frame = ranges.withColumn("bin", F.explode(F.sequence(F.lit(1).cast("bigint"), count))).select(
         *by, "bin",
@@ -185,15 +209,16 @@ def kolmogorov_tail(x: Column) -> Column:
 
 
 def numeric_drift(paired: DataFrame, columns: Sequence[str] | None = None, bins: int = 50) -> DataFrame:
-    """Wasserstein, KS, KL and JS in bits over common bins, mean shift in
-    original deviations, deviation ratio."""
+    """Wasserstein, KS, KL and JS in bits and TVD over common bins, mean shift
+    in original deviations, deviation ratio."""
     columns = list(columns or side_columns(paired, "numeric"))
     cells = pair_cells(paired, columns, number)
-    known = complete(cells)
-    binned = histogram(cells, bins).withColumns({
-        "p": F.col("n_o") + SMOOTHING, "q": F.col("n_p") + SMOOTHING,
-    })
-    shapes = divergences(binned, kl_base="2").select("column", "kl_divergence", "js_distance")
+    known, counts = complete(cells), side_counts(cells)
+    binned = histogram_of_counts(counts, bins)
+    smoothed = binned.withColumns({"p": F.col("n_o") + SMOOTHING, "q": F.col("n_p") + SMOOTHING})
+    shapes = divergences(smoothed, kl_base="2").select("column", "kl_divergence", "js_distance")
+    plain = binned.withColumns({"p": F.col("n_o").cast("double"), "q": F.col("n_p").cast("double")})
+    moved = divergences(plain).select("column", "tvd")
     moments = known.groupBy("column").agg(
         F.avg("o").alias("_mo"), F.avg("p").alias("_mp"),
         F.stddev_pop("o").alias("_so"), F.stddev_pop("p").alias("_sp"),
@@ -208,15 +233,16 @@ def numeric_drift(paired: DataFrame, columns: Sequence[str] | None = None, bins:
     listed = paired.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     # a column without a complete pair is no distance away from itself
     return (
-        listed.join(transport(side_counts(cells)), "column", "left")
+        listed.join(transport(counts), "column", "left")
         .join(F.broadcast(shapes), "column", "left")
+        .join(F.broadcast(moved), "column", "left")
         .join(F.broadcast(moments), "column", "left")
         .select(
             "column",
             F.coalesce("wasserstein", F.lit(0.0)).alias("wasserstein"),
             F.coalesce("ks_statistic", F.lit(0.0)).alias("ks_statistic"),
             F.coalesce("ks_pvalue", F.lit(1.0)).alias("ks_pvalue"),
-            "kl_divergence", "js_distance",
+            "kl_divergence", "js_distance", "tvd",
             F.when(F.col("_mo").isNull(), 0.0).otherwise(shift).alias("mean_shift"),
             F.when(F.col("_mo").isNull(), 1.0).otherwise(ratio).alias("std_ratio"),
         )
@@ -304,15 +330,10 @@ def all_divergences(
     is_symmetric, unit). KL is in nats for categories and in bits for numbers."""
     parts = []
     if numeric:
-        cells = pair_cells(paired, list(numeric), number)
         drift = numeric_drift(paired, numeric, bins)
-        raw = histogram(cells, bins).withColumns({
-            "p": F.col("n_o").cast("double"), "q": F.col("n_p").cast("double"),
-        })
-        moved = divergences(raw).select("column", "tvd")
         parts.append(
-            drift.select("column", "kl_divergence", "js_distance", "wasserstein")
-            .join(F.broadcast(moved), "column", "left").withColumn("_unit", F.lit("bits"))
+            drift.select("column", "kl_divergence", "js_distance", "wasserstein", "tvd")
+            .withColumn("_unit", F.lit("bits"))
         )
     if categorical:
         shapes = divergences(distribution(pair_cells(paired, list(categorical), text)))

@@ -13,6 +13,7 @@ a probability of at most 1/HEAD, so no join key is hot.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -25,8 +26,9 @@ from hushframe.functions.search import count_where_prefix, plan_array
 from hushframe.operators.ordered import value_counts
 from hushframe.session import materialize
 
-HEAD = 10_000
+HEAD = 2_000
 LEVEL_SLICES = 4096
+INLINE = 2_000
 # below exp(-LOG_FLOOR) relative to the likeliest category a double is zero,
 # whatever the number of categories
 LOG_FLOOR = 800.0
@@ -40,6 +42,15 @@ def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return value_counts(df.select(F.inline(cells)), ["column"])
 
 
+def constant_array(df: DataFrame, values: list, element: str) -> Column:
+    """A constant array: inside the plan while short, else read from a
+    one-row table by a scalar subquery so that plans stay readable."""
+    if len(values) <= INLINE:
+        return plan_array(values, element)
+    line = df.sparkSession.createDataFrame([(json.dumps(values),)], "value string")
+    return line.select(F.from_json("value", f"array<{element}>")).scalar()
+
+
 @dataclass
 class CategoryLaw:
     """How to draw one column."""
@@ -63,15 +74,18 @@ class CategoryLaw:
             return frame, F.when(present, F.lit(self.head[0])).cast(self.data_type)
         u = keyed.uniform(digest)
         slots = len(self.head) + len(self.levels)
-        found = count_where_prefix(plan_array(self.borders, "double"), lambda b: b <= u, slots)
+        found = count_where_prefix(
+            constant_array(frame, self.borders, "double"), lambda b: b <= u, slots
+        )
         # rounding may leave the last border below one
         slot = F.least(found, F.lit(slots - 1))
-        from_head = F.get(plan_array(self.head, "string"), slot)
+        from_head = F.get(constant_array(frame, self.head, "string"), slot)
         if self.tail is None:
             return frame, F.when(present, from_head).cast(self.data_type)
 
-        size = F.get(plan_array([m for _, m in self.levels], "bigint"), slot - len(self.head))
-        count = F.get(plan_array([n for n, _ in self.levels], "bigint"), slot - len(self.head))
+        level = slot - len(self.head)
+        size = F.get(constant_array(frame, [m for _, m in self.levels], "bigint"), level)
+        count = F.get(constant_array(frame, [n for n, _ in self.levels], "bigint"), level)
         in_tail = present & (slot >= len(self.head))
         position = F.least(F.floor(keyed.uniform(digest, 1) * size), size - 1)
         # cells that need no lookup get spread keys that match nothing
@@ -88,7 +102,8 @@ class CategoryLaw:
         )
         joined = tagged.join(lookup, [f"_{name}_level", f"_{name}_position"], "left")
         cell = F.coalesce(
-            F.col(f"`_{name}_drawn`"), F.get(plan_array(self.head, "string"), F.col(f"`_{name}_slot`"))
+            F.col(f"`_{name}_drawn`"),
+            F.get(constant_array(frame, self.head, "string"), F.col(f"`_{name}_slot`")),
         ) if self.head else F.col(f"`_{name}_drawn`")
         return joined, F.when(F.col(f"`{name}`").isNotNull(), cell).cast(self.data_type)
 
@@ -99,7 +114,8 @@ def category_laws(
     """``columns`` maps names to (epsilon, score sensitivity).
 
     What reaches the driver is bounded: per column at most ``head`` categories
-    and the levels whose probability is not zero in a double.
+    and the levels whose probability is not zero in a double. Levels differ in
+    their counts, so n rows have at most sqrt(2 n) of them.
     """
     spark = df.sparkSession
     # read several times below and again by the draws: one pass over the table

@@ -126,11 +126,12 @@ SQL["ks_test"] = f"WITH {MOVED} " + "\nUNION ALL\n".join(
 def drift_sql(c: str, n: str, source: str = "moved", bins: int = 50) -> str:
     p = f"(n_o + 1e-10) / (sum(n_o) OVER () + {bins} * 1e-10)"
     q = f"(n_p + 1e-10) / (sum(n_p) OVER () + {bins} * 1e-10)"
-    return f"""SELECT '{n}' AS "column", w AS wasserstein, ks AS ks_statistic, pv AS ks_pvalue, kl AS kl_divergence, js AS js_distance, shift AS mean_shift, ratio AS std_ratio FROM
+    return f"""SELECT '{n}' AS "column", w AS wasserstein, ks AS ks_statistic, pv AS ks_pvalue, kl AS kl_divergence, js AS js_distance, tvd, shift AS mean_shift, ratio AS std_ratio FROM
  (SELECT {r('coalesce(sum(abs(f - g) * gap), 0)')} AS w, {r('max(abs(f - g))')} AS ks, {r(ks_p('max(abs(f - g))'))} AS pv FROM {cdf_sql(c, source)}),
  (SELECT {r('sum(CASE WHEN p > 1e-15 THEN p * log2(p / CASE WHEN small THEN (q + 1e-10) / (1 + ' + str(bins) + ' * 1e-10) ELSE q END) ELSE 0 END)')} AS kl,
    {r('sqrt(greatest(sum(0.5 * p * log2(p / ((p + q) / 2)) + 0.5 * q * log2(q / ((p + q) / 2))), 0))')} AS js
   FROM (SELECT *, min(q) OVER () < 1e-15 AS small FROM (SELECT {p} AS p, {q} AS q FROM {hist_sql(c, bins, source)}))),
+ (SELECT {r('0.5 * sum(abs(p - q))')} AS tvd FROM (SELECT n_o / sum(n_o) OVER () AS p, n_p / sum(n_p) OVER () AS q FROM {hist_sql(c, bins, source)})),
  (SELECT {r(f'CASE WHEN stddev_pop({c}_o) > 0 THEN (avg({c}_p) - avg({c}_o)) / stddev_pop({c}_o) ELSE 0 END')} AS shift,
    {r(f'CASE WHEN stddev_pop({c}_o) > 0 THEN stddev_pop({c}_p) / stddev_pop({c}_o) ELSE 1 END')} AS ratio FROM {source})"""
 
