@@ -21,7 +21,7 @@ HOT_SHARE = 500
 
 
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Upper triangle, pairwise complete."""
+    """Upper triangle, pairwise complete; null where a side is constant."""
     pairs = list(combinations(columns, 2))
     if len(pairs) > PLAIN_PAIRS:
         return _pearson_wide(df, columns)
@@ -32,15 +32,11 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         x, y = F.when(both, value[a]), F.when(both, value[b])
         cells.append(F.struct(
             F.lit(a).alias("column1"), F.lit(b).alias("column2"),
-            F.count_if(both).alias("n"), _defined(F.corr(x, y)).alias("correlation"),
+            F.count_if(both).alias("n"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("correlation"),
         ))
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def _defined(r: Column) -> Column:
-    return F.when(~F.isnan(r), r)
-
-
 def _pearson_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One matrix product per Arrow batch; a task emits one row per pair, so
     what is shuffled does not depend on the number of rows."""
