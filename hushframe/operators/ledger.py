@@ -224,14 +224,14 @@ def admit(
     queue = requests.join(limits.select("dataset"), "dataset", "left_semi").select(
         "dataset", "query_id", "epsilon", "delta", "ts"
     )
-    first_span = "array<struct<after:struct<ts:{t},query_id:string>,until:{t},limit:double>>".format(
-        t=queue.schema["ts"].dataType.simpleString()
-    )
+    stamp = queue.schema["ts"].dataType.simpleString()
+    place_type = f"struct<ts:{stamp},query_id:string>"
+    span_type = f"array<struct<start:{place_type},until:{stamp},k:bigint,se:double,me:double,sd:double>>"
     none = F.lit(None).cast("double")
     states = materialize(limits.withColumns({
         "k": F.lit(0).cast("bigint"), "se": F.lit(0.0), "me": F.lit(0.0), "sd": none, "md": none,
-        "done": F.lit(None).cast(f"struct<ts:{queue.schema['ts'].dataType.simpleString()},query_id:string>"),
-        "spans": F.array().cast(first_span),
+        "done": F.lit(None).cast(place_type),
+        "spans": F.array().cast(span_type),
     }))
     taken, finished = None, None
     while True:
@@ -248,11 +248,11 @@ def admit(
         taken = found if taken is None else taken.unionByName(found)
         states = folded.drop("taken")
     place = F.struct("ts", "query_id")
-    spans = states.select("dataset", "spans")
+    spans = states.select("dataset", "spans", "total_epsilon", "total_delta")
     in_span = F.exists(
         "spans",
-        lambda s: (s["after"].isNull() | (place > s["after"])) & (F.col("ts") < s["until"])
-        & (F.col("epsilon") <= s["limit"]),
+        lambda s: (place >= s["start"]) & (F.col("ts") < s["until"])
+        & _may_fit(s["k"], s["se"], s["me"], s["sd"], method, delta_prime),
     )
     marked = requests.join(spans, "dataset", "left")
     if taken is None:
@@ -263,24 +263,39 @@ def admit(
     return marked.withColumn("admitted", F.col("spans").isNull() | accepted).select(*columns, "admitted")
 
 
-def _left(method: str, delta_prime: float) -> Column:
-    """Epsilon a dataset may still spend."""
-    spent = F.col("se")
+def _may_fit(
+    k: Column, se: Column, me: Column, sd: Column, method: str, delta_prime: float
+) -> Column:
+    """Whether a request could still be admitted, now or after others. Both
+    sums only grow, so what fails here is refused for good."""
+    epsilon, delta = F.col("epsilon"), F.col("delta")
+    cost = se + epsilon
     if method == ADVANCED:
-        spent = F.least(spent, advanced_epsilon(F.col("k"), F.col("me"), delta_prime))
-    return F.col("total_epsilon") - spent
+        cost = F.least(cost, advanced_epsilon(k + 1, F.greatest(me, epsilon), delta_prime))
+    spent = add_budgets(epsilon, sd, epsilon, delta)[1]
+    return fits(cost, spent, F.col("total_epsilon"), F.col("total_delta"))
 
 
 def _waiting(queue: DataFrame, states: DataFrame, method: str, delta_prime: float) -> DataFrame:
-    """Undecided requests that may still fit, with what was left for them."""
-    left = _left(method, delta_prime) + SLACK
-    if method == ADVANCED:
-        # one more query may cost less than its own epsilon
-        left = F.when(left >= 0, F.lit(float("inf"))).otherwise(F.lit(-1.0))
+    """Undecided requests that may still be admitted. A refusal changes
+    nothing, so everything before the first request that fits right now is
+    refused; ``start`` is the place of that request."""
     place = F.struct("ts", "query_id")
+    sums = [F.col(c) for c in _SUMS]
+    pending = queue.join(states.drop("spans"), "dataset").where(
+        (F.col("done").isNull() | (place > F.col("done"))) & _may_fit(*sums[:4], method, delta_prime)
+    )
+    k, se, me, sd, md = sums
+    eps, delta = F.col("epsilon"), F.col("delta")
+    cost, cost_delta = _composed(
+        F.lit(method), k + 1, se + eps, F.greatest(me, eps), add_budgets(eps, sd, eps, delta)[1],
+        F.greatest(md, delta), delta_prime,
+    )
+    ok = fits(cost, cost_delta, F.col("total_epsilon"), F.col("total_delta"))
+    firsts = pending.where(ok).groupBy("dataset").agg(F.min(place).alias("start"))
     return (
-        queue.join(states.select("dataset", "done", left.alias("limit")), "dataset")
-        .where((F.col("done").isNull() | (place > F.col("done"))) & (F.col("epsilon") <= F.col("limit")))
+        pending.select("dataset", "query_id", "epsilon", "delta", "ts")
+        .join(firsts, "dataset").where(place >= F.col("start"))
     )
 
 
@@ -289,7 +304,7 @@ def _admit_in_bulk(waiting: DataFrame, states: DataFrame, method: str, delta_pri
     moment at which the running cost would not fit."""
     moments = waiting.groupBy("dataset", "ts").agg(
         F.count(F.lit(1)).alias("k"), F.sum("epsilon").alias("se"), F.max("epsilon").alias("me"),
-        F.sum("delta").alias("sd"), F.max("delta").alias("md"),
+        F.sum("delta").alias("sd"), F.max("delta").alias("md"), F.first("start").alias("start"),
     )
     # time ranges shared by all datasets; the borders only balance the work
     most = most_ranges(waiting)
@@ -307,7 +322,7 @@ def _admit_in_bulk(waiting: DataFrame, states: DataFrame, method: str, delta_pri
     )
     inside = W.partitionBy("dataset", "_range").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     running = ranged.select(
-        "dataset", "_range", "ts", *[f(c).over(inside).alias(c) for c, f in merge.items()]
+        "dataset", "_range", "ts", "start", *[f(c).over(inside).alias(c) for c, f in merge.items()]
     ).join(offsets, ["dataset", "_range"])
 
     def reached(name: str) -> Column:
@@ -321,25 +336,25 @@ def _admit_in_bulk(waiting: DataFrame, states: DataFrame, method: str, delta_pri
 
     now = states.select("dataset", "total_epsilon", "total_delta", *[F.col(c).alias(f"now_{c}") for c in _SUMS])
     sums = running.join(now, "dataset").select(
-        "dataset", "ts", "total_epsilon", "total_delta", *[reached(c).alias(c) for c in _SUMS]
+        "dataset", "ts", "start", "total_epsilon", "total_delta", *[reached(c).alias(c) for c in _SUMS]
     )
     epsilon, delta = _composed(F.lit(method), *[F.col(c) for c in _SUMS], delta_prime)
     # ties with the total are left to the fold, which adds in order
     safe = fits(epsilon + SLACK, delta, F.col("total_epsilon"), F.col("total_delta"))
     judged = sums.withColumn("_safe", safe)
-    stops = judged.groupBy("dataset").agg(F.min(F.when(~F.col("_safe"), F.col("ts"))).alias("_stop"), F.max("ts").alias("_last"))
+    stops = judged.groupBy("dataset").agg(F.min(F.when(~F.col("_safe"), F.col("ts"))).alias("_stop"))
     reached_sums = (
         judged.join(stops, "dataset").where(F.col("_stop").isNull() | (F.col("ts") < F.col("_stop")))
-        .groupBy("dataset").agg(F.max_by(F.struct(*_SUMS), "ts").alias("_new"), F.max("ts").alias("_until"))
+        .groupBy("dataset").agg(
+            F.max_by(F.struct(*_SUMS), "ts").alias("_new"), F.max("ts").alias("_until"),
+            F.first("start").alias("_start"),
+        )
     )
-    limit = _left(method, delta_prime) + SLACK
-    if method == ADVANCED:
-        limit = F.lit(float("inf"))
-    joined = states.withColumn("_limit", limit).join(reached_sums, "dataset", "left")
+    joined = states.join(reached_sums, "dataset", "left")
     moved = F.col("_new").isNotNull()
     # moments are admitted whole: the span ends just after the last of them
     after = F.col("_until") + F.expr("INTERVAL 1 MICROSECOND")
-    span = F.struct(F.col("done").alias("after"), after.alias("until"), F.col("_limit").alias("limit"))
+    span = F.struct(F.col("_start").alias("start"), after.alias("until"), "k", "se", "me", "sd")
     span_type = states.schema["spans"].dataType.simpleString()
     return joined.select(
         "dataset", "total_epsilon", "total_delta",
