@@ -323,3 +323,14 @@ SQL["upload_checks"] = """SELECT 'listed' AS "column", 'warning' AS severity, 'k
 UNION ALL SELECT 'rare', 'warning', 'mostly missing' FROM lineitem HAVING count(*) FILTER (l_linenumber <> 7) > 0.9 * count(*)
 UNION ALL SELECT 'sparse', 'warning', 'mostly missing' FROM lineitem HAVING count(*) FILTER (l_quantity <= 49 OR l_linenumber = 3) > 0.9 * count(*)
 UNION ALL SELECT 'l_tax', 'warning', 'mostly missing' FROM lineitem HAVING count(*) FILTER (l_linenumber = 7) > 0.9 * count(*)"""
+
+QUERIES["recommendation_reasons"] = lambda spark, sf: advise.with_reasons(
+    advise.recommend_dataset(mixed(spark, sf))).select("column", "level", "kind", "level_reason", "kind_reason")
+
+
+def _reasons(reasons, column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reasons.items()) + " END"
+
+
+SQL["recommendation_reasons"] = f"""WITH {KINDS}, {_LEVELS}, {_ADVISED} SELECT "column", level, kind,
+ {_reasons(advise.LEVEL_REASONS, 'level')} AS level_reason, {_reasons(advise.KIND_REASONS, 'kind')} AS kind_reason FROM advised"""

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from hushframe.operators.profile import profile_categorical
 from hushframe.plans.common import RELEASED, orders_release, r, rounded, table
 from hushframe.session import scratch_folder
 from hushframe.sources import readers, writers
+from hushframe.sources.profiles import saved_profile
 
 QUERIES, SQL = {}, {}
 
@@ -122,3 +124,26 @@ def encoding_fallback(spark, sf):
 
 QUERIES["encoding_fallback"] = encoding_fallback
 SQL["encoding_fallback"] = """SELECT c_custkey, c_name || ' José' AS c_name, e AS encoding FROM customer, (VALUES ('ISO-8859-1'), ('UTF-8')) t(e)"""
+
+
+def reused_profile(spark, sf):
+    """A saved profile met again by the same rows in another order, and not by
+    changed ones."""
+    customer = table(spark, sf, "customer").select("c_name", "c_mktsegment")
+    folder = f"{scratch_folder(spark)}/profiles-{uuid.uuid4().hex}"
+    build = lambda df: profile_categorical(df, ["c_mktsegment"]).withColumn("built", F.expr("uuid()"))
+    first, again, other = (
+        saved_profile(df, folder, build).select("column", "count", "cardinality", F.col("built"))
+        for df in (customer, customer.repartition(5), customer.withColumn("c_name", F.lower("c_name")))
+    )
+    marks = {"same_content": again, "other_content": other}
+    result = first
+    for name, df in marks.items():
+        result = result.join(df.select("column", F.col("built").alias(f"_{name}")), "column").withColumn(
+            f"{name}_reused", F.col("built") == F.col(f"_{name}")).drop(f"_{name}")
+    return result.drop("built")
+
+
+QUERIES["profile_reuse"] = reused_profile
+SQL["profile_reuse"] = """SELECT 'c_mktsegment' AS "column", count(*) AS count, count(DISTINCT c_mktsegment) AS cardinality,
+ true AS same_content_reused, false AS other_content_reused FROM customer"""
