@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from hushframe.operators import compare, tables
 from hushframe.plans.common import RELEASED, orders_pairs, orders_release, r, rounded, table
 from hushframe.plans.comparing import CF, GAPPY, LINES, NUMBERS, SHIFT, _gappy, _returned, lineitem_pairs
-from hushframe.plans.distances import METRICS, MOVED, TOP_CHANGES, _quantities, hist_sql
+from hushframe.plans.distances import METRICS, MOVED, TOP_CHANGES, _quantities
 from hushframe.sources.readers import preview
 
 QUERIES, SQL = {}, {}

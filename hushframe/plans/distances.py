@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from hushframe.operators import divergence
 from hushframe.operators.pairs import number, pair_cells, side_counts, text
-from hushframe.plans.common import RELEASED, orders_pairs, r, rounded, table
-from hushframe.plans.comparing import CF, COARSE, FREQ, GAPPY, _gappy, _returned
+from hushframe.plans.common import r, rounded, table
+from hushframe.plans.comparing import CF, FREQ, GAPPY, _gappy, _returned
 
 QUERIES, SQL = {}, {}
 

@@ -273,8 +273,7 @@ SQL["corr_kendall"] = f"WITH {GAPS} " + _union(
    (SELECT sum(w)::DOUBLE FROM c_{a}_{b}) AS n,
    (SELECT sum(t * (t - 1) / 2.0) FROM (SELECT sum(w)::DOUBLE AS t FROM c_{a}_{b} GROUP BY x)) AS tx,
    (SELECT sum(t * (t - 1) / 2.0) FROM (SELECT sum(w)::DOUBLE AS t FROM c_{a}_{b} GROUP BY y)) AS ty)"""
-    for a, b in _pairs(["l_quantity", "l_discount", "l_tax"])).replace(
-    "", "", 0)
+    for a, b in _pairs(["l_quantity", "l_discount", "l_tax"]))
 SQL["corr_kendall"] = SQL["corr_kendall"].replace(
     f"WITH {GAPS} ", f"WITH {GAPS}, " + ", ".join(
         f"c_{a}_{b} AS (SELECT {a} AS x, {b} AS y, count(*) AS w FROM gaps WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2)"

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hushframe.functions import keyed
 from hushframe.operators.protect import (
     EXCLUDE, PASSTHROUGH, ColumnRule, protect, protect_with_budget,
 )
 from hushframe.operators import sampling
 from hushframe.plans.common import (
-    DATE_BOUNDS, RELEASE, RELEASED, SECRET, orders_release, r, rounded, sql_category_law,
+    RELEASE, RELEASED, SECRET, orders_release, r, rounded, sql_category_law,
     sql_gaussian, sql_laplace, sql_uniform, table,
 )
 
@@ -106,8 +107,6 @@ def category_law_levels(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("cust"))
     law = sampling.category_laws(orders, {"cust": (0.1, 1.0)}, head=20)["cust"]
     rules = {"o_orderkey": ColumnRule(PASSTHROUGH), "cust": ColumnRule(epsilon=0.1)}
-    from hushframe.functions import keyed
-
     digest = keyed.cell_digest(F.lit(SECRET), RELEASE, "cust", keyed.key_columns(orders, ["o_orderkey"]))
     frame, cell = law.draw(orders, "cust", digest)
     counts = sampling.category_counts(orders, ["cust"]).select(F.col("value").alias("drawn"), "n")

@@ -15,6 +15,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     session = local_session(8, "tests", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false",
+        # tables are tiny here: planning each stage anew would be most of the time
+        "spark.sql.adaptive.enabled": "false",
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
