@@ -19,6 +19,12 @@ from hushframe.llm.frames import per_batch, sampled
 TOXIC_ROWS = 3000
 ORDINARY_ROWS = 9000
 WINDOW = 128
+#: Bytes a window repeats of the one before, so that a word lies whole in one of them, and
+#: bytes behind it, since the compressor looks for no match in the last ones.
+OVERLAP, PADDING = 12, b"\0" * 8
+#: Gains that are counted.
+STEPS = (1, 2, 3, 4, 5, 6, 7, 9)
+FEATURES = len(STEPS) + 4
 ORDINARY_BYTES = 32 * 1024
 TOXIC_BYTES = 768
 #: Toxic samples are runs of GRAM-byte strings that no ordinary sample text holds
@@ -33,7 +39,7 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     settings = zstandard.ZstdCompressionParameters(
         compression_level=1, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=5, window_log=17,
-        hash_log=15, write_content_size=0, write_checksum=0, write_dict_id=0,
+        hash_log=18, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     raw.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(dict_data=raw, compression_params=settings)
@@ -58,18 +64,16 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "compressors"}
 
     def gains(self, text: bytes) -> np.ndarray:
-        """Bytes each window gains by the toxic dictionary, highest first."""
+        """Bytes each window gains by the toxic dictionary."""
         ordinary, toxic = self.compressors
-        parts = [text[i:i + WINDOW] for i in range(0, len(text), WINDOW)]
-        return np.sort([len(ordinary.compress(p)) - len(toxic.compress(p)) for p in parts])[::-1]
+        parts = [text[max(0, i - OVERLAP):i + WINDOW] + PADDING for i in range(0, len(text), WINDOW)]
+        return np.array([len(ordinary.compress(p)) - len(toxic.compress(p)) for p in parts])
 
     def features(self, text: bytes) -> list[float]:
-        gains = self.gains(text) if self.toxic and text else np.zeros(0)
-        top = [*gains[:3], 0, 0, 0][:3]
-        if not len(gains):
-            return [*top, 0.0, 0.0, 0.0, 0.0]
-        root = np.sqrt(len(gains))
-        return [*top, gains.mean(), gains[gains >= 3].sum() / root, (gains >= 4).sum() / root, np.log(len(gains))]
+        gains = self.gains(text) if self.toxic and text else np.zeros(1)
+        size = np.log(len(gains))
+        counts = [np.log1p((gains >= step).sum()) for step in STEPS]
+        return [*counts, gains.max(), gains.mean(), size, gains.max() * size]
 
     def score(self, text: bytes) -> float:
         x = (np.array(self.features(text), float) - self.center) / self.scale
@@ -99,7 +103,9 @@ def _dictionary(size: int, samples: list[bytes], k: int) -> bytes:
 
 def _toxic_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """What toxic texts share and ordinary texts never hold, several runs to a sample."""
-    known = np.unique(np.concatenate([_grams(t) for t in ordinary])) if ordinary else np.zeros(0, np.uint64)
+    known = np.zeros(0, np.uint64)
+    for first in range(0, len(ordinary), 200):
+        known = np.union1d(known, np.concatenate([_grams(t) for t in ordinary[first:first + 200]]))
     grams = [_grams(t) for t in toxic]
     held = Counter()
     new = []
@@ -136,7 +142,7 @@ def learn(texts: list[bytes], labels: list[int]) -> Model:
     base = _dictionary(ORDINARY_BYTES, [windows[i] for i in turns], 64) if windows else b"-"
     shared = _toxic_samples(toxic, ordinary)
     extra = _dictionary(TOXIC_BYTES, shared, 32) if shared else b""
-    model = Model(base, extra, np.zeros(7), np.ones(7), np.zeros(8))
+    model = Model(base, extra, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     held = [(t, 0) for t in held_ordinary] + [(t, 1) for t in held_toxic]
     if not held_ordinary or not held_toxic:
         share = np.clip(len(held_toxic) / max(len(held), 1), 0.01, 0.99) if held else 0.01
@@ -177,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     if not found:
         return learn([], [])
     numbers = np.array(found[0]["numbers"])
-    return Model(bytes(found[0]["ordinary"]), bytes(found[0]["toxic"]), numbers[:7], numbers[7:14], numbers[14:])
+    return Model(bytes(found[0]["ordinary"]), bytes(found[0]["toxic"]), numbers[:FEATURES], numbers[FEATURES:2 * FEATURES], numbers[2 * FEATURES:])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
