@@ -17,13 +17,18 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
+#: Bytes of input a worker handles at once, about; a longer row is handled alone.
+SLICE = 4 << 20
+
+
 def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Arrow batches of ``df`` through ``work``, one at a time."""
+    """Slices of the Arrow batches of ``df`` through ``work``, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+            rows = max(1, batch.num_rows * SLICE // max(batch.nbytes, 1))
+            for first in range(0, batch.num_rows, rows):
+                yield work(batch.slice(first, rows))
 
     return df.mapInArrow(run, schema)
 

@@ -10,14 +10,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hushframe.llm.arrays import prefix_hashes, range_hashes, text_runs
+from hushframe.llm.arrays import mix, prefix_hashes, range_hashes, text_runs
 from hushframe.llm.frames import materialize, per_batch
 
 #: Bytes of a repeated string, and of the grams among which an anchor is chosen.
 LENGTH = 400
 GRAM = 100
 #: Distinct contexts of an anchor that are sorted in one task; more are counted by Spark.
-TOGETHER = 4096
+TOGETHER = 8192
 #: Window starts of a block in that count.
 BLOCK = 32
 #: Rows (or list entries) sent to all executors at most; beyond it a shuffle joins them.
@@ -97,15 +97,15 @@ def _repeated(data: bytes, starts: np.ndarray, ends: np.ndarray, anchor: np.ndar
     """
     prefix = prefix_hashes(np.frombuffer(data, np.uint8))
     counts = ends - starts - LENGTH + 1
-    context = np.repeat(np.arange(len(starts)), counts)
+    context = np.repeat(np.arange(len(starts), dtype=np.int32), counts)
     first = np.cumsum(counts) - counts
-    start = np.arange(len(context)) - np.repeat(first - starts, counts)
-    distance = anchor[context] - start
-    hashed = range_hashes(prefix, start, start + LENGTH)
-    order = np.argsort((hashed ^ (group[context] * LENGTH + distance).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
-    ordered = (hashed[order], group[context[order]], distance[order])
-    equal = np.logical_and.reduce([x[1:] == x[:-1] for x in ordered])
-    partner = np.full(len(context), -1)
+    start = np.arange(len(context), dtype=np.int32) - np.repeat((first - starts).astype(np.int32), counts)
+    place = group[context].astype(np.int32) * np.int32(LENGTH) + (anchor[context] - start).astype(np.int32)  # group and distance
+    hashed = range_hashes(prefix, start, start + LENGTH) ^ mix(place.astype(np.uint64))
+    order = np.argsort(hashed, kind="stable").astype(np.int32)
+    equal = (hashed[order[1:]] == hashed[order[:-1]]) & (place[order[1:]] == place[order[:-1]])
+    del hashed, place
+    partner = np.full(len(context), -1, np.int32)
     partner[order[:-1][equal]] = order[1:][equal]
     partner[order[1:][equal]] = order[:-1][equal]  # the one before, if there are both
     hits = np.flatnonzero(partner >= 0)
@@ -128,12 +128,13 @@ def _repeated(data: bytes, starts: np.ndarray, ends: np.ndarray, anchor: np.ndar
             ranges.append((s - base, e - base))
     for g in false:
         members = np.flatnonzero(np.isin(context, np.flatnonzero(group == g)))
-        held = Counter((int(distance[w]), data[start[w]:start[w] + LENGTH]) for w in members)
+        away = {int(w): int(anchor[context[w]] - start[w]) for w in members}
+        held = Counter((away[w], data[start[w]:start[w] + LENGTH]) for w in away)
         for i in np.flatnonzero(group == g).tolist():
             found[i] = []
         for w in members:
-            if held[int(distance[w]), data[start[w]:start[w] + LENGTH]] > 1:
-                found[context[w]].append((int(start[w] - anchor[context[w]]), int(start[w] - anchor[context[w]]) + LENGTH))
+            if held[away[int(w)], data[start[w]:start[w] + LENGTH]] > 1:
+                found[context[w]].append((-away[int(w)], LENGTH - away[int(w)]))
     return found
 
 
@@ -235,6 +236,25 @@ def _counted_groups(contexts: DataFrame) -> DataFrame:
     return whole.union(alone)
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``spans`` of each text with overlapping and touching ones joined."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            joined: list[dict] = []
+            for span in sorted(spans, key=lambda s: s["start"]):
+                if joined and span["start"] <= joined[-1]["stop"]:
+                    joined[-1]["stop"] = max(joined[-1]["stop"], span["stop"])
+                else:
+                    joined.append(span)
+            out.append(joined)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in _KEY), pa.array(out, kind)], names=[*_KEY, "spans"])
+
+    return per_batch(df, work, "doc long, version long, spans array<struct<start:long,stop:long>>")
+
+
 def _cut_out(df: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (maximal ranges of bytes), kept (the other bytes)."""
 
@@ -302,7 +322,7 @@ def without_repeats(
     spans = whole.union(_sorted_groups(contexts.where(F.col("n") <= together).drop("n")))
     if not unlike.where(F.col("n") > together).isEmpty():
         spans = spans.union(_counted_groups(contexts.where(F.col("n") > together).drop("n")))
-    by_text = materialize(spans.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    by_text = materialize(_merged(spans.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))))
     return _cut_out(texts.join(_sent(by_text, by_text.agg(F.sum(F.size("spans"))).first()[0] or 0, sent), _KEY, "left"))
 
 
