@@ -19,12 +19,16 @@ BANDS, ROWS = 64, 6
 HASHES = BANDS * ROWS
 #: Pairs whose estimate is lower are not confirmed: 5.5 standard errors below 0.75.
 LEAST_ESTIMATE = 0.56
+#: Pairs that would join two components get a second estimate from so many minima with
+#: two bits each; those below 5.5 of its standard errors under 0.75 are not confirmed.
+LONG_HASHES = 2048
+LEAST_LONG_ESTIMATE = 0.687
 #: Documents whose ids are sent to the scan of the texts; more are joined by a shuffle.
 SENT_IDS = 1_000_000
 
-_A = (random_words(HASHES, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_B = (random_words(HASHES, 6) >> np.uint64(32)).astype(np.uint32)
-_CHUNK = 512
+_A = (random_words(LONG_HASHES, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_B = (random_words(LONG_HASHES, 6) >> np.uint64(32)).astype(np.uint32)
+_CHUNK = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -55,23 +59,39 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """HASHES minima of a non-empty set."""
+def minima(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The least value of each hash function on a non-empty set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for first in range(0, len(x), _CHUNK):
-        hashed = x[first:first + _CHUNK, None] * _A
-        hashed += _B
+    out = np.full(hashes, 0xFFFFFFFF, np.uint32)
+    step = max(1, _CHUNK // hashes)
+    for first in range(0, len(x), step):
+        hashed = x[first:first + step, None] * _A[:hashes]
+        hashed += _B[:hashes]
         np.minimum(out, hashed.min(axis=0), out=out)
     return out
 
 
+def low_bits(least: np.ndarray, n: int) -> np.ndarray:
+    """n bits of each minimum, plane by plane, packed into longs.
+
+    The minima are stirred first: the low bits of a multiplicative hash tell
+    two shingles apart alike under every multiplier, which would let the
+    agreement by chance of small sets stray from one half.
+    """
+    x = least ^ (least >> np.uint32(16))
+    x = x * np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    return np.concatenate([np.packbits((x >> np.uint32(k) & np.uint32(1)).astype(np.uint8)) for k in range(n)]).view(np.int64)
+
+
 _BAND_SALT = random_words(BANDS, 8)
 
 
 def signature(least: np.ndarray) -> tuple[list[int], list[int]]:
     """Lowest bit of each minimum, packed into longs; one 64-bit key per band."""
-    bits = np.packbits((least & np.uint32(1)).astype(np.uint8)).view(np.int64)
+    bits = low_bits(least, 1)
     key = _BAND_SALT.copy()
     for row in least.reshape(BANDS, ROWS).T.astype(np.uint64):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
@@ -100,18 +120,38 @@ def signed(docs: DataFrame) -> DataFrame:
     return per_batch(docs, work, SIGNED)
 
 
-def estimate(left: str, right: str) -> Column:
-    """Similarity from the equal bits, corrected for chance: one bit agrees by chance in half of the cases."""
-    longs = HASHES // 64
-    unequal = sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(1, longs)), F.bit_count(F.col(left)[0].bitwiseXOR(F.col(right)[0])))
-    return 1 - 2 * unequal / float(HASHES)
+def estimate(left: str, right: str, hashes: int = HASHES, n: int = 1) -> Column:
+    """Similarity from the minima whose n bits are all equal, corrected for
+    chance: n bits agree by chance in one of 2^n cases."""
+    longs = hashes // 64
+    unequal = F.lit(0)
+    for i in range(longs):
+        apart = F.col(left)[i].bitwiseXOR(F.col(right)[i])
+        for k in range(1, n):
+            apart = apart.bitwiseOR(F.col(left)[k * longs + i].bitwiseXOR(F.col(right)[k * longs + i]))
+        unequal = unequal + F.bit_count(apart)
+    return 1 - unequal / (hashes * (1 - 0.5**n))
+
+
+def long_bits(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, long): two bits of LONG_HASHES minima of the documents named."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = [low_bits(minima(own, LONG_HASHES), 2).tolist() for _, data, ends in text_runs(batch, "text") for own in shingle_sets(data, ends)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.list_(pa.int64()))], names=["doc_id", "long"])
+
+    return per_batch(named(docs, ids).where("text is not null"), work, "doc_id long, long array<long>")
+
+
+def named(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row (doc_id, text) of each document whose id is among ``ids``, written once."""
+    few = ids.count() <= SENT_IDS
+    return materialize(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    small = ids.count() <= SENT_IDS
-    texts = materialize(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = named(docs, materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
     first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -134,8 +174,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key is held against the key's smallest leader; in the second, pairs of a key
     that the links so far leave in different components are held against each
     other, so that no pair of a key stays undecided, and groups of copies cost
-    one comparison each. Candidates pass the bit estimate first; links count
-    only after their full sets were compared.
+    one comparison each. Candidates pass the bit estimate first, those of the
+    second round a closer one as well; links count only after their full sets
+    were compared.
 
     Null and empty texts have no set and are linked with nothing. Rows that
     share a doc_id count as copies of each other if their sets are equal; of
@@ -168,12 +209,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found.withColumnRenamed("node", "doc_id"), "doc_id", "left",
     ).withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    undecided = materialize(placed.join(mixed, "key").join(bits, "doc_id"))
-    left = undecided.select("key", F.col("doc_id").alias("a"), F.col("component").alias("component_a"), F.col("bits").alias("bits_a"))
-    right = undecided.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("bits").alias("bits_b"))
-    met = left.join(right, "key").where(
-        (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (estimate("bits_a", "bits_b") >= LEAST_ESTIMATE),
-    ).select("a", "b").distinct()
+    open_ = materialize(placed.join(mixed, "key").join(bits, "doc_id"))
+    undecided = open_.join(long_bits(texts, open_.select("doc_id").distinct()), "doc_id")
+    sides = [
+        undecided.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "component", "bits", "long")]) for side in "ab"
+    ]
+    near = (estimate("bits_a", "bits_b") >= LEAST_ESTIMATE) & (estimate("long_a", "long_b", LONG_HASHES, 2) >= LEAST_LONG_ESTIMATE)
+    met = sides[0].join(sides[1], "key").where(
+        (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & near,
+    ).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     others = materialize(met.join(stars, ["a", "b"], "left_anti"))
     if not others.isEmpty():
         more = materialize(confirmed(others, texts))

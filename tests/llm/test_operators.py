@@ -237,11 +237,24 @@ def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 400).astype(np.uint64)
     y = np.r_[x[:300], rng.integers(0, 2**63, 100).astype(np.uint64)]
-    a, b = (np.array(minhash.signature(minhash.minima(v))[0]).view(np.uint64) for v in (x, y))
-    unequal = sum(bin(int(p ^ q)).count("1") for p, q in zip(a, b, strict=True))
+    a, b = (minhash.low_bits(minhash.minima(v), 1).view(np.uint64) for v in (x, y))
+    unequal = np.bitwise_count(a ^ b).sum()
     assert abs(1 - 2 * unequal / minhash.HASHES - 0.6) < 0.15
 
 
+def test_estimates_of_small_sets_lose_no_link():
+    rng = np.random.default_rng(5)
+    for size in (3, 6, 9, 30):
+        for _ in range(60):
+            x = rng.integers(0, 2**63, size + size // 3).astype(np.uint64)
+            y = x[:size]  # similarity 0.75
+            short = [minhash.low_bits(minhash.minima(v), 1).view(np.uint64) for v in (x, y)]
+            assert 1 - 2 * np.bitwise_count(short[0] ^ short[1]).sum() / minhash.HASHES >= minhash.LEAST_ESTIMATE
+            a, b = (minhash.low_bits(minhash.minima(v, minhash.LONG_HASHES), 2).view(np.uint64).reshape(2, -1) for v in (x, y))
+            apart = np.bitwise_count((a[0] ^ b[0]) | (a[1] ^ b[1])).sum()
+            assert 1 - apart / (minhash.LONG_HASHES * 0.75) >= minhash.LEAST_LONG_ESTIMATE
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (7, 7), (300, 300)]
