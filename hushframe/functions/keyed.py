@@ -28,13 +28,15 @@ def secret_column(secret: str | DataFrame) -> Column:
 
 def key_columns(df: DataFrame, key: Sequence[str]) -> list[Column]:
     """Row-key parts as text. Strings carry their length so that no two
-    different keys can spell the same text."""
+    different keys can spell the same text; instants are counted in
+    microseconds, which no session time zone changes."""
     parts = []
     for name in key:
         kind = df.schema[name].dataType
         if isinstance(kind, (T.FloatType, T.DoubleType)):
             raise ValueError(f"row key {name}: floating point has no stable text form")
-        text = F.col(f"`{name}`").cast("string")
+        value = F.col(f"`{name}`")
+        text = (F.unix_micros(value) if isinstance(kind, T.TimestampType) else value).cast("string")
         if isinstance(kind, T.StringType):
             text = F.concat(F.length(text).cast("string"), F.lit(":"), text)
         parts.append(F.coalesce(text, F.lit("null")))
@@ -42,7 +44,9 @@ def key_columns(df: DataFrame, key: Sequence[str]) -> list[Column]:
 
 
 def cell_digest(secret: Column, release: str, column: str, key: Sequence[Column]) -> Column:
-    return F.sha2(F.concat_ws("|", secret, F.lit(release), F.lit(column), *key), 256)
+    secret = F.concat(F.length(secret).cast("string"), F.lit(":"), secret)
+    named = [F.lit(f"{len(part)}:{part}") for part in (release, column)]
+    return F.sha2(F.concat_ws("|", secret, *named, *key), 256)
 
 
 def uniform(digest: Column, draw: int = 0) -> Column:

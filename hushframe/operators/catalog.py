@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -179,12 +180,22 @@ def content_scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
+def content_scan_of(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The scans of several tables, with their name in ``table``."""
+    parts = [content_scan(df).select(F.lit(name).alias("table"), "*") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def refine_by_content(classified: DataFrame, scan: DataFrame) -> DataFrame:
     """Raises columns whose content was recognised to HIGH; columns already
-    HIGH or set by hand stay as they are."""
+    HIGH or set by hand stay as they are. A catalog of several tables (with a
+    column ``table``) takes a scan that names its table too."""
+    place = [c for c in ("table", "column") if c in classified.columns]
+    if missing := set(place) - set(scan.columns):
+        raise ValueError(f"the scan lacks {sorted(missing)}")
     hit = (F.col("level") != HIGH) & ~F.col("is_override") & F.col("detected").isNotNull()
     return (
-        classified.join(F.broadcast(scan.select("column", "detected")), "column", "left")
+        classified.join(F.broadcast(scan.select(*place, "detected")), place, "left")
         .withColumns({
             "confidence": F.when(hit, CONTENT_CONFIDENCE).otherwise(F.col("confidence")),
             "pattern": F.when(hit, F.concat(F.lit("content:"), "detected")).otherwise(F.col("pattern")),

@@ -14,67 +14,70 @@ from hushframe.operators.ordered import cumulate, into_ranges, most_ranges
 from hushframe.operators.protect import present
 from hushframe.session import materialize
 
-# above this many pairs one aggregate per pair makes the plan too wide
-PLAIN_PAIRS = 66
 # a value held by more than one row in HOT_SHARE is looked up from the plan
 HOT_SHARE = 500
 
 
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Upper triangle, pairwise complete; null where a side is constant."""
-    pairs = list(combinations(columns, 2))
-    if len(pairs) > PLAIN_PAIRS:
-        return _pearson_wide(df, columns)
-    value = {c: present(df, c).cast("double") for c in columns}
-    cells = []
-    for a, b in pairs:
-        both = value[a].isNotNull() & value[b].isNotNull()
-        x, y = F.when(both, value[a]), F.when(both, value[b])
-        cells.append(F.struct(
-            F.lit(a).alias("column1"), F.lit(b).alias("column2"),
-            F.count_if(both).alias("n"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("correlation"),
-        ))
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-
-
-def _pearson_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One matrix product per Arrow batch; a task emits one row per pair, so
-    what is shuffled does not depend on the number of rows."""
+    """Upper triangle, pairwise complete; null where a side is constant.
+
+    One matrix product per Arrow batch; a task emits one row per pair, so
+    what is shuffled does not depend on the number of rows.
+    """
     names = list(columns)
     rows = df.select(*[present(df, c).cast("double").alias(c) for c in names])
     # values are shifted near their mean so that the sums do not cancel
-    means = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
+    means = rows.agg(*[F.avg(f"`{c}`").alias(c) for c in names]).first()
     shift = np.array([means[c] if means[c] is not None else 0.0 for c in names])
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double, lx double, hx double, ly double, hy double"
     left, right = np.triu_indices(len(names), 1)
 
+    def extremes(data: np.ndarray, seen: np.ndarray) -> list[np.ndarray]:
+        """Smallest and largest value of each column over the rows where another is known."""
+        low, high = np.where(seen, data, np.inf), np.where(seen, data, -np.inf)
+        out = [np.empty((len(names), len(names))), np.empty((len(names), len(names)))]
+        for j in range(len(names)):
+            rows = seen[:, j]
+            whole = rows.all()
+            out[0][:, j] = (low if whole else low[rows]).min(axis=0, initial=np.inf)
+            out[1][:, j] = (high if whole else high[rows]).max(axis=0, initial=-np.inf)
+        return out
+
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = None
         for batch in batches:
             data = batch.to_numpy(dtype=float, na_value=np.nan) - shift
             seen = ~np.isnan(data)
+            low, high = extremes(data, seen)
             data = np.where(seen, data, 0.0)
             mask, square = seen.astype(float), data * data
             found = [mask.T @ mask, data.T @ mask, square.T @ mask, data.T @ data]
-            totals = found if totals is None else [a + b for a, b in zip(totals, found)]
+            if totals is None:
+                totals = [*found, low, high]
+            else:
+                totals = [a + b for a, b in zip(totals, found)] + [np.minimum(totals[4], low), np.maximum(totals[5], high)]
         if totals is not None:
-            n, s, ss, sxy = totals
+            n, s, ss, sxy, low, high = totals
             yield pd.DataFrame({
                 "i": left, "j": right, "n": n[left, right],
                 "sx": s[left, right], "sy": s[right, left],
                 "sxx": ss[left, right], "syy": ss[right, left], "sxy": sxy[left, right],
+                "lx": low[left, right], "hx": high[left, right], "ly": low[right, left], "hy": high[right, left],
             })
 
     sums = (
         rows.mapInPandas(moments, schema)
         .groupBy("i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+        .agg(
+            *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")],
+            *[f(c).alias(c) for f, c in ((F.min, "lx"), (F.max, "hx"), (F.min, "ly"), (F.max, "hy"))],
+        )
     )
     n = F.col("n")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     var_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
     var_y = F.col("syy") - F.col("sy") * F.col("sy") / n
-    defined = (n > 1) & (var_x > 0) & (var_y > 0)
+    defined = (F.col("lx") < F.col("hx")) & (F.col("ly") < F.col("hy")) & (var_x > 0) & (var_y > 0)
     named = F.array(*[F.lit(c) for c in names])
     return sums.select(
         F.get(named, F.col("i")).alias("column1"),
@@ -290,7 +293,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
             F.lit(c).alias("column1"), F.lit(c).alias("column2"),
             F.count(present(df, c)).alias("n"),
             # a constant column has no correlation, not even with itself
-            F.when(F.var_samp(present(df, c).cast("double")) > 0, F.lit(1.0)).alias("correlation"),
+            F.when(F.min(present(df, c)) < F.max(present(df, c)), F.lit(1.0)).alias("correlation"),
         ) for c in columns
     ]).alias("cells")).select(F.inline("cells"))
     return mirrored.unionByName(diagonal)

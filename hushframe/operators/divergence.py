@@ -221,11 +221,12 @@ def numeric_drift(paired: DataFrame, columns: Sequence[str] | None = None, bins:
     moved = divergences(plain).select("column", "tvd")
     moments = known.groupBy("column").agg(
         F.avg("o").alias("_mo"), F.avg("p").alias("_mp"),
-        F.stddev_pop("o").alias("_so"), F.stddev_pop("p").alias("_sp"),
+        *[F.when(F.min(c) == F.max(c), 0.0).otherwise(F.stddev_pop(c)).alias(f"_s{c}") for c in ("o", "p")],
+        (F.min("o") == F.max("p")).alias("_same"),  # two constants: the merged means may differ in the last bit
     )
     endless = F.lit(float("inf"))
     shift = F.when(F.col("_so") > 0, F.try_divide(F.col("_mp") - F.col("_mo"), F.col("_so"))).otherwise(
-        F.when(F.col("_mo") == F.col("_mp"), 0.0).otherwise(endless)
+        F.when((F.col("_mo") == F.col("_mp")) | ((F.col("_sp") == 0) & F.col("_same")), 0.0).otherwise(endless)
     )
     ratio = F.when(F.col("_so") > 0, F.try_divide(F.col("_sp"), F.col("_so"))).otherwise(
         F.when(F.col("_sp") == 0, 1.0).otherwise(endless)

@@ -57,14 +57,13 @@ def compose(
     by: Sequence[str] = ("dataset",),
     delta_prime: float = DELTA_PRIME,
 ) -> DataFrame:
-    """Consumed (epsilon, delta) per group. Without ``method`` the ledger's
-    own ``method`` column decides per row group."""
+    """Consumed (epsilon, delta) per group. Without ``method`` rows are composed
+    per group and value of the ledger's own ``method`` column."""
     if method is not None and method not in METHODS:
         raise ValueError(f"unknown composition {method}, use one of {METHODS}")
-    chosen = F.lit(method) if method else F.first("method")
-    sums = ledger.groupBy(*by).agg(
+    rows = ledger if method is None else ledger.withColumn("method", F.lit(method))
+    sums = rows.groupBy(*by, "method").agg(
         F.count(F.lit(1)).alias("query_count"),
-        chosen.alias("method") if method is None else F.first(chosen).alias("method"),
         F.sum("epsilon").alias("_se"), F.max("epsilon").alias("_me"),
         F.sum("delta").alias("_sd"), F.max("delta").alias("_md"),
     )
@@ -188,7 +187,9 @@ def can_afford(
 
 
 CHUNK = 2_000
-SLACK = 1e-9
+#: Sums of a queue are decimals: adding in another order gives the same sum, so no
+#: decision depends on whether a request was admitted in bulk or one by one.
+EXACT = "decimal(28,18)"
 _SUMS = ("k", "se", "me", "sd", "md")
 
 
@@ -209,9 +210,14 @@ def admit(
     ``chunk`` requests one by one. Composed epsilon never falls, so a request
     larger than what is left is refused for good and drops out of the next
     round. What a round leaves behind is a few numbers per dataset.
+
+    A request is known by (dataset, query_id); a repeated pair is an error.
+    Costs are summed as decimals with 18 places.
     """
     if method not in METHODS:
         raise ValueError(f"unknown composition {method}, use one of {METHODS}")
+    if not requests.groupBy("dataset", "query_id").count().where("count > 1").isEmpty():
+        raise ValueError("a (dataset, query_id) occurs more than once")
     limits = totals.where("total_epsilon is not null").select("dataset", "total_epsilon", "total_delta")
     columns = requests.columns
     if method == PARALLEL:
@@ -226,10 +232,10 @@ def admit(
     )
     stamp = queue.schema["ts"].dataType.simpleString()
     place_type = f"struct<ts:{stamp},query_id:string>"
-    span_type = f"array<struct<start:{place_type},until:{stamp},k:bigint,se:double,me:double,sd:double>>"
+    span_type = f"array<struct<start:{place_type},until:{stamp},k:bigint,se:{EXACT},me:double,sd:{EXACT}>>"
     none = F.lit(None).cast("double")
     states = materialize(limits.withColumns({
-        "k": F.lit(0).cast("bigint"), "se": F.lit(0.0), "me": F.lit(0.0), "sd": none, "md": none,
+        "k": F.lit(0).cast("bigint"), "se": F.lit(0).cast(EXACT), "me": F.lit(0.0), "sd": none.cast(EXACT), "md": none,
         "done": F.lit(None).cast(place_type),
         "spans": F.array().cast(span_type),
     }))
@@ -244,7 +250,7 @@ def admit(
             states = materialize(_admit_in_bulk(waiting, states, method, delta_prime))
             waiting = _waiting(queue, states, method, delta_prime)
         folded = materialize(_fold(waiting, states, method, delta_prime, chunk))
-        found = folded.select(F.explode("taken").alias("query_id"))
+        found = folded.select("dataset", F.explode("taken").alias("query_id"))
         taken = found if taken is None else taken.unionByName(found)
         states = folded.drop("taken")
     place = F.struct("ts", "query_id")
@@ -258,22 +264,28 @@ def admit(
     if taken is None:
         accepted = in_span
     else:
-        marked = marked.join(taken.withColumn("_taken", F.lit(True)), "query_id", "left")
+        marked = marked.join(taken.withColumn("_taken", F.lit(True)), ["dataset", "query_id"], "left")
         accepted = in_span | F.col("_taken").isNotNull()
     return marked.withColumn("admitted", F.col("spans").isNull() | accepted).select(*columns, "admitted")
 
 
+def _plus(total: Column, cost: Column) -> Column:
+    """Decimal sum; null only if both are."""
+    none = F.lit(0).cast(EXACT)
+    added = F.coalesce(total.cast(EXACT), none) + F.coalesce(cost.cast(EXACT), none)
+    return F.when(total.isNotNull() | cost.isNotNull(), added.cast(EXACT))
+
+
 def _may_fit(
     k: Column, se: Column, me: Column, sd: Column, method: str, delta_prime: float
 ) -> Column:
     """Whether a request could still be admitted, now or after others. Both
     sums only grow, so what fails here is refused for good."""
     epsilon, delta = F.col("epsilon"), F.col("delta")
-    cost = se + epsilon
+    cost = _plus(se, epsilon).cast("double")
     if method == ADVANCED:
         cost = F.least(cost, advanced_epsilon(k + 1, F.greatest(me, epsilon), delta_prime))
-    spent = add_budgets(epsilon, sd, epsilon, delta)[1]
-    return fits(cost, spent, F.col("total_epsilon"), F.col("total_delta"))
+    return fits(cost, _plus(sd, delta).cast("double"), F.col("total_epsilon"), F.col("total_delta"))
 
 
 def _waiting(queue: DataFrame, states: DataFrame, method: str, delta_prime: float) -> DataFrame:
@@ -288,8 +300,8 @@ def _waiting(queue: DataFrame, states: DataFrame, method: str, delta_prime: floa
     k, se, me, sd, md = sums
     eps, delta = F.col("epsilon"), F.col("delta")
     cost, cost_delta = _composed(
-        F.lit(method), k + 1, se + eps, F.greatest(me, eps), add_budgets(eps, sd, eps, delta)[1],
-        F.greatest(md, delta), delta_prime,
+        F.lit(method), k + 1, _plus(se, eps).cast("double"), F.greatest(me, eps),
+        _plus(sd, delta).cast("double"), F.greatest(md, delta), delta_prime,
     )
     ok = fits(cost, cost_delta, F.col("total_epsilon"), F.col("total_delta"))
     firsts = pending.where(ok).groupBy("dataset").agg(F.min(place).alias("start"))
@@ -303,8 +315,8 @@ def _admit_in_bulk(waiting: DataFrame, states: DataFrame, method: str, delta_pri
     """States after admitting, per dataset, all requests before the first
     moment at which the running cost would not fit."""
     moments = waiting.groupBy("dataset", "ts").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("epsilon").alias("se"), F.max("epsilon").alias("me"),
-        F.sum("delta").alias("sd"), F.max("delta").alias("md"), F.first("start").alias("start"),
+        F.count(F.lit(1)).alias("k"), F.sum(F.col("epsilon").cast(EXACT)).cast(EXACT).alias("se"), F.max("epsilon").alias("me"),
+        F.sum(F.col("delta").cast(EXACT)).cast(EXACT).alias("sd"), F.max("delta").alias("md"), F.first("start").alias("start"),
     )
     # time ranges shared by all datasets; the borders only balance the work
     most = most_ranges(waiting)
@@ -330,17 +342,17 @@ def _admit_in_bulk(waiting: DataFrame, states: DataFrame, method: str, delta_pri
         parts = [F.col(f"now_{name}"), F.col(f"_{name}"), F.col(name)]
         if merge[name] is F.max:
             return F.greatest(*parts)
-        total = F.coalesce(parts[0], F.lit(0)) + F.coalesce(parts[1], F.lit(0)) + F.coalesce(parts[2], F.lit(0))
-        known = parts[0].isNotNull() | parts[1].isNotNull() | parts[2].isNotNull()
-        return F.when(known, total)
+        if name == "k":
+            return sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0)))
+        return _plus(_plus(parts[0], parts[1]), parts[2])
 
     now = states.select("dataset", "total_epsilon", "total_delta", *[F.col(c).alias(f"now_{c}") for c in _SUMS])
     sums = running.join(now, "dataset").select(
         "dataset", "ts", "start", "total_epsilon", "total_delta", *[reached(c).alias(c) for c in _SUMS]
     )
-    epsilon, delta = _composed(F.lit(method), *[F.col(c) for c in _SUMS], delta_prime)
-    # ties with the total are left to the fold, which adds in order
-    safe = fits(epsilon + SLACK, delta, F.col("total_epsilon"), F.col("total_delta"))
+    k, se, me, sd, md = (F.col(c) for c in _SUMS)
+    epsilon, delta = _composed(F.lit(method), k, se.cast("double"), me, sd.cast("double"), md, delta_prime)
+    safe = fits(epsilon, delta, F.col("total_epsilon"), F.col("total_delta"))
     judged = sums.withColumn("_safe", safe)
     stops = judged.groupBy("dataset").agg(F.min(F.when(~F.col("_safe"), F.col("ts"))).alias("_stop"))
     reached_sums = (
@@ -373,18 +385,21 @@ def _fold(waiting: DataFrame, states: DataFrame, method: str, delta_prime: float
         F.sort_array(F.collect_list(F.struct("ts", "query_id", "epsilon", "delta"))).alias("queue")
     )
     start = F.struct(*_SUMS, F.array().cast("array<string>").alias("taken"))
-    kind = "struct<k:bigint,se:double,me:double,sd:double,md:double,taken:array<string>>"
+    kind = f"struct<k:bigint,se:{EXACT},me:double,sd:{EXACT},md:double,taken:array<string>>"
 
     def step(state: Column, query: Column) -> Column:
         eps, delta = query["epsilon"], query["delta"]
         after = {
             "k": state["k"] + 1,
-            "se": state["se"] + eps,
+            "se": _plus(state["se"], eps),
             "me": F.greatest(state["me"], eps),
-            "sd": add_budgets(eps, state["sd"], eps, delta)[1],
+            "sd": _plus(state["sd"], delta),
             "md": F.greatest(state["md"], delta),
         }
-        cost, cost_delta = _composed(F.lit(method), *after.values(), delta_prime)
+        cost, cost_delta = _composed(
+            F.lit(method), after["k"], after["se"].cast("double"), after["me"], after["sd"].cast("double"),
+            after["md"], delta_prime,
+        )
         ok = fits(cost, cost_delta, F.col("total_epsilon"), F.col("total_delta"))
         taken = F.concat(state["taken"], F.array(query["query_id"]))
         moved = F.struct(*[v.alias(c) for c, v in after.items()], taken.alias("taken")).cast(kind)
@@ -439,8 +454,10 @@ def queries_of(ledger: DataFrame, column: str | None = None, mechanism: str | No
 
 
 def annul(ledger: DataFrame, query_ids: DataFrame) -> DataFrame:
-    """The ledger without the named queries (a table with ``query_id``)."""
-    return ledger.join(query_ids.select("query_id").distinct(), "query_id", "left_anti")
+    """The ledger without the named queries (a table with ``dataset`` and
+    ``query_id``): an id of one dataset says nothing about another's."""
+    named = query_ids.select("dataset", "query_id").distinct()
+    return ledger.join(named, ["dataset", "query_id"], "left_anti")
 
 
 def release_entries(release: Release, dataset: str, name: str) -> DataFrame:
@@ -450,7 +467,7 @@ def release_entries(release: Release, dataset: str, name: str) -> DataFrame:
     spark = release.source.sparkSession
     rows = [
         (
-            f"{name}/{o.column}", dataset, name, o.epsilon, o.delta, o.mechanism, o.column,
+            f"{dataset}/{name}/{o.column}", dataset, name, o.epsilon, o.delta, o.mechanism, o.column,
             {
                 "draws": str(o.draws),
                 "epsilon_composed": repr(o.epsilon * (o.draws or 0)),

@@ -65,12 +65,14 @@ def profile_numeric(
     columns = list(columns or numeric_columns(df))
     cells = numeric_cells(df, columns)
     value = F.col("value")
-    shaped = (F.count(value) >= 3) & (F.stddev_samp(value) > 0)
+    # merged variances of a constant are not exactly zero
+    constant = F.min(value) == F.max(value)
+    shaped = (F.count(value) >= 3) & ~constant
     moments = cells.groupBy("column").agg(
         F.count(value).alias("count"),
         F.count_if(value.isNull()).alias("null_count"),
         F.avg(value).alias("mean"),
-        F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value)).alias("std"),
+        F.when(constant, 0.0).otherwise(F.stddev_samp(value)).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         F.when(shaped, F.skewness(value)).alias("skewness"),
@@ -342,7 +344,8 @@ def profile_dataset(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def fingerprint(df: DataFrame) -> DataFrame:
     """Content key under which a saved profile may be reused: row order does
     not matter, any changed cell does."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    # the hash skips nulls, so that a flag beside each cell tells where they stand
+    row = F.xxhash64(*[x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
     shape = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)
     return df.agg(
         F.count(F.lit(1)).alias("rows"),

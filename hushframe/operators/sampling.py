@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from hushframe.functions import keyed
-from hushframe.functions.noise import gumbel
+from hushframe.functions.noise import check_epsilon, check_sensitivity, gumbel
 from hushframe.functions.search import count_where_prefix, plan_array
 from hushframe.operators.ordered import value_counts
 from hushframe.session import materialize
@@ -201,14 +201,21 @@ def select_per_group(
     draws: int = 1,
 ) -> DataFrame:
     """Private argmax per group (exponential mechanism, Gumbel form). With
-    several draws every draw has its own noise and its own cost."""
+    several draws every draw has its own noise and its own cost. A NaN or null
+    score and a group of one candidate are errors."""
+    check_epsilon(epsilon)
+    check_sensitivity(sensitivity)
     key = keyed.key_columns(scores, [*by, candidate])
     secret_value = keyed.secret_column(secret)
     rows = scores.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     digest = keyed.cell_digest(secret_value, release, candidate, [*key, F.col("draw").cast("string")])
-    noisy = F.col(score) * F.lit(epsilon / (2 * sensitivity)) + gumbel(keyed.uniform(digest))
-    return (
+    value = F.col(score).cast("double")
+    sound = F.when(value.isNull() | F.isnan(value), F.raise_error(F.lit("a score is not a number")).cast("double")).otherwise(value)
+    noisy = sound * F.lit(epsilon / (2 * sensitivity)) + gumbel(keyed.uniform(digest))
+    chosen = (
         rows.withColumn("_noisy", noisy)
         .groupBy(*by, "draw")
         .agg(F.max_by(candidate, "_noisy").alias("selected"), F.count(F.lit(1)).alias("candidates"))
     )
+    enough = F.when(F.col("candidates") < 2, F.raise_error(F.lit("a group has one candidate only")).cast("bigint")).otherwise(F.col("candidates"))
+    return chosen.withColumn("candidates", enough)

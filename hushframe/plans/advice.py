@@ -151,19 +151,20 @@ SQL["content_scan_tokens"] = scan_sql(
 
 
 def refined(spark, sf):
-    df = contacts(spark, sf)
-    listed = catalog.catalog_of({"contacts": df})
-    judged = catalog.classify(listed, catalog.NameRules().with_override("col_e", "low"))
-    return catalog.refine_by_content(judged, catalog.content_scan(df, _SCANNED)).select(
-        "column", "level", "confidence", "pattern", "is_override")
+    """Two tables with a column of the same name; one of them holds personal data."""
+    tables = {"contacts": contacts(spark, sf), "plain": table(spark, sf, "customer").select(F.col("c_name").alias("col_a"))}
+    judged = catalog.classify(catalog.catalog_of(tables), catalog.NameRules().with_override("col_e", "low"))
+    return catalog.refine_by_content(judged, catalog.content_scan_of(tables)).select(
+        "table", "column", "level", "confidence", "pattern", "is_override")
 
 
 QUERIES["refine_by_content"] = refined
 SQL["refine_by_content"] = f"""WITH {CONTACTS}, scan AS ({SQL['content_scan'].split(' ', 1)[1].replace(CONTACTS, '', 1)})
-SELECT "column", CASE WHEN "column" = 'col_e' THEN 'low' WHEN detected IS NOT NULL THEN 'high' ELSE 'medium' END AS level,
+SELECT 'contacts' AS "table", "column", CASE WHEN "column" = 'col_e' THEN 'low' WHEN detected IS NOT NULL THEN 'high' ELSE 'medium' END AS level,
  CASE WHEN "column" = 'col_e' THEN 1.0 WHEN detected IS NOT NULL THEN 0.85 ELSE 0.5 END::DOUBLE AS confidence,
  CASE WHEN "column" <> 'col_e' THEN 'content:' || detected END AS pattern, "column" = 'col_e' AS is_override FROM scan
-UNION ALL SELECT 'c_custkey', 'medium', 0.5, NULL, false FROM customer GROUP BY 1"""
+UNION ALL SELECT 'contacts', 'c_custkey', 'medium', 0.5, NULL, false FROM customer GROUP BY 1
+UNION ALL SELECT 'plain', 'col_a', 'medium', 0.5, NULL, false FROM customer GROUP BY 1"""
 
 # --- epsilon ------------------------------------------------------------------
 

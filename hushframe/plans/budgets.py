@@ -168,8 +168,9 @@ SQL["ledger_filter"] = f"""WITH {ENTRIES} SELECT query_id, dataset, {r('epsilon'
 
 
 def annulled(spark, sf):
-    cancelled = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(
+    returned = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(
         F.col("l_orderkey").cast("string").alias("query_id"))
+    cancelled = entries(spark, sf).join(returned, "query_id", "left_semi")
     return rounded(ledger.compose_basic(ledger.annul(entries(spark, sf), cancelled)), 9)
 
 

@@ -45,7 +45,8 @@ GAPS = """gaps AS (SELECT * REPLACE (
 
 def sql_uniform(column: str, key: str, draw: int = 0, release: str = RELEASE) -> str:
     """The keyed uniform in SQL; ``key`` is a list of SQL expressions."""
-    text = f"concat_ws('|', '{SECRET}', '{release}', '{column}', {key})"
+    parts = ", ".join(f"'{len(part)}:{part}'" for part in (SECRET, release, column))
+    text = f"concat_ws('|', {parts}, {key})"
     return f"((('0x' || substr(sha256({text}), {1 + 13 * draw}, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
 
 

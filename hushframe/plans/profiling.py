@@ -247,7 +247,7 @@ SQL["corr_pearson"] = f"WITH {GAPS} " + _union(
   {r(f'corr({a}, {b})')} AS correlation FROM gaps""" for x, y in _pairs(CORRELATED) for a, b in ((x, y), (y, x))]
     + [f"SELECT '{c}', '{c}', count({c}), 1.0::DOUBLE FROM gaps" for c in CORRELATED])
 
-QUERIES["corr_pearson_wide"] = lambda spark, sf: rounded(correlate._pearson_wide(
+QUERIES["corr_pearson_wide"] = lambda spark, sf: rounded(correlate.pearson(
     lineitem_with_gaps(spark, sf), CORRELATED))
 SQL["corr_pearson_wide"] = f"WITH {GAPS} " + _union(
     f"""SELECT '{a}' AS column1, '{b}' AS column2, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n,

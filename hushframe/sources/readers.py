@@ -19,6 +19,10 @@ DATE_SHARE = 0.8
 SAMPLE_VALUES = 5
 
 
+# quotes inside a field are doubled; fields may hold line breaks and spaces at their ends
+CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+
+
 @dataclass(frozen=True)
 class Loaded:
     data: DataFrame
@@ -46,9 +50,10 @@ def load(spark: SparkSession, path: str, format: str | None = None, **options) -
 def load_csv(spark: SparkSession, path: str, encoding: str | None = None, schema=None, **options) -> Loaded:
     """CSV with a header. Without ``encoding`` the bytes decide between UTF-8
     and ISO-8859-1; without ``schema`` types are inferred, which reads the
-    file once more."""
+    file once more. Quoted fields may hold line breaks, so one file is one
+    task: at scale write many files, pass ``multiLine=False``, or use Parquet."""
     encoding = encoding or detect_encoding(spark, path)
-    reader = spark.read.option("header", True).option("encoding", encoding).options(**options)
+    reader = spark.read.options(**{**CSV, "encoding": encoding, **options})
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return Loaded(reader.csv(path), path, "csv", encoding)
 
