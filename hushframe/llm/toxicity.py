@@ -16,8 +16,8 @@ from hushframe.llm.arrays import prefix_hashes, range_hashes, text_runs
 from hushframe.llm.frames import per_batch, sampled
 
 #: Labelled rows that are learnt from at most. Half of each trains the dictionaries, half the score.
-TOXIC_ROWS = 3000
-ORDINARY_ROWS = 9000
+TOXIC_ROWS = 2400
+ORDINARY_ROWS = 6000
 WINDOW = 128
 #: Bytes a window repeats of the one before, so that a word lies whole in one of them, and
 #: bytes behind it, since the compressor looks for no match in the last ones.
@@ -26,6 +26,7 @@ OVERLAP, PADDING = 12, b"\0" * 8
 STEPS = (1, 2, 3, 4, 5, 6, 7, 9)
 FEATURES = len(STEPS) + 4
 ORDINARY_BYTES = 32 * 1024
+SAMPLE_WINDOWS = 30_000
 TOXIC_BYTES = 768
 #: Toxic samples are runs of GRAM-byte strings that no ordinary sample text holds
 #: and that at least this share of the toxic texts hold.
@@ -137,9 +138,14 @@ def learn(texts: list[bytes], labels: list[int]) -> Model:
     """A model of these texts; they are taken in the given order."""
     by_label = [[t for t, y in zip(texts, labels, strict=True) if y == k] for k in (0, 1)]
     (ordinary, held_ordinary), (toxic, held_toxic) = ((x[::2], x[1::2]) for x in by_label)
-    windows = [t[i:i + WINDOW] for t in ordinary for i in range(0, len(t), WINDOW)]
-    turns = np.random.default_rng(3).permutation(len(windows))[:30_000]
-    base = _dictionary(ORDINARY_BYTES, [windows[i] for i in turns], 64) if windows else b"-"
+    upto = np.cumsum([-(-len(t) // WINDOW) for t in ordinary])  # windows of the texts so far
+    turns = np.random.default_rng(3).permutation(upto[-1] if len(upto) else 0)[:SAMPLE_WINDOWS]
+    windows = []
+    for turn in turns:
+        text = int(np.searchsorted(upto, turn, "right"))
+        start = int(turn - (upto[text - 1] if text else 0)) * WINDOW
+        windows.append(ordinary[text][start:start + WINDOW])
+    base = _dictionary(ORDINARY_BYTES, windows, 64) if windows else b"-"
     shared = _toxic_samples(toxic, ordinary)
     extra = _dictionary(TOXIC_BYTES, shared, 32) if shared else b""
     model = Model(base, extra, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
