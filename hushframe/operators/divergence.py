@@ -115,9 +115,10 @@ def bin_of(value: Column, low: Column, high: Column, bins: Column) -> Column:
 def histogram(
     cells: DataFrame, bins: int | DataFrame = 50, by: Sequence[str] = ("column",), masked: bool = True
 ) -> DataFrame:
-    """Equal-width bins over the common range, empty ones included:
-    (by..., bin, bin_low, bin_high, n_o, n_p). ``bins`` may be a table
-    (by..., low, high, bins)."""
+    """Equal-width bins over the common range: (by..., bin, bin_low, bin_high,
+    n_o, n_p). ``bins`` is a number, and empty bins are listed too; or a table
+    (by..., low, high, bins), whose numbers come from the data and have no
+    bound, so that only bins with a row on some side are listed."""
     by = list(by)
     cells = complete(cells) if masked else cells
     if isinstance(bins, DataFrame):
@@ -134,6 +135,8 @@ def histogram(
         .where(F.col("bin").isNotNull())
         .groupBy(*by, "bin").agg(F.sum("_o").alias("n_o"), F.sum("_p").alias("n_p"))
     )
+    if isinstance(bins, DataFrame):
+        return _with_edges(found.join(F.broadcast(ranges), by), by, "n_o", "n_p")
     return _with_empty_bins(found, ranges, by)
 
 
@@ -156,14 +159,17 @@ def histogram_of_counts(counts: DataFrame, bins: int = 50, by: Sequence[str] = (
 
 
 def _with_empty_bins(found: DataFrame, ranges: DataFrame, by: Sequence[str]) -> DataFrame:
-    low, high, count = F.col("low"), F.col("high"), F.col("bins")
-    width = (high - low) / count
-    frame = ranges.withColumn("bin", F.explode(F.sequence(F.lit(1).cast("bigint"), count))).select(
+    frame = _with_edges(ranges.withColumn("bin", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("bins")))), by)
+    return frame.join(found, [*by, "bin"], "left").fillna(0, ["n_o", "n_p"])
+
+
+def _with_edges(numbered: DataFrame, by: Sequence[str], *rest: str) -> DataFrame:
+    low, width = F.col("low"), (F.col("high") - F.col("low")) / F.col("bins")
+    return numbered.select(
         *by, "bin",
         (low + (F.col("bin") - 1) * width).alias("bin_low"),
-        (low + F.col("bin") * width).alias("bin_high"),
+        (low + F.col("bin") * width).alias("bin_high"), *rest,
     )
-    return frame.join(found, [*by, "bin"], "left").fillna(0, ["n_o", "n_p"])
 
 
 def side_cdfs(counts: DataFrame, by: Sequence[str] = ("column",), w_o: str = "n_o", w_p: str = "n_p") -> DataFrame:

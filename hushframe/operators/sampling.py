@@ -115,7 +115,10 @@ def category_laws(
 
     What reaches the driver is bounded: per column at most ``head`` categories
     and the levels whose probability is not zero in a double. Levels differ in
-    their counts, so n rows have at most sqrt(2 n) of them.
+    their counts, so n rows have at most sqrt(2 n) of them. The law does not
+    depend on ``head``, but which category a uniform stands for does: it is part
+    of a release, like the secret, and a release that is to be repeated cell by
+    cell must be made with the same value.
     """
     spark = df.sparkSession
     # read several times below and again by the draws: one pass over the table

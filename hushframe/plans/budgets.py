@@ -124,9 +124,9 @@ folded AS (SELECT dataset, list_reduce(queue, lambda s, q:
   THEN {{'e': s.e + q.e, 'd': CASE WHEN s.d IS NULL AND q.d IS NULL THEN NULL ELSE coalesce(s.d, 0) + coalesce(q.d, 0) END,
          'ids': list_concat(s.ids, q.ids)}}
   ELSE s END, {{'e': 0.0::DOUBLE, 'd': NULL::DOUBLE, 'ids': []::VARCHAR[]}}) AS state FROM queues),
-taken AS (SELECT unnest(state.ids) AS query_id FROM folded)
+taken AS (SELECT dataset, unnest(state.ids) AS query_id FROM folded)
 SELECT r.query_id, r.dataset, total_epsilon IS NULL OR t.query_id IS NOT NULL AS admitted
-FROM requests r JOIN budgets USING (dataset) LEFT JOIN taken t ON t.query_id = r.query_id"""
+FROM requests r JOIN budgets USING (dataset) LEFT JOIN taken t ON t.query_id = r.query_id AND t.dataset = r.dataset"""
 
 QUERIES["ledger_admission_parallel"] = lambda spark, sf: ledger.admit(
     requests(spark, sf), budgets(spark, sf), "parallel").select("query_id", "dataset", "admitted")
@@ -134,10 +134,24 @@ SQL["ledger_admission_parallel"] = f"""WITH {ENTRIES}, {BUDGETS}, {_REQUESTS}
 SELECT query_id, dataset, total_epsilon IS NULL OR (epsilon <= total_epsilon AND (delta IS NULL OR coalesce(delta <= total_delta, false))) AS admitted
 FROM requests JOIN budgets USING (dataset)"""
 
-# advanced composition of an ordered stream is checked against a plain fold in the tests
 QUERIES["ledger_admission_advanced"] = lambda spark, sf: ledger.admit(
     requests(spark, sf).withColumn("epsilon", F.col("epsilon") / 10), budgets(spark, sf), "advanced"
 ).groupBy("dataset", "admitted").agg(F.count(F.lit(1)).alias("n"))
+_K, _M, _S, _D = "(s.k + 1)", "greatest(s.m, q.m)", "(s.e + q.e)", "(coalesce(s.d, 0) + coalesce(q.d, 0))"
+_TIGHT = f"(sqrt(2 * {_K} * ln(1e10)) * {_M} + {_K} * {_M} * (exp({_M}) - 1))"
+_DELTA = f"(CASE WHEN {_TIGHT} < {_S} THEN {_D} + 1e-10 WHEN {_D} = 0 THEN NULL ELSE {_D} END)"
+SQL["ledger_admission_advanced"] = f"""WITH {ENTRIES}, {BUDGETS},
+requests AS (SELECT * REPLACE ((epsilon + 0.0001) / 10 AS epsilon), row_number() OVER (PARTITION BY dataset ORDER BY ts, query_id) AS rn FROM entries),
+queues AS (SELECT dataset, total_epsilon, total_delta,
+  list({{'k': 1::BIGINT, 'e': epsilon::DOUBLE, 'm': epsilon::DOUBLE, 'd': delta::DOUBLE, 'ids': [query_id]}} ORDER BY rn) AS queue
+  FROM requests JOIN budgets USING (dataset) WHERE total_epsilon IS NOT NULL GROUP BY dataset, total_epsilon, total_delta),
+folded AS (SELECT dataset, list_reduce(queue, lambda s, q:
+  CASE WHEN least({_TIGHT}, {_S}) <= total_epsilon AND ({_DELTA} IS NULL OR coalesce({_DELTA} <= total_delta, false))
+  THEN {{'k': {_K}, 'e': {_S}, 'm': {_M}, 'd': CASE WHEN s.d IS NULL AND q.d IS NULL THEN NULL ELSE {_D} END, 'ids': list_concat(s.ids, q.ids)}}
+  ELSE s END, {{'k': 0::BIGINT, 'e': 0.0::DOUBLE, 'm': 0.0::DOUBLE, 'd': NULL::DOUBLE, 'ids': []::VARCHAR[]}}) AS state FROM queues),
+taken AS (SELECT dataset, unnest(state.ids) AS query_id FROM folded)
+SELECT r.dataset, total_epsilon IS NULL OR t.query_id IS NOT NULL AS admitted, count(*) AS n
+FROM requests r JOIN budgets USING (dataset) LEFT JOIN taken t ON t.query_id = r.query_id AND t.dataset = r.dataset GROUP BY 1, 2"""
 
 QUERIES["ledger_afford"] = lambda spark, sf: ledger.can_afford(
     entries(spark, sf), budgets(spark, sf),

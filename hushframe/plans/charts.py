@@ -35,7 +35,7 @@ QUERIES["hist_auto"] = lambda spark, sf: rounded(tables.histogram_auto(
     _gappy(spark, sf), ["o_totalprice"]), 12, bin_low=3, bin_high=3)
 SQL["hist_auto"] = f"""WITH {SIDES}, u AS (SELECT v FROM side_o UNION ALL SELECT v FROM side_p),
 auto AS (SELECT ceil((max(v) - min(v)) / least(2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / pow(count(*), 1 / 3.0),
- (max(v) - min(v)) / (log2(count(*)) + 1)))::BIGINT AS k FROM u), {overlay_sql('(SELECT k FROM auto)')}"""
+ (max(v) - min(v)) / (log2(count(*)) + 1)))::BIGINT AS k FROM u), {overlay_sql('(SELECT k FROM auto)')} QUALIFY n_o + n_p > 0"""
 
 QUERIES["corr_diff_table"] = lambda spark, sf: rounded(tables.correlation_table(
     lineitem_pairs(spark, sf), NUMBERS, threshold=0.005))

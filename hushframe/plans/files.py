@@ -30,6 +30,22 @@ QUERIES["csv_round_trip"] = csv_round_trip
 SQL["csv_round_trip"] = "SELECT * FROM customer"
 
 
+def csv_text_round_trip(spark, sf):
+    """Documents with line breaks and quotes, written and read back: how many
+    rows there are, and how many differ from the ones written."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit(' "a ""b"", c" '), "text", F.lit("\n;, ")).alias("text"), "lang")
+    path = _path(spark, "csv")
+    done = writers.export(docs, path)
+    back = readers.load(spark, path, schema=docs.schema).data
+    lost = docs.exceptAll(back).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return back.agg(F.count(F.lit(1)).alias("rows")).select("rows", lost.alias("lost"), F.lit(done.row_count).cast("bigint").alias("reported"))
+
+
+QUERIES["csv_text_round_trip"] = csv_text_round_trip
+SQL["csv_text_round_trip"] = "SELECT count(*) AS rows, 0::BIGINT AS lost, count(*) AS reported FROM documents"
+
+
 def parquet_round_trip(spark, sf):
     release = orders_release(spark, sf, unique_key=True)
     path = _path(spark, "parquet")

@@ -51,7 +51,8 @@ def load_csv(spark: SparkSession, path: str, encoding: str | None = None, schema
     """CSV with a header. Without ``encoding`` the bytes decide between UTF-8
     and ISO-8859-1; without ``schema`` types are inferred, which reads the
     file once more. Quoted fields may hold line breaks, so one file is one
-    task: at scale write many files, pass ``multiLine=False``, or use Parquet."""
+    task: at scale write many files, pass ``multiLine=False``, or use Parquet.
+    An empty text and a missing one look alike and are both read as null."""
     encoding = encoding or detect_encoding(spark, path)
     reader = spark.read.options(**{**CSV, "encoding": encoding, **options})
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
