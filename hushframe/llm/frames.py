@@ -17,6 +17,18 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
+#: Arrow batches to and from Python: Spark's defaults of 10000 rows and 64 MB hold, for two
+#: tasks on an executor, several hundred MB of texts outside its heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches made small from here on."""
+    for setting, value in BATCH.items():
+        df.sparkSession.conf.set(setting, value)
+    return df
+
+
 #: Bytes of input a worker handles at once, about; a longer row is handled alone.
 SLICE = 4 << 20
 
@@ -30,7 +42,7 @@ def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], s
             for first in range(0, batch.num_rows, rows):
                 yield work(batch.slice(first, rows))
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:

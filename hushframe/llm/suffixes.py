@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushframe.llm.arrays import mix, prefix_hashes, range_hashes, text_runs
-from hushframe.llm.frames import materialize, per_batch
+from hushframe.llm.frames import materialize, per_batch, small_batches
 
 #: Bytes of a repeated string, and of the grams among which an anchor is chosen.
 LENGTH = 400
@@ -171,7 +171,7 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
         if kept is not None and kept.num_rows:
             yield spans(kept)
 
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(work, _SPANS)
+    return small_batches(contexts).repartition("gram").sortWithinPartitions("gram").mapInArrow(work, _SPANS)
 
 
 def _counted_groups(contexts: DataFrame) -> DataFrame:
