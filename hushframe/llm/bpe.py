@@ -19,7 +19,7 @@ from hushframe.llm.frames import per_batch
 PIECE = re.compile(r"(?<=\S)(?= \S)")
 
 #: Pieces whose ids a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
