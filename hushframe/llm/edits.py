@@ -83,7 +83,7 @@ class SegmentTree:
 
 def build(text: str, model: Coder) -> SegmentTree:
     parts = leaves(text) or [""]
-    return SegmentTree(parts, model.count(parts))
+    return SegmentTree(parts, np.array([model.count(p) for p in parts]))
 
 
 def edit(tree: SegmentTree, start: int, end: int, new: str, model: Coder) -> int:
@@ -119,11 +119,11 @@ def edit(tree: SegmentTree, start: int, end: int, new: str, model: Coder) -> int
         counts = tree.sums[tree.size:tree.size + len(tree.texts), 1]
         grown = SegmentTree(
             tree.texts[:first] + parts + tree.texts[last + 1:],
-            np.concatenate([counts[:first], model.count(parts), counts[last + 1:]]),
+            np.concatenate([counts[:first], [model.count(p) for p in parts], counts[last + 1:]]),
         )
         tree.texts, tree.size, tree.sums = grown.texts, grown.size, grown.sums
     else:
-        tree.put(first, text, int(model.count([text])[0]))
+        tree.put(first, text, model.count(text))
         for leaf in range(first + 1, last + 1):
             tree.put(leaf, "", 0)
     return len(text)
@@ -177,9 +177,10 @@ def sample_edits(text_col: str = "text") -> F.Column:
     """Three edits of any text: a word put in at a third, a quarter of the text's
     second half cut out, the first 40 characters copied to the end."""
     n = F.coalesce(F.length(text_col), F.lit(0))
-    third, half = (n / 3).cast("int"), (n / 2).cast("int")
+    third, half, put_in = (n / 3).cast("int"), (n / 2).cast("int"), " inserted words"
+    end = n + len(put_in)  # at or beyond the end after the first two edits
     return F.array(
-        F.struct(third.alias("start"), third.alias("stop"), F.lit(" inserted words").alias("text")),
+        F.struct(third.alias("start"), third.alias("stop"), F.lit(put_in).alias("text")),
         F.struct(half.alias("start"), (half + n / 8).cast("int").alias("stop"), F.lit("").alias("text")),
-        F.struct((n * 2).alias("start"), (n * 2).alias("stop"), F.substring(F.coalesce(text_col, F.lit("")), 1, 40).alias("text")),
+        F.struct(end.alias("start"), end.alias("stop"), F.substring(F.coalesce(text_col, F.lit("")), 1, 40).alias("text")),
     )
