@@ -40,8 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with the digests of ids and decoded bytes."""
-    decoded = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
-    return bpe.digests(decoded)
+    return bpe.digests(bpe.round_trip(docs, vocabulary()))
 
 
 STAGES = [

@@ -41,6 +41,7 @@ def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], s
             rows = max(1, batch.num_rows * SLICE // max(batch.nbytes, 1))
             for first in range(0, batch.num_rows, rows):
                 yield work(batch.slice(first, rows))
+                pa.default_memory_pool().release_unused()
 
     return small_batches(df).mapInArrow(run, schema)
 

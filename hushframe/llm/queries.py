@@ -38,8 +38,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(_documents(spark, sf_dir), vocabulary())
-    return bpe.digests(bpe.decode(encoded, vocabulary()))
+    return bpe.digests(bpe.round_trip(_documents(spark, sf_dir), vocabulary()))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
