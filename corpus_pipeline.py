@@ -4,38 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushframe.llm import bpe, contentsort, minhash, mixing
+from hushframe.llm import bpe, contentsort, minhash, mixing, toxicity
 from hushframe.llm.frames import materialize
-from hushframe.llm.queries import toxicity_scores, vocabulary
+from hushframe.llm.queries import TOXIC_SCORE, toxicity_model, vocabulary
 
+#: Key of a row within a stage; doc_ids may repeat or be null.
+ROW = "_row_key"
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ``ids``; rows that share an id share the decision."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row: the number of its Parquet file and its place
+    in it. Rows that are not read straight from files are written once with a key."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    place = docs.metadataColumn("_metadata")
+    placed = docs.select("*", place["file_path"].alias("_file"), place["row_index"].alias("_at"))
+    # one row per file, broadcast
+    files = materialize(placed.select("_file").distinct().coalesce(1).withColumn("_number", F.monotonically_increasing_id()))
+    key = F.shiftleft("_number", 40) + F.col("_at")
+    return placed.join(F.broadcast(files), "_file").withColumn(ROW, key).select(*docs.columns, ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject. It learns from the labels
     of the documents it is given, the held-out ones aside."""
-    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _with_ids(docs, scores.where("predicted = 0"))
+    model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.with_score(docs, model, "_score").where(F.col("_score") < TOXIC_SCORE).drop("_score")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The longest, then first document of each group of equal texts."""
-    return _with_ids(docs, contentsort.exact_duplicates(docs).where("kept"))
+    """The longest, then first row of each group of equal texts. Rows without a
+    text are a group apart from empty texts."""
+    rows = _numbered(docs)
+    kept = contentsort.exact_duplicates(rows.where("text IS NOT NULL"), row_col=ROW).where("kept").select(ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))
+    textless = rows.where("text IS NULL").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(kept.union(textless), ROW, "left_semi").drop(ROW)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
-    return _with_ids(docs, minhash.near_duplicates(docs).where("kept"))
+    """The first row of each group of near duplicates."""
+    rows = _numbered(docs)
+    kept = minhash.near_duplicates(rows, row_col=ROW).where("kept").select(ROW)
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix begins it: not at all, once or twice."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    chosen = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return chosen.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """Each row as often as the mix begins it: not at all, once or twice."""
+    rows = _numbered(docs)
+    copies = mixing.mix(rows, row_col=ROW).where("copies > 0").select(ROW, F.col("copies").alias("_copies"))
+    chosen = rows.join(copies, ROW)
+    return chosen.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[rows[c] for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,11 +21,11 @@ def normalised(text: str) -> Column:
 
 
 def _first() -> Column:
-    """Orders rows of a group: most code points, then smallest id, null ids last."""
-    return F.min(F.struct(-F.col("n_points"), F.col("doc_id").isNull(), "doc_id"))
+    """Orders rows of a group: most code points, then smallest id, null ids last, then row key."""
+    return F.min(F.struct(-F.col("n_points"), F.col("doc_id").isNull(), "doc_id", "row"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their normalised contents are. Sampled splitters
@@ -38,27 +38,34 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     space. Rows that share a doc_id are kept or dropped together; a row
     without an id is kept only if its whole group has none. An empty table
     gives no rows.
+
+    With ``row_col``, a column of unique longs, ``kept`` tells rows apart: one row
+    of each group stays, whatever ids repeat or are null, and the column is
+    returned as well.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    text = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     contents = text.select(
-        "doc_id", normalised("text").alias("content"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"),
+        "row", "doc_id", normalised("text").alias("content"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"),
     ).withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
     contents = materialize(contents)  # normalised once: it is sampled and sorted below
-    digests = contents.select("doc_id", "digest")
+    digests = contents.select("row", "doc_id", "digest")
 
     least = max(LEAST_HOT, int(digests.count() * HOT_SHARE))
     hot = digests.groupBy("digest").count().where(F.col("count") > least).select(
         "digest", F.ceil(F.col("count") / least).cast("int").alias("pieces"),
     )
-    piece = F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece")
+    piece = F.pmod(F.xxhash64("row"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece")
     # at most 1 / HOT_SHARE rows are broadcast
-    sorted_ = contents.join(F.broadcast(hot), "digest", "left").select("content", piece, "digest", "doc_id", "n_points").repartitionByRange("content", "piece")
+    sorted_ = contents.join(F.broadcast(hot), "digest", "left").select("content", piece, "digest", "row", "doc_id", "n_points").repartitionByRange("content", "piece")
     equal = sorted_.groupBy("content", "piece", "digest").agg(F.count("*").alias("n"), _first().alias("first"))
     groups = materialize(
         equal.groupBy("digest").agg(F.sum("n").alias("group_size"), F.min("first").alias("first"))
-        .select("digest", "group_size", F.col("first.doc_id").alias("keep_id")),
+        .select("digest", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")),
     )
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
+    if row_col:
+        kept = F.col("row") == F.col("keep_row")
     return digests.join(groups, "digest").select(
-        "doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"),
+        *[F.col("row").alias(c) for c in [row_col] if c], "doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"),
     )

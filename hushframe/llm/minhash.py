@@ -98,11 +98,11 @@ def signature(least: np.ndarray) -> tuple[list[int], list[int]]:
     return bits.tolist(), key.view(np.int64).tolist()
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, bits array<long>, bands array<long>"
+SIGNED = "row long, doc_id long, n_shingles long, digest binary, bits array<long>, bands array<long>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, packed bits, band keys; nulls for an empty set."""
+    """row, doc_id, n_shingles, digest of the set, packed bits, band keys; nulls for an empty set."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, digests, bits, bands = [], [], [], []
@@ -114,8 +114,8 @@ def signed(docs: DataFrame) -> DataFrame:
                 bits.append(b)
                 bands.append(k)
         longs = pa.list_(pa.int64())
-        columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, longs), pa.array(bands, longs)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bits", "bands"])
+        columns = [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, longs), pa.array(bands, longs)]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_shingles", "digest", "bits", "bands"])
 
     return per_batch(docs, work, SIGNED)
 
@@ -134,26 +134,26 @@ def estimate(left: str, right: str, hashes: int = HASHES, n: int = 1) -> Column:
 
 
 def long_bits(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, long): two bits of LONG_HASHES minima of the documents named."""
+    """(row, long): two bits of LONG_HASHES minima of the rows named."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = [low_bits(minima(own, LONG_HASHES), 2).tolist() for _, data, ends in text_runs(batch, "text") for own in shingle_sets(data, ends)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.list_(pa.int64()))], names=["doc_id", "long"])
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(packed, pa.list_(pa.int64()))], names=["row", "long"])
 
-    return per_batch(named(docs, ids).where("text is not null"), work, "doc_id long, long array<long>")
+    return per_batch(named(docs, ids), work, "row long, long array<long>")
 
 
 def named(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row (doc_id, text) of each document whose id is among ``ids``, written once."""
+    """(row, text) of each row whose key is among ``ids``, written once."""
     few = ids.count() <= SENT_IDS
-    return materialize(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    return materialize(docs.select("row", "text").join(F.broadcast(ids) if few else ids, "row", "left_semi"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    texts = named(docs, materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
-    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    texts = named(docs, materialize(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()))
+    first = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
+    both = first.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -166,10 +166,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return per_batch(both.select("a", "b", "text_a", "text_b"), work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    Documents with equal sets are one class, led by the smallest id. Leaders
+    Each row has a key of its own, so rows without an id or with the same id are
+    compared like any other. Rows with equal sets are one class, led by one row. Leaders
     that share a band key are candidates. In the first round every leader of a
     key is held against the key's smallest leader; in the second, pairs of a key
     that the links so far leave in different components are held against each
@@ -178,56 +179,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second round a closer one as well; links count only after their full sets
     were compared.
 
-    Null and empty texts have no set and are linked with nothing. Rows that
-    share a doc_id count as copies of each other if their sets are equal; of
-    several sets of an id the pairs are confirmed on one. A row without an id
-    joins its class but is never its leader; without any id in the class it
-    is kept alone. Empty tables give no rows.
+    Null and empty texts have no set and are linked with nothing. The component's
+    id is its smallest doc_id, null if it has none; rows of that id are kept, or
+    all rows of a component without ids. With ``row_col``, a column of unique
+    longs of a table already written, exactly one row of a component is kept
+    (smallest doc_id, null last, then key) and the column is returned as well.
+    Empty tables give no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    texts = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts if row_col else materialize(texts)  # keys must stay with their rows
     rows = materialize(signed(texts))
-    classes = materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("leader")))
-    leaders = materialize(
-        rows.select("doc_id", "digest", "bits", "bands").join(classes.select("digest", F.col("leader").alias("doc_id")), ["doc_id", "digest"])
-        .dropDuplicates(["doc_id", "digest"]).drop("digest"),
-    )
-    keyed = leaders.select("doc_id", F.explode("bands").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"))
-    members = materialize(keyed.join(shared, "key").select("key", "a", F.col("doc_id").alias("b")))
-    bits = leaders.select("doc_id", "bits")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    classes = materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("leader"), first.alias("first")))
+    leaders = materialize(rows.select("row", "bits", "bands").join(classes.select(F.col("leader").alias("row")), "row"))
+    keyed = leaders.select("row", F.explode("bands").alias("key"))
+    shared = materialize(keyed.groupBy("key").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1"))
+    members = materialize(keyed.join(shared, "key").select("key", "a", F.col("row").alias("b")))
+    bits = leaders.select("row", "bits")
 
     def probable(pairs: DataFrame) -> DataFrame:
-        return pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a")), "a").join(
-            bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b")), "b",
+        return pairs.join(bits.select(F.col("row").alias("a"), F.col("bits").alias("bits_a")), "a").join(
+            bits.select(F.col("row").alias("b"), F.col("bits").alias("bits_b")), "b",
         ).where(estimate("bits_a", "bits_b") >= LEAST_ESTIMATE).select("a", "b")
 
     stars = materialize(probable(members.where("a <> b").select("a", "b").distinct()))
     links = materialize(confirmed(stars, texts))
     found = components(links)
 
-    placed = members.select("key", F.col("b").alias("doc_id")).join(
-        found.withColumnRenamed("node", "doc_id"), "doc_id", "left",
-    ).withColumn("component", F.coalesce("component", "doc_id"))
+    placed = members.select("key", F.col("b").alias("row")).join(
+        found.withColumnRenamed("node", "row"), "row", "left",
+    ).withColumn("component", F.coalesce("component", "row"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = materialize(placed.join(mixed, "key").join(bits, "doc_id"))
-    undecided = open_.join(long_bits(texts, open_.select("doc_id").distinct()), "doc_id")
+    open_ = materialize(placed.join(mixed, "key").join(bits, "row"))
+    undecided = open_.join(long_bits(texts, open_.select("row").distinct()), "row")
     sides = [
-        undecided.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "component", "bits", "long")]) for side in "ab"
+        undecided.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("row", "component", "bits", "long")]) for side in "ab"
     ]
     near = (estimate("bits_a", "bits_b") >= LEAST_ESTIMATE) & (estimate("long_a", "long_b", LONG_HASHES, 2) >= LEAST_LONG_ESTIMATE)
     met = sides[0].join(sides[1], "key").where(
-        (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & near,
-    ).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+        (F.col("row_a") < F.col("row_b")) & (F.col("component_a") != F.col("component_b")) & near,
+    ).select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
     others = materialize(met.join(stars, ["a", "b"], "left_anti"))
     if not others.isEmpty():
         more = materialize(confirmed(others, texts))
         found = components(links.union(more))
 
-    reached = materialize(classes.join(found.withColumnRenamed("node", "leader"), "leader", "left").select(
-        "digest", F.coalesce("component", "leader").alias("component_id"),
+    placed = materialize(classes.join(found.withColumnRenamed("node", "leader"), "leader", "left").select(
+        "digest", "first", F.coalesce("component", "leader").alias("component"),
+    ))
+    firsts = placed.groupBy("component").agg(F.min("first").alias("first"))
+    reached = materialize(placed.select("digest", "component").join(firsts, "component").select(
+        "digest", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("keep_row"),
     ))
-    component = F.coalesce("component_id", "doc_id")
-    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
-    return rows.select("doc_id", "n_shingles", "digest").join(reached, "digest", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"),
+    alone = F.col("keep_row").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = alone | F.coalesce(F.col("doc_id") == component, component.isNull())
+    if row_col:
+        kept = alone | (F.col("row") == F.col("keep_row"))
+    return rows.select("row", "doc_id", "n_shingles", "digest").join(reached, "digest", "left").select(
+        *[F.col("row").alias(c) for c in [row_col] if c], "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"),
     )

@@ -24,11 +24,12 @@ def shuffle_key(doc_id: str, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size (words; null text: 0) and the shuffle key of each document."""
+def sized(docs: DataFrame, seed: str = "mix", row_col: str | None = None) -> DataFrame:
+    """row, doc_id, source, size (words; null text: 0) and the shuffle key of each document."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"),
+        row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"),
     ).withColumn("key", shuffle_key("doc_id", seed))
 
 
@@ -115,7 +116,7 @@ def schedule(goals: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, int]:
     return filled.select("position", "number", "turn", "pass", "block", "start", "words"), block
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, slots: int = SLOTS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, slots: int = SLOTS, seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
     The documents of a source stand in an order drawn from (seed, doc_id) and
@@ -123,9 +124,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     reads, once or twice. ``taken`` counts a document's words in the slots,
     repeats included; ``copies`` in how many passes the mix begins it. Null and
     empty texts have size 0 and are never taken. A null source is a source.
-    Repeated rows are documents of their own. Empty tables give no rows.
+    Repeated rows are documents of their own; with ``row_col``, a column of unique
+    longs that is returned as well, each has its own place among rows of equal
+    id and size. Empty tables give no rows.
     """
-    sizes = materialize(sized(docs, seed))
+    sizes = materialize(sized(docs, seed, row_col))
     goals = materialize(targets(sizes, weights, share))
     slot, block = schedule(goals, slots)
     reads = materialize(slot.groupBy("number", "block").agg(
@@ -137,11 +140,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     numbered = sizes.withColumn("bucket", bucket).join(
         goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")),
     ).drop("source", "_source")
-    placed = materialize(_running(numbered, ["number"], "bucket", ["key", "doc_id", "size"], "size", "offset"))
+    placed = materialize(_running(numbered, ["number"], "bucket", ["key", "doc_id", "size", "row"], "size", "offset"))
 
     last = F.floor((F.col("offset") + F.greatest(F.col("size"), F.lit(1)) - 1) / block)
     pieces = placed.select(
-        "number", "bucket", "place", "doc_id", "size", "source_size", "target", "offset",
+        "number", "bucket", "place", "row", "doc_id", "size", "source_size", "target", "offset",
         F.explode(F.sequence(F.floor(F.col("offset") / block), last)).alias("block"),
     )
 
@@ -155,7 +158,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         starts = (F.col("size") > 0) & (F.col("offset") >= F.col("block") * block)
         return (starts & (begin < F.coalesce(words, F.lit(0)))).cast("int")
 
-    return pieces.join(reads, ["number", "block"], "left").groupBy("number", "bucket", "place", "doc_id").agg(
+    return pieces.join(reads, ["number", "block"], "left").groupBy("number", "bucket", "place", "row", "doc_id").agg(
         F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
         F.sum(overlap("once") + overlap("twice")).alias("taken"), F.sum(begun("once") + begun("twice")).cast("int").alias("copies"),
-    ).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    ).select(*[F.col("row").alias(c) for c in [row_col] if c], "doc_id", "size", "source_size", "target", "taken", "copies")

@@ -73,12 +73,21 @@ def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.without_repeats(_documents(spark, sf_dir)))
 
 
+#: Documents of this score and more are predicted to be toxic.
+TOXIC_SCORE = 0.3
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learnt from the labels; rows with crc32 remainder 2 teach nothing."""
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return toxicity.fit(docs, labels.where(~held_out).select("doc_id", F.col("toxic").alias("label")))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; rows with crc32 remainder 2 teach nothing."""
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
-    model = toxicity.fit(docs, labels.where(~held_out).select("doc_id", F.col("toxic").alias("label")))
-    return toxicity.score(docs, model).select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    return toxicity.score(docs, toxicity_model(docs, labels)).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"),
     )
 
 

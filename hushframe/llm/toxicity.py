@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from hushframe.llm.arrays import prefix_hashes, range_hashes, text_runs
 from hushframe.llm.frames import per_batch, sampled
@@ -198,15 +199,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text has no window and gets the score of no gain at all.
     Repeated rows are scored each.
     """
+    return with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, "score").select("doc_id", "score")
+
+
+def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """All columns of ``docs`` and each row's own score in column ``name``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores = [
             model.score(data[a:b].tobytes())
             for _, data, ends in text_runs(batch, "text") for a, b in zip(ends[:-1], ends[1:], strict=True)
         ]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
-    return per_batch(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
-        work, "doc_id long, score double",
-    )
+    return per_batch(docs, work, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

@@ -533,3 +533,22 @@ def test_false_matches_are_counted_by_bytes(monkeypatch):
                 out.append((a, b))
         merged.append(out)
     assert merged == want
+
+
+# rows that repeat or have no id
+
+def test_rows_are_told_apart_by_their_key(spark):
+    rng = random.Random(12)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=60)) for _ in range(4)]
+    texts = [base[0], base[0], base[0] + " ", base[1], base[1] + " more", base[1] + " more", base[2], base[3], None]
+    ids = [None, None, None, None, None, 7, 7, 7, None]
+    rows = spark.createDataFrame([(k, i, t, "s") for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "key long, doc_id long, text string, source string")
+    exact = {r.key: r for r in contentsort.exact_duplicates(rows, row_col="key").collect()}
+    assert [exact[k].kept for k in range(9)] == [False, False, True, True, False, True, True, True, True]
+    near = {r.key: r for r in minhash.near_duplicates(rows, row_col="key").collect()}
+    assert [near[k].kept for k in range(9)] == [True, False, False, False, False, True, True, True, True]
+    plain = {(r.doc_id, r.component_id, r.n_shingles, r.kept) for r in minhash.near_duplicates(rows).collect()}
+    assert plain == {(None, None, 56, True), (None, None, 0, True), (None, 7, 56, False), (None, 7, 57, False), (7, 7, 57, True), (7, 7, 56, True)}
+    mixed = {r.key: r for r in mixing.mix(rows, row_col="key").collect()}
+    assert len(mixed) == 9 and mixed[8].copies == 0
+    assert abs(sum(r.taken for r in mixed.values()) - next(iter(mixed.values())).target) <= 1

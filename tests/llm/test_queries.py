@@ -3,11 +3,15 @@
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
-from hushframe.llm import contentsort, minhash, mixing
-from hushframe.llm.queries import QUERIES, SQL, toxicity_scores
+from hushframe.llm import contentsort, minhash, mixing, toxicity
+from hushframe.llm.queries import QUERIES, SQL, TOXIC_SCORE, toxicity_scores
+
+from test_operators import plain_components, plain_sets
 
 COLUMNS = {
     "op1_exact_topk": ["query_id", "rank", "vec_id", "score"],
@@ -67,3 +71,46 @@ def test_stages_on_nothing_and_nulls(spark, sf_dir, name, stage):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "a", None, None, None), (1, "a", None, None, None), (2, "", "x", "s", 0)], docs.schema)
     got = stage(spark, odd.selectExpr("*", "1 AS _id", "'x' AS copies"), sf_dir)
     assert got.count() >= (2 if name == "mixing" else 3)
+
+
+def test_stages_decide_row_by_row(spark, sf_dir, monkeypatch):
+    """A third of the ids is null and every fifth row is there twice."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    docs = corpus_pipeline.materialize(docs.union(docs.where("n_chars % 5 = 0")))
+    rows = [tuple(r) for r in docs.collect()]
+    text = docs.columns.index("text")
+
+    longer = np.zeros(toxicity.FEATURES + 1)
+    longer[-2] = 1.0  # scores follow the number of windows
+    model = toxicity.Model(b"ordinary words " * 20, b" horridword ", np.zeros(toxicity.FEATURES), np.ones(toxicity.FEATURES), longer)
+    model.weights[0] = -np.log(np.median([len(r[text] or "") for r in rows]) / toxicity.WINDOW) - 0.85
+    monkeypatch.setattr(corpus_pipeline, "toxicity_model", lambda *_: model)
+    clean = [r for r in rows if model.score((r[text] or "").encode()) < TOXIC_SCORE]
+    assert {r[0] is None for r in clean} == {r[0] is None for r in rows if r not in clean} == {True, False}
+    assert Counter(map(tuple, corpus_pipeline.drop_toxic(spark, docs, sf_dir).collect())) == Counter(clean)
+
+    def content(r):
+        return "".join(c for c in r[text] or "" if c not in " \t\n\x0b\x0c\r")
+
+    best = {}
+    for r in sorted(rows, key=lambda r: (-len(r[text] or ""), r[0] is None, r[0] or 0)):
+        best.setdefault(content(r), r)
+    single = corpus_pipeline.materialize(corpus_pipeline.drop_copies(spark, docs, sf_dir))
+    got = [tuple(r) for r in single.collect()]
+    assert Counter(map(content, got)) == Counter(dict.fromkeys(best, 1))
+    assert Counter(r[0] for r in got) == Counter(r[0] for r in best.values())
+
+    sets = plain_sets([r[text] for r in rows])
+    component = plain_components(sets)
+    want = Counter()
+    for c in set(component):
+        own = [r for r, k in zip(rows, component, strict=True) if k == c]
+        want[min(own, key=lambda r: (r[0] is None, r[0] or 0))[0]] += 1
+    near = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()]
+    assert Counter(r[0] for r in near) == want
+
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[r.doc_id] += r.copies
+    mixed = [tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect()]
+    assert Counter(r[0] for r in mixed) == +copies
