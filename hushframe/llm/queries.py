@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushframe.llm import bpe, contentsort, edits, language, minhash, mixing, quality, suffixes, topk, toxicity
+from hushframe.llm import bpe, contentsort, edits, hostrules, language, merkle, minhash, mixing, quality, suffixes, topk, toxicity, variants
 from hushframe.llm.frames import fold, materialize
 
 
@@ -95,10 +95,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of a document is its host."""
+    return hostrules.host_verdicts(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept",
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants_of(_documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents with crc32 remainder 0 are tampered with."""
+    return merkle.manifest(_documents(spark, sf_dir), fold("doc_id", 5) == 0).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified",
+    )
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_exact_topk, op2_language_id, op3_byte_bpe, op4_minhash_near_dedup, op5_exact_dedup, op6_quality,
-        op7_token_counts, op8_mixing, op9_repeated_strings, op10_toxicity,
+        op7_token_counts, op8_mixing, op9_repeated_strings, op10_toxicity, op11_host_rules, op12_spelling_variants,
+        op13_merkle_manifest,
     )
 }
 
@@ -152,4 +171,90 @@ m AS (SELECT doc_id, min(there) AS component_id FROM reach GROUP BY 1)
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
 FROM t JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
-SQL = {"op1_exact_topk": _TOPK, "op4_minhash_near_dedup": _NEAR, "op5_exact_dedup": _EXACT, "op8_mixing": _MIX}
+_HOST = r"""WITH t AS (
+  SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT id, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+p AS (SELECT id, unnest(range(1, len(w) - 1)) AS i, unnest([w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] FOR k IN range(1, len(w) - 1)]) AS g FROM w),
+again AS (SELECT id, i FROM p QUALIFY count(*) OVER (PARTITION BY id, g) > 1),
+covered AS (SELECT id, count(DISTINCT i + step)::BIGINT AS n FROM again, range(3) s(step) GROUP BY id),
+m AS (SELECT w.id, doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN covered ON covered.id = w.id),
+f AS (SELECT id, source, unnest(['few_words', 'repeats', 'symbols', 'dup_lines', 'word_length']) AS rule,
+  unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 100 * n_dup_lines > 30 * n_lines,
+    word_chars < 2 * n_words OR word_chars > 15 * n_words]) AS failed FROM m),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS k FROM f WHERE source IS NOT NULL GROUP BY ALL),
+b AS (SELECT rule, avg(k / n) AS mean, var_pop(k / n) AS spread, avg(1 / n) AS sampling FROM h GROUP BY rule),
+c AS (SELECT rule, mean, least(greatest(coalesce((spread - mean * (1 - mean) * sampling)
+  / nullif(mean * (1 - mean) * (1 - sampling), 0), 0.0001), 0.0001), 0.5) AS r FROM b),
+bad AS (SELECT DISTINCT source FROM h JOIN c USING (rule)
+  WHERE round((k + mean * (1 - r) / r) / (n + (1 - r) / r), 9) > 0.5),
+o AS (SELECT id, bool_or(failed) FILTER (rule IN ('few_words', 'repeats')) AS base_failed FROM f GROUP BY id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  bad.source IS NOT NULL AS host_failed, NOT base_failed AND bad.source IS NULL AS kept
+FROM m JOIN o USING (id) LEFT JOIN bad ON bad.source = m.source"""
+
+#: The table of crc32, and its value for a list of bytes; ``lut`` is a column of the one row of crc.
+_CRC_TABLE = """bits(i, k, c) AS (SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS lut FROM bits WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    octets = f"flatten([CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] ELSE [(192 + (ord(ch) >> 6))::BIGINT, (128 + (ord(ch) & 63))::BIGINT] END FOR ch IN string_split({text}, '')])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), (a, b) -> xor(a >> 8, lut[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
+_VARIANTS = f"""WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+h AS (SELECT run, n, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM r, crc),
+w AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.rest),
+best AS (SELECT near.word, near, v.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+  row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, near) AS place FROM near JOIN v ON v.word = near.near),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form,
+  CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best ON best.word = v.word AND place = 1),
+walk(word, root) AS (SELECT word, word FROM f
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, root, f.n, f.n_near, f.form_n
+FROM f JOIN walk ON walk.word = f.word JOIN f e ON e.word = root WHERE e.form IS NULL"""
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+_LOW_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_MANIFEST = f"""WITH RECURSIVE {_CRC_TABLE},
+l AS (SELECT doc_id, source, {_LEAF.format(_FIELD.format("text"))} AS leaf,
+  CASE WHEN {_crc("doc_id::VARCHAR")} % 5 = 0 THEN {_LEAF.format(_FIELD.format(_LOW_TEXT))} END AS tampered FROM documents, crc),
+t AS (SELECT doc_id, leaf, coalesce(tampered, leaf) AS given, row_number() OVER () AS id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l),
+up(s, level, i, n, digest) AS (SELECT s, 0, i, n, leaf FROM t
+  UNION ALL SELECT s, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY s, level, i // 16, n),
+sub AS (SELECT s, level AS height, digest AS subroot, count(*) OVER () AS n FROM up WHERE n = 1),
+top(level, i, n, digest) AS (SELECT 0, s, n, subroot FROM sub
+  UNION ALL SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 16, n),
+steps AS (
+  SELECT t.id, up.level + 1 AS step, coalesce(string_agg(digest, '' ORDER BY up.i) FILTER (up.i < t.i // 16 ** up.level), '') AS a,
+    coalesce(string_agg(digest, '' ORDER BY up.i) FILTER (up.i > t.i // 16 ** up.level), '') AS b
+  FROM t JOIN up ON up.s = t.s AND up.n > 1 AND up.i // 16 = (t.i // 16 ** up.level) // 16 GROUP BY t.id, up.level
+  UNION ALL
+  SELECT t.id, height + top.level + 1, coalesce(string_agg(digest, '' ORDER BY top.i) FILTER (top.i < t.s // 16 ** top.level), ''),
+    coalesce(string_agg(digest, '' ORDER BY top.i) FILTER (top.i > t.s // 16 ** top.level), '')
+  FROM t JOIN sub ON sub.s = t.s JOIN top ON top.n > 1 AND top.i // 16 = (t.s // 16 ** top.level) // 16 GROUP BY t.id, height, top.level),
+fold(id, step, digest) AS (SELECT id, 0, given FROM t
+  UNION ALL SELECT fold.id, fold.step + 1, sha256(a || digest || b) FROM fold JOIN steps ON steps.id = fold.id AND steps.step = fold.step + 1),
+ends AS (SELECT id, arg_max(digest, step) AS folded_root FROM fold GROUP BY id),
+proofs AS (SELECT id, sha256(string_agg(a || b, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY id)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM t JOIN sub ON sub.s = t.s CROSS JOIN (SELECT digest AS root FROM top WHERE n = 1) JOIN ends ON ends.id = t.id LEFT JOIN proofs ON proofs.id = t.id"""
+
+SQL = {
+    "op11_host_rules": _HOST, "op12_spelling_variants": _VARIANTS, "op13_merkle_manifest": _MANIFEST,
+    "op1_exact_topk": _TOPK, "op4_minhash_near_dedup": _NEAR, "op5_exact_dedup": _EXACT, "op8_mixing": _MIX,
+}
