@@ -174,7 +174,7 @@ FROM t JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)"""
 _HOST = r"""WITH t AS (
   SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT id, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
 p AS (SELECT id, unnest(range(1, len(w) - 1)) AS i, unnest([w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] FOR k IN range(1, len(w) - 1)]) AS g FROM w),
 again AS (SELECT id, i FROM p QUALIFY count(*) OVER (PARTITION BY id, g) > 1),
 covered AS (SELECT id, count(DISTINCT i + step)::BIGINT AS n FROM again, range(3) s(step) GROUP BY id),
@@ -204,7 +204,7 @@ crc AS (SELECT list(c ORDER BY i) AS lut FROM bits WHERE k = 8)"""
 
 def _crc(text: str) -> str:
     octets = f"flatten([CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] ELSE [(192 + (ord(ch) >> 6))::BIGINT, (128 + (ord(ch) & 63))::BIGINT] END FOR ch IN string_split({text}, '')])"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), (a, b) -> xor(a >> 8, lut[1 + (xor(a, b) & 255)])), 4294967295)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: xor(a >> 8, lut[1 + (xor(a, b) & 255)])), 4294967295)"
 
 
 _VARIANTS = f"""WITH RECURSIVE {_CRC_TABLE},
@@ -240,13 +240,13 @@ sub AS (SELECT s, level AS height, digest AS subroot, count(*) OVER () AS n FROM
 top(level, i, n, digest) AS (SELECT 0, s, n, subroot FROM sub
   UNION ALL SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 16, n),
 steps AS (
-  SELECT t.id, up.level + 1 AS step, coalesce(string_agg(digest, '' ORDER BY up.i) FILTER (up.i < t.i // 16 ** up.level), '') AS a,
-    coalesce(string_agg(digest, '' ORDER BY up.i) FILTER (up.i > t.i // 16 ** up.level), '') AS b
-  FROM t JOIN up ON up.s = t.s AND up.n > 1 AND up.i // 16 = (t.i // 16 ** up.level) // 16 GROUP BY t.id, up.level
+  SELECT t.id, up.level + 1 AS step, coalesce(string_agg(digest, '' ORDER BY up.i) FILTER (up.i < (t.i >> (4 * up.level))), '') AS a,
+    coalesce(string_agg(digest, '' ORDER BY up.i) FILTER (up.i > (t.i >> (4 * up.level))), '') AS b
+  FROM t JOIN up ON up.s = t.s AND up.n > 1 AND up.i // 16 = t.i >> (4 * up.level + 4) GROUP BY t.id, up.level
   UNION ALL
-  SELECT t.id, height + top.level + 1, coalesce(string_agg(digest, '' ORDER BY top.i) FILTER (top.i < t.s // 16 ** top.level), ''),
-    coalesce(string_agg(digest, '' ORDER BY top.i) FILTER (top.i > t.s // 16 ** top.level), '')
-  FROM t JOIN sub ON sub.s = t.s JOIN top ON top.n > 1 AND top.i // 16 = (t.s // 16 ** top.level) // 16 GROUP BY t.id, height, top.level),
+  SELECT t.id, height + top.level + 1, coalesce(string_agg(digest, '' ORDER BY top.i) FILTER (top.i < (t.s >> (4 * top.level))), ''),
+    coalesce(string_agg(digest, '' ORDER BY top.i) FILTER (top.i > (t.s >> (4 * top.level))), '')
+  FROM t JOIN sub ON sub.s = t.s JOIN top ON top.n > 1 AND top.i // 16 = t.s >> (4 * top.level + 4) GROUP BY t.id, height, top.level),
 fold(id, step, digest) AS (SELECT id, 0, given FROM t
   UNION ALL SELECT fold.id, fold.step + 1, sha256(a || digest || b) FROM fold JOIN steps ON steps.id = fold.id AND steps.step = fold.step + 1),
 ends AS (SELECT id, arg_max(digest, step) AS folded_root FROM fold GROUP BY id),
