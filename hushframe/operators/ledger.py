@@ -13,8 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hushframe.functions.search import count_where_prefix, plan_array
-from hushframe.operators.ordered import most_ranges
 from hushframe.operators.protect import PROTECT, Release
 from hushframe.session import materialize
 
@@ -191,6 +189,9 @@ CHUNK = 2_000
 #: decision depends on whether a request was admitted in bulk or one by one.
 EXACT = "decimal(28,18)"
 _SUMS = ("k", "se", "me", "sd", "md")
+#: Stretches admitted in bulk: places from ``start`` up to before ``until``, of the
+#: requests that could still fit with the sums held then.
+SPANS = f"array<struct<start:bigint,until:bigint,k:bigint,se:{EXACT},me:double,sd:{EXACT}>>"
 
 
 def admit(
@@ -205,14 +206,17 @@ def admit(
     ``admitted``. Datasets without a total admit all.
 
     Every decision depends on all earlier ones, yet no dataset is gathered in
-    one task. A round first admits, by distributed running sums, everything
-    before the first moment the budget could not hold, then folds the next
-    ``chunk`` requests one by one. Composed epsilon never falls, so a request
-    larger than what is left is refused for good and drops out of the next
-    round. What a round leaves behind is a few numbers per dataset.
+    one task. One range sort gives each request its place. A round adds up the
+    parts of that order, finds the first part in which the budget cannot hold
+    every request, scans that part for the first misfit, and admits all before
+    it; the next ``chunk`` requests are then folded one by one. Composed epsilon
+    never falls, so a request larger than what is left is refused for good and
+    drops out of the next round: rounds follow the refusals that leave room for
+    others, not the requests. What a round leaves behind is a few numbers per
+    dataset.
 
     A request is known by (dataset, query_id); a repeated pair is an error.
-    Costs are summed as decimals with 18 places.
+    Costs are summed as decimals with 18 places. A null ts comes first.
     """
     if method not in METHODS:
         raise ValueError(f"unknown composition {method}, use one of {METHODS}")
@@ -227,46 +231,43 @@ def admit(
             "admitted", F.col("total_epsilon").isNull() | ok
         ).select(*columns, "admitted")
 
-    queue = requests.join(limits.select("dataset"), "dataset", "left_semi").select(
-        "dataset", "query_id", "epsilon", "delta", "ts"
+    order = ["dataset", "ts", "query_id"]
+    limited = requests.join(limits.select("dataset"), "dataset", "left_semi")
+    placed = materialize(
+        limited.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     )
-    stamp = queue.schema["ts"].dataType.simpleString()
-    place_type = f"struct<ts:{stamp},query_id:string>"
-    span_type = f"array<struct<start:{place_type},until:{stamp},k:bigint,se:{EXACT},me:double,sd:{EXACT}>>"
+    queue = placed.select("dataset", "epsilon", "delta", "_at")
     none = F.lit(None).cast("double")
     states = materialize(limits.withColumns({
         "k": F.lit(0).cast("bigint"), "se": F.lit(0).cast(EXACT), "me": F.lit(0.0), "sd": none.cast(EXACT), "md": none,
-        "done": F.lit(None).cast(place_type),
-        "spans": F.array().cast(span_type),
+        "done": F.lit(-1).cast("bigint"), "spans": F.array().cast(SPANS),
     }))
-    taken, finished = None, None
+    taken, in_bulk = None, False
     while True:
-        waiting = _waiting(queue, states, method, delta_prime)
-        sizes = waiting.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-        most = sizes.agg(F.max("n")).first()[0] or 0
+        waiting = materialize(_waiting(queue, states, method, delta_prime))
+        most = waiting.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         if most == 0:
             break
-        if most > chunk:
-            states = materialize(_admit_in_bulk(waiting, states, method, delta_prime))
-            waiting = _waiting(queue, states, method, delta_prime)
-        folded = materialize(_fold(waiting, states, method, delta_prime, chunk))
-        found = folded.select("dataset", F.explode("taken").alias("query_id"))
+        if most > chunk and not in_bulk:
+            states, in_bulk = materialize(_admit_in_bulk(waiting, states, method, delta_prime)), True
+            continue
+        folded, in_bulk = materialize(_fold(waiting, states, method, delta_prime, chunk)), False
+        found = folded.select("dataset", F.explode("taken").alias("_at"))
         taken = found if taken is None else taken.unionByName(found)
         states = folded.drop("taken")
-    place = F.struct("ts", "query_id")
     spans = states.select("dataset", "spans", "total_epsilon", "total_delta")
     in_span = F.exists(
         "spans",
-        lambda s: (place >= s["start"]) & (F.col("ts") < s["until"])
+        lambda s: (F.col("_at") >= s["start"]) & (F.col("_at") < s["until"])
         & _may_fit(s["k"], s["se"], s["me"], s["sd"], method, delta_prime),
     )
-    marked = requests.join(spans, "dataset", "left")
-    if taken is None:
-        accepted = in_span
-    else:
-        marked = marked.join(taken.withColumn("_taken", F.lit(True)), ["dataset", "query_id"], "left")
+    marked = placed.join(spans, "dataset")
+    accepted = in_span
+    if taken is not None:
+        marked = marked.join(taken.withColumn("_taken", F.lit(True)), ["dataset", "_at"], "left")
         accepted = in_span | F.col("_taken").isNotNull()
-    return marked.withColumn("admitted", F.col("spans").isNull() | accepted).select(*columns, "admitted")
+    free = requests.join(limits.select("dataset"), "dataset", "left_anti").select(*columns, F.lit(True).alias("admitted"))
+    return marked.select(*columns, accepted.alias("admitted")).unionByName(free)
 
 
 def _plus(total: Column, cost: Column) -> Column:
@@ -289,13 +290,11 @@ def _may_fit(
 
 
 def _waiting(queue: DataFrame, states: DataFrame, method: str, delta_prime: float) -> DataFrame:
-    """Undecided requests that may still be admitted. A refusal changes
-    nothing, so everything before the first request that fits right now is
-    refused; ``start`` is the place of that request."""
-    place = F.struct("ts", "query_id")
+    """Undecided requests that may still be admitted, with ``start``: the place of
+    the first that fits right now. A refusal changes nothing, so all before it are refused."""
     sums = [F.col(c) for c in _SUMS]
     pending = queue.join(states.drop("spans"), "dataset").where(
-        (F.col("done").isNull() | (place > F.col("done"))) & _may_fit(*sums[:4], method, delta_prime)
+        (F.col("_at") > F.col("done")) & _may_fit(*sums[:4], method, delta_prime)
     )
     k, se, me, sd, md = sums
     eps, delta = F.col("epsilon"), F.col("delta")
@@ -304,88 +303,105 @@ def _waiting(queue: DataFrame, states: DataFrame, method: str, delta_prime: floa
         _plus(sd, delta).cast("double"), F.greatest(md, delta), delta_prime,
     )
     ok = fits(cost, cost_delta, F.col("total_epsilon"), F.col("total_delta"))
-    firsts = pending.where(ok).groupBy("dataset").agg(F.min(place).alias("start"))
-    return (
-        pending.select("dataset", "query_id", "epsilon", "delta", "ts")
-        .join(firsts, "dataset").where(place >= F.col("start"))
-    )
+    firsts = pending.where(ok).groupBy("dataset").agg(F.min("_at").alias("start"))
+    return pending.select("dataset", "epsilon", "delta", "_at").join(firsts, "dataset").where("_at >= start")
 
 
-def _admit_in_bulk(waiting: DataFrame, states: DataFrame, method: str, delta_prime: float) -> DataFrame:
-    """States after admitting, per dataset, all requests before the first
-    moment at which the running cost would not fit."""
-    moments = waiting.groupBy("dataset", "ts").agg(
-        F.count(F.lit(1)).alias("k"), F.sum(F.col("epsilon").cast(EXACT)).cast(EXACT).alias("se"), F.max("epsilon").alias("me"),
-        F.sum(F.col("delta").cast(EXACT)).cast(EXACT).alias("sd"), F.max("delta").alias("md"), F.first("start").alias("start"),
-    )
-    # time ranges shared by all datasets; the borders only balance the work
-    most = most_ranges(waiting)
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    borders = moments.agg(F.approx_percentile(micros, [i / most for i in range(1, most)], 4 * most)).first()[0]
-    borders = sorted(set(borders or []))
-    ranged = moments.withColumn("_range", F.lit(0) if not borders else count_where_prefix(
-        plan_array(borders, "bigint"), lambda b: b < micros, most
-    ))
-    merge = {"k": F.sum, "se": F.sum, "me": F.max, "sd": F.sum, "md": F.max}
-    earlier = W.partitionBy("dataset").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    parts = ranged.groupBy("dataset", "_range").agg(*[f(c).alias(c) for c, f in merge.items()])
-    offsets = parts.select(
-        "dataset", "_range", *[f(c).over(earlier).alias(f"_{c}") for c, f in merge.items()]
-    )
-    inside = W.partitionBy("dataset", "_range").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    running = ranged.select(
-        "dataset", "_range", "ts", "start", *[f(c).over(inside).alias(c) for c, f in merge.items()]
-    ).join(offsets, ["dataset", "_range"])
-
-    def reached(name: str) -> Column:
-        """The state's sum, the earlier ranges and this range up to here."""
-        parts = [F.col(f"now_{name}"), F.col(f"_{name}"), F.col(name)]
-        if merge[name] is F.max:
-            return F.greatest(*parts)
-        if name == "k":
-            return sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0)))
-        return _plus(_plus(parts[0], parts[1]), parts[2])
+def _costs() -> dict[str, Column]:
+    """What requests add to the sums: the composition monoid."""
+    return {
+        "k": F.lit(1).cast("bigint"), "se": F.col("epsilon").cast(EXACT), "me": F.col("epsilon"),
+        "sd": F.col("delta").cast(EXACT), "md": F.col("delta"),
+    }
+
+
+_MERGE = {"k": F.sum, "se": F.sum, "me": F.max, "sd": F.sum, "md": F.max}
+
+
+def _merged(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The sums of the requests of each group."""
+    kinds = {"k": "bigint", "se": EXACT, "me": "double", "sd": EXACT, "md": "double"}
+    return rows.groupBy(*by).agg(*[_MERGE[c](cost).cast(kinds[c]).alias(c) for c, cost in _costs().items()])
+
 
+def _joined(*parts: dict[str, Column]) -> dict[str, Column]:
+    """Sums over disjoint stretches of requests; a missing stretch is null."""
+    out = {}
+    for name in _SUMS:
+        values = [p[name] for p in parts]
+        if name in ("me", "md"):
+            out[name] = F.greatest(*values)
+        elif name == "k":
+            out[name] = sum((F.coalesce(v, F.lit(0)) for v in values[1:]), F.coalesce(values[0], F.lit(0)))
+        else:
+            total = values[0]
+            for value in values[1:]:
+                total = _plus(total, value)
+            out[name] = total
+    return out
+
+
+def _admit_in_bulk(waiting: DataFrame, states: DataFrame, method: str, delta_prime: float) -> DataFrame:
+    """States after admitting, per dataset, all waiting requests before the first
+    that does not fit with all before it."""
+    part = F.shiftright("_at", 33).alias("part")
+    rows = waiting.select("dataset", "epsilon", "delta", "_at", "start", part)
     now = states.select("dataset", "total_epsilon", "total_delta", *[F.col(c).alias(f"now_{c}") for c in _SUMS])
-    sums = running.join(now, "dataset").select(
-        "dataset", "ts", "start", "total_epsilon", "total_delta", *[reached(c).alias(c) for c in _SUMS]
-    )
-    k, se, me, sd, md = (F.col(c) for c in _SUMS)
-    epsilon, delta = _composed(F.lit(method), k, se.cast("double"), me, sd.cast("double"), md, delta_prime)
-    safe = fits(epsilon, delta, F.col("total_epsilon"), F.col("total_delta"))
-    judged = sums.withColumn("_safe", safe)
-    stops = judged.groupBy("dataset").agg(F.min(F.when(~F.col("_safe"), F.col("ts"))).alias("_stop"))
-    reached_sums = (
-        judged.join(stops, "dataset").where(F.col("_stop").isNull() | (F.col("ts") < F.col("_stop")))
-        .groupBy("dataset").agg(
-            F.max_by(F.struct(*_SUMS), "ts").alias("_new"), F.max("ts").alias("_until"),
-            F.first("start").alias("_start"),
-        )
-    )
-    joined = states.join(reached_sums, "dataset", "left")
-    moved = F.col("_new").isNotNull()
-    # moments are admitted whole: the span ends just after the last of them
-    after = F.col("_until") + F.expr("INTERVAL 1 MICROSECOND")
-    span = F.struct(F.col("_start").alias("start"), after.alias("until"), "k", "se", "me", "sd")
-    span_type = states.schema["spans"].dataType.simpleString()
+    mine = {c: F.col(f"now_{c}") for c in _SUMS}
+    earlier = W.partitionBy("dataset").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    # one row per dataset and part of the order
+    parts = _merged(rows, ["dataset", "part"]).select("*", *[f(c).over(earlier).alias(f"_{c}") for c, f in _MERGE.items()])
+    before = {c: F.col(f"_{c}") for c in _SUMS}
+    ends = _joined(mine, before, {c: F.col(c) for c in _SUMS})
+    safe = _holds(ends, method, delta_prime, whole=True)
+    unsafe = parts.join(now, "dataset").where(~safe).select("dataset", "part", *before.values())
+    first = W.partitionBy("dataset").orderBy("part")
+    if method == BASIC:
+        # costs only grow: the first misfit is in the first such part
+        unsafe = unsafe.withColumn("_turn", F.row_number().over(first)).where("_turn = 1").drop("_turn")
+    suspects = materialize(unsafe)
+    inside = W.partitionBy("dataset", "part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    costs = _costs()
+    scanned = rows.join(suspects, ["dataset", "part"]).withColumns({f"in_{c}": f(costs[c]).over(inside) for c, f in _MERGE.items()})
+    reached = _joined(mine, before, {c: F.col(f"in_{c}") for c in _SUMS})
+    misfits = scanned.join(now, "dataset").where(~_holds(reached, method, delta_prime))
+    stops = materialize(misfits.groupBy("dataset").agg(F.min("_at").alias("stop")))
+    admitted = rows.join(stops, "dataset", "left").where("stop is null or _at < stop").drop("stop")
+    gained = _merged(admitted, ["dataset"]).withColumnsRenamed({c: f"new_{c}" for c in _SUMS})
+    starts = rows.groupBy("dataset").agg(F.first("start").alias("start"))
+    joined = states.join(starts, "dataset", "left").join(gained, "dataset", "left").join(stops, "dataset", "left")
+    total = _joined({c: F.col(c) for c in _SUMS}, {c: F.col(f"new_{c}") for c in _SUMS})
+    until = F.coalesce("stop", F.lit((1 << 63) - 1))
+    moved = F.col("start").isNotNull()
+    span = F.struct("start", until.alias("until"), "k", "se", "me", "sd")
     return joined.select(
         "dataset", "total_epsilon", "total_delta",
-        *[F.when(moved, F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in _SUMS],
-        F.when(moved, F.struct(after.alias("ts"), F.lit("").alias("query_id"))).otherwise(F.col("done")).alias("done"),
-        F.when(moved, F.concat("spans", F.array(span).cast(span_type))).otherwise(F.col("spans")).alias("spans"),
+        *[F.when(moved, total[c]).otherwise(F.col(c)).alias(c) for c in _SUMS],
+        F.when(moved, until).otherwise(F.col("done")).alias("done"),
+        F.when(moved, F.concat("spans", F.array(span).cast(SPANS))).otherwise(F.col("spans")).alias("spans"),
     )
 
 
+def _holds(sums: dict[str, Column], method: str, delta_prime: float, whole: bool = False) -> Column:
+    """Whether the budget holds the sums; ``whole``: them and those of every shorter
+    stretch. Epsilon only grows, but delta falls where the tighter epsilon is not taken."""
+    spent = sums["sd"].cast("double")
+    epsilon, delta = _composed(F.lit(method), sums["k"], sums["se"].cast("double"), sums["me"], spent, sums["md"], delta_prime)
+    if whole and method == ADVANCED:
+        delta = F.coalesce(spent, F.lit(0.0)) + delta_prime
+    return fits(epsilon, delta, F.col("total_epsilon"), F.col("total_delta"))
+
+
 def _fold(waiting: DataFrame, states: DataFrame, method: str, delta_prime: float, chunk: int) -> DataFrame:
     """States after deciding the next ``chunk`` requests of every dataset one
-    by one, with the ids ``taken``."""
-    line = W.partitionBy("dataset").orderBy("ts", "query_id")
+    by one, with the places ``taken``."""
+    line = W.partitionBy("dataset").orderBy("_at")
     nearest = waiting.withColumn("_line", F.row_number().over(line)).where(F.col("_line") <= chunk)
     queues = nearest.groupBy("dataset").agg(
-        F.sort_array(F.collect_list(F.struct("ts", "query_id", "epsilon", "delta"))).alias("queue")
+        F.sort_array(F.collect_list(F.struct("_at", "epsilon", "delta"))).alias("queue")
     )
-    start = F.struct(*_SUMS, F.array().cast("array<string>").alias("taken"))
-    kind = f"struct<k:bigint,se:{EXACT},me:double,sd:{EXACT},md:double,taken:array<string>>"
+    start = F.struct(*_SUMS, F.array().cast("array<bigint>").alias("taken"))
+    kind = f"struct<k:bigint,se:{EXACT},me:double,sd:{EXACT},md:double,taken:array<bigint>>"
 
     def step(state: Column, query: Column) -> Column:
         eps, delta = query["epsilon"], query["delta"]
@@ -396,16 +412,11 @@ def _fold(waiting: DataFrame, states: DataFrame, method: str, delta_prime: float
             "sd": _plus(state["sd"], delta),
             "md": F.greatest(state["md"], delta),
         }
-        cost, cost_delta = _composed(
-            F.lit(method), after["k"], after["se"].cast("double"), after["me"], after["sd"].cast("double"),
-            after["md"], delta_prime,
-        )
-        ok = fits(cost, cost_delta, F.col("total_epsilon"), F.col("total_delta"))
-        taken = F.concat(state["taken"], F.array(query["query_id"]))
+        ok = _holds(after, method, delta_prime)
+        taken = F.concat(state["taken"], F.array(query["_at"]))
         moved = F.struct(*[v.alias(c) for c, v in after.items()], taken.alias("taken")).cast(kind)
         return F.when(ok, moved).otherwise(state)
 
-    last = F.element_at("queue", -1)
     decided = states.join(queues, "dataset", "left").withColumn(
         "_end", F.when(F.col("queue").isNotNull(), F.aggregate("queue", start.cast(kind), step))
     )
@@ -413,10 +424,9 @@ def _fold(waiting: DataFrame, states: DataFrame, method: str, delta_prime: float
     return decided.select(
         "dataset", "total_epsilon", "total_delta",
         *[F.when(moved, F.col("_end")[c]).otherwise(F.col(c)).alias(c) for c in _SUMS],
-        F.when(moved, F.struct(last["ts"].alias("ts"), last["query_id"].alias("query_id")))
-        .otherwise(F.col("done")).alias("done"),
+        F.when(moved, F.element_at("queue", -1)["_at"]).otherwise(F.col("done")).alias("done"),
         "spans",
-        F.coalesce(F.col("_end")["taken"], F.array().cast("array<string>")).alias("taken"),
+        F.coalesce(F.col("_end")["taken"], F.array().cast("array<bigint>")).alias("taken"),
     )
 
 

@@ -77,6 +77,29 @@ def test_many_small_requests_go_in_bulk(spark):
     assert found == plain("basic", requests, {"x": (701.0, None)})
 
 
+@pytest.mark.parametrize("method", ["basic", "advanced"])
+def test_one_moment_of_many_requests_takes_few_rounds(spark, monkeypatch, method):
+    """100,000 requests of one ts: rounds follow the refusals, not the requests."""
+    rounds = []
+    fold = ledger._fold
+    monkeypatch.setattr(ledger, "_fold", lambda *a: rounds.append(1) or fold(*a))
+    n = 100_000
+    frame = spark.range(n).selectExpr(
+        "lpad(id, 6, '0') AS query_id", "'x' AS dataset", "CAST(0.25 AS double) AS epsilon", "CAST(NULL AS double) AS delta",
+        "TIMESTAMP '2024-01-01' AS ts")
+    total = 15_000.125 if method == "basic" else 900.0
+    totals = spark.createDataFrame([("x", total, 1.0)], "dataset string, total_epsilon double, total_delta double")
+    found = ledger.admit(frame, totals, method).groupBy("admitted").agg({"query_id": "max", "*": "count"}).collect()
+    got = {r["admitted"]: (r["count(1)"], r["max(query_id)"]) for r in found}
+    if method == "basic":
+        admitted = 60_000
+    else:
+        spent = lambda k: min(k * 0.25, math.sqrt(2 * k * math.log(1 / PRIME)) * 0.25 + k * 0.25 * (math.exp(0.25) - 1))
+        admitted = max(k for k in range(n + 1) if spent(k) <= total)
+    assert got[True] == (admitted, f"{admitted - 1:06d}") and got[False][0] == n - admitted
+    assert len(rounds) <= 3
+
+
 def test_tenths_add_up_in_order(spark):
     import datetime
 
