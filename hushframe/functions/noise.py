@@ -93,6 +93,13 @@ def achieved_epsilon(budget: Number, delta: Number) -> Number:
     return budget + 2 * math.sqrt(-budget * math.log(delta))
 
 
+def mechanism_cost(mechanism: Column, epsilon: Column, delta: Column) -> Column:
+    """What one use of a mechanism costs: struct of epsilon, delta and is_pure. Only the
+    Gaussian mechanism spends a delta; a cost without one, or with zero, is pure."""
+    spent = F.when(mechanism == "gaussian", delta)
+    return F.struct(epsilon.alias("epsilon"), spent.alias("delta"), (F.coalesce(spent, F.lit(0.0)) == 0).alias("is_pure"))
+
+
 def clamp(value: Column, lower: Number, upper: Number) -> Column:
     """Null stays null: ``least`` and ``greatest`` alone would skip it."""
     low = lower if isinstance(lower, Column) else F.lit(float(lower))

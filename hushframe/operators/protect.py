@@ -21,6 +21,7 @@ LAPLACE, GAUSSIAN, EXPONENTIAL = "laplace", "gaussian", "exponential"
 _DAY_RANGE = (-719_162, 2_932_896)
 _SECOND_RANGE = (-62_135_596_800, 253_402_300_799)
 _BIGINT_MAX = float(2**63 - 1024)
+_FLOAT_MAX = (2 - 2.0**-23) * 2.0**127
 
 
 @dataclass(frozen=True)
@@ -363,6 +364,8 @@ def _noisy_cell(
         noisy = value + noise.gaussian(sigma, keyed.uniform(digest, 0), keyed.uniform(digest, 1))
     if isinstance(df.schema[name].dataType, T.IntegralType) and rule.preserve_type:
         noisy = noise.clamp(F.rint(noisy), -_BIGINT_MAX, _BIGINT_MAX).cast("bigint")
+    elif isinstance(df.schema[name].dataType, T.FloatType) and rule.preserve_type:
+        noisy = noise.clamp(noisy, -_FLOAT_MAX, _FLOAT_MAX).cast("float")
     return frame, noisy
 
 

@@ -108,7 +108,7 @@ def mechanism_parameters(spark, sf):
         F.when(fine, noise.gaussian_scale(sens, eps, delta)).alias("gaussian_scale"),
         F.when(fine, noise.achieved_epsilon(budget, delta)).alias("epsilon_same_delta"),
         F.when(fine, noise.achieved_epsilon(budget, 1e-7)).alias("epsilon_at_1e7"),
-        F.when(fine, F.lit(False)).alias("is_pure"),
+        F.when(fine, F.coalesce(delta, F.lit(0.0)) == 0).alias("is_pure"),
     ))
 
 
@@ -123,7 +123,25 @@ SELECT p_partkey, problem, CASE WHEN problem IS NULL THEN {r('s / e')} END AS la
  CASE WHEN problem IS NULL THEN {r('s / sqrt(2 * rho)')} END AS gaussian_scale,
  CASE WHEN problem IS NULL THEN {r('rho + 2 * sqrt(rho * -ln(d))')} END AS epsilon_same_delta,
  CASE WHEN problem IS NULL THEN {r('rho + 2 * sqrt(rho * -ln(1e-7))')} END AS epsilon_at_1e7,
- CASE WHEN problem IS NULL THEN false END AS is_pure FROM judged"""
+ CASE WHEN problem IS NULL THEN coalesce(d, 0) = 0 END AS is_pure FROM judged"""
+
+
+def mechanism_cost(spark, sf):
+    """One use of a mechanism per part; some state a delta of zero, most mechanisms none."""
+    part = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    mechanism = F.when(k % 3 == 0, "laplace").when(k % 3 == 1, "gaussian").otherwise("exponential")
+    delta = F.when(k % 4 == 0, F.lit(0.0)).otherwise(F.pow(F.lit(10.0), -(k % 7 + 3)))
+    return part.select("p_partkey", mechanism.alias("mechanism"), noise.mechanism_cost(mechanism, k % 100 / 10 + 0.01, delta).alias("cost")).select(
+        "p_partkey", "mechanism", F.round("cost.epsilon", 6).alias("epsilon"), F.round(F.col("cost.delta") * 1e9, 3).alias("delta_e9"), "cost.is_pure",
+    )
+
+
+QUERIES["mechanism_cost"] = mechanism_cost
+SQL["mechanism_cost"] = """WITH t AS (SELECT p_partkey, ['laplace', 'gaussian', 'exponential'][1 + p_partkey % 3] AS mechanism,
+  p_partkey % 100 / 10 + 0.01 AS epsilon, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE pow(10.0, -(p_partkey % 7 + 3)) END AS d FROM part),
+c AS (SELECT *, CASE WHEN mechanism = 'gaussian' THEN d END AS delta FROM t)
+SELECT p_partkey, mechanism, round(epsilon::DOUBLE, 6) AS epsilon, round(delta::DOUBLE * 1e9, 3) AS delta_e9, delta IS NULL OR delta = 0 AS is_pure FROM c"""
 
 
 def _event_scores(spark, sf):
@@ -151,6 +169,17 @@ QUERIES["private_top1_draws"] = lambda spark, sf: sampling.select_per_group(
 SQL["private_top1_draws"] = f"WITH {_top1(5)} SELECT user_id, draw, selected, candidates, 1.5::DOUBLE AS total_epsilon FROM picked"
 
 
+QUERIES["private_draws"] = lambda spark, sf: sampling.draw_per_group(
+    _event_scores(spark, sf), ["user_id"], "event_type", "n", 0.3, 1.0, SECRET, 20, RELEASE)
+SQL["private_draws"] = f"""WITH w AS (SELECT user_id, event_type, exp(n * 0.15 - max(n * 0.15) OVER (PARTITION BY user_id)) AS w,
+  count(*) OVER (PARTITION BY user_id) AS candidates
+  FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)),
+c AS (SELECT *, sum(w) OVER (PARTITION BY user_id ORDER BY event_type) AS high, sum(w) OVER (PARTITION BY user_id) AS total FROM w),
+d AS (SELECT user_id, draw::INTEGER AS draw, {sql_uniform('event_type', 'user_id, draw')} AS u FROM (SELECT DISTINCT user_id FROM events), range(1, 21) t(draw))
+SELECT user_id, draw, min(event_type) AS selected, any_value(candidates) AS candidates
+FROM d JOIN c USING (user_id) WHERE u * total < high GROUP BY 1, 2"""
+
+
 def exponential_weights(spark, sf):
     """The selection law itself, per user."""
     scores = _event_scores(spark, sf)
