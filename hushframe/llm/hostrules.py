@@ -14,8 +14,8 @@ WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 #: A host goes if more than this share of its documents, after shrinking, fails one rule.
 HOST_SHARE = 0.5
-#: Correlation of documents within a host: the prior weighs (1 - r) / r documents, so 1 to 9999.
-LEAST_CORRELATION, MOST_CORRELATION = 1e-4, 0.5
+#: Correlation of documents within a host: the prior weighs (1 - r) / r documents, so 4 to 49.
+LEAST_CORRELATION, MOST_CORRELATION = 0.02, 0.2
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -98,8 +98,8 @@ def host_rates(failures: DataFrame, host: str, names: list[str]) -> DataFrame:
 
     ``failures`` holds one boolean column per rule. Rates of hosts are taken as beta
     distributed; mean and within-host correlation come from the moments of the hosts'
-    plain rates, less what sampling of n documents adds to their spread. A host with
-    few documents moves to the mean, one with many keeps its own rate.
+    plain rates, weighted by documents, less what sampling of n documents adds to their
+    spread. A host with few documents moves to the mean, one with many keeps its own rate.
     """
     sums = failures.where(F.col(host).isNotNull()).groupBy(host).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in names],
@@ -107,14 +107,18 @@ def host_rates(failures: DataFrame, host: str, names: list[str]) -> DataFrame:
     cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("failed")) for r in names])).alias("cell")
     # read by the prior and by the rates: one row per host and rule
     long = materialize(sums.select(host, "n", cells).select(host, "n", "cell.rule", "cell.failed"))
-    plain = F.col("failed") / F.col("n")
+    n, k = F.col("n").cast("double"), F.col("failed")
     moments = long.groupBy("rule").agg(
-        F.avg(plain).alias("mean"), F.var_pop(plain).alias("spread"), F.avg(1 / F.col("n")).alias("sampling"),
+        F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("all"), (F.sum(k) / F.sum(n)).alias("mean"),
+        F.sum(k * k / n).alias("squares"), F.sum(n * n).alias("sizes"),
     )
     m, noise = F.col("mean"), F.col("mean") * (1 - F.col("mean"))
-    between = F.try_divide(F.col("spread") - noise * F.col("sampling"), noise * (1 - F.col("sampling")))
+    spread = F.col("squares") / F.col("all") - m * m
+    sampling = (F.col("hosts") - 1) / F.col("all")
+    shared = 1 - F.col("sizes") / (F.col("all") * F.col("all"))
+    between = F.try_divide(spread - noise * sampling, noise * (shared - sampling))
     held = F.least(F.greatest(F.coalesce(between, F.lit(LEAST_CORRELATION)), F.lit(LEAST_CORRELATION)), F.lit(MOST_CORRELATION))
-    prior = moments.withColumn("weight", (1 - held) / held).select("rule", "mean", "weight")
+    prior = moments.select("rule", "mean", ((1 - held) / held).alias("weight"))
     rate = (F.col("failed") + m * F.col("weight")) / (F.col("n") + F.col("weight"))
     # one row per rule is broadcast
     return long.join(F.broadcast(prior), "rule").select(host, "rule", "n", "failed", F.round(rate, 9).alias("rate"))

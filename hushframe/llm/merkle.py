@@ -39,14 +39,20 @@ def postorder(level: int, index: int, leaves: int) -> int:
     return before + size - 1
 
 
+_TOP = 13  # levels of a tree of 2^52 leaves
+
+
+def _width(level: Column) -> Column:
+    """Leaves below a full node."""
+    return F.get(F.array(*[F.lit(FAN**k).cast("long") for k in range(_TOP + 1)]), level)
+
+
 def place(level: Column, index: Column, leaves: Column) -> Column:
-    """``postorder`` as a column; indexes and levels of a tree with fewer than 2^52 leaves."""
-    top = 13
-    full = F.get(F.array(*[F.lit((FAN ** (k + 1) - 1) // (FAN - 1)).cast("long") for k in range(top + 1)]), level)
-    width = F.get(F.array(*[F.lit(FAN**k).cast("long") for k in range(top + 1)]), level)
-    held = F.least(width, leaves - index * width)
-    before = index * full + sum((F.floor(index / FAN**k) for k in range(1, top)), F.lit(0).cast("long"))
-    size = sum((F.when(level >= k, F.ceil(held / FAN**k)).otherwise(0) for k in range(top + 1)), F.lit(0).cast("long"))
+    """``postorder`` as a column."""
+    full = F.get(F.array(*[F.lit((FAN ** (k + 1) - 1) // (FAN - 1)).cast("long") for k in range(_TOP + 1)]), level)
+    held = F.least(_width(level), leaves - index * _width(level))
+    before = index * full + sum((F.floor(index / FAN**k) for k in range(1, _TOP)), F.lit(0).cast("long"))
+    size = sum((F.when(level >= k, F.ceil(held / FAN**k)).otherwise(0) for k in range(_TOP + 1)), F.lit(0).cast("long"))
     return (before + size - 1).cast("long")
 
 
@@ -307,7 +313,7 @@ def log(entries: DataFrame, forest: Forest) -> DataFrame:
         held = F.size("entries").cast("long")
         levels = F.explode(F.sequence(F.lit(0 if k == 0 else 1), F.col("levels"))).alias("level")
         nodes = pages.select("tree", "page", held.alias("held"), "nodes", levels)
-        width = F.shiftleft(F.lit(1).cast("long"), (4 * F.col("level")).cast("int"))
+        width = _width(F.col("level"))
         inner = nodes.select("*", F.posexplode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("held") / width) - 1)).alias("_", "at"))
         at = place(F.col("level"), F.col("at"), F.col("held"))
         here = inner.select(

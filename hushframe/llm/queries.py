@@ -186,9 +186,10 @@ f AS (SELECT id, source, unnest(['few_words', 'repeats', 'symbols', 'dup_lines',
   unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 100 * n_dup_lines > 30 * n_lines,
     word_chars < 2 * n_words OR word_chars > 15 * n_words]) AS failed FROM m),
 h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS k FROM f WHERE source IS NOT NULL GROUP BY ALL),
-b AS (SELECT rule, avg(k / n) AS mean, var_pop(k / n) AS spread, avg(1 / n) AS sampling FROM h GROUP BY rule),
+b AS (SELECT rule, sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) - pow(sum(k) / sum(n), 2) AS spread,
+  (count(*) - 1) / sum(n) AS sampling, 1 - sum(n::DOUBLE * n) / pow(sum(n), 2) AS shared FROM h GROUP BY rule),
 c AS (SELECT rule, mean, least(greatest(coalesce((spread - mean * (1 - mean) * sampling)
-  / nullif(mean * (1 - mean) * (1 - sampling), 0), 0.0001), 0.0001), 0.5) AS r FROM b),
+  / nullif(mean * (1 - mean) * (shared - sampling), 0), 0.02), 0.02), 0.2) AS r FROM b),
 bad AS (SELECT DISTINCT source FROM h JOIN c USING (rule)
   WHERE round((k + mean * (1 - r) / r) / (n + (1 - r) / r), 9) > 0.5),
 o AS (SELECT id, bool_or(failed) FILTER (rule IN ('few_words', 'repeats')) AS base_failed FROM f GROUP BY id)

@@ -24,6 +24,8 @@ COLUMNS = {
     "op8_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op9_repeated_strings": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op11_host_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    "op13_merkle_manifest": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
 }
 
 
