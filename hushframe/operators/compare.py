@@ -7,24 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushframe.operators.correlate import correlation_pairs
-from hushframe.operators.ordered import quantiles
 from hushframe.operators.pairs import (
     number, pair_cells, side_columns, side_counts, stamp, text,
 )
 from hushframe.operators.profile import top_per_column, whole_days
+from hushframe.operators.selection import quantile_table
 
 
-def _side_quantiles(cells: DataFrame, shares: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-    counts = side_counts(cells)
-    both = counts.select("column", "value", F.inline(F.array(
-        F.struct(F.lit("o").alias("side"), F.col("n_o").alias("n")),
-        F.struct(F.lit("p").alias("side"), F.col("n_p").alias("n")),
-    ))).where("n > 0")
-    found = quantiles(both, ["column", "side"], shares)
-    return (
-        found.where("side = 'o'").drop("side", "count"),
-        found.where("side = 'p'").drop("side", "count"),
+def _side_quantiles(paired: DataFrame, columns: Sequence[str], shares: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """Exact quantiles of either side over the rows where both are known."""
+    sides: dict[str, dict[str, Column]] = {"o": {}, "p": {}}
+    for c in columns:
+        o, p = number(F.col("orig")[c]), number(F.col("prot")[c])
+        both = o.isNotNull() & p.isNotNull()
+        sides["o"][c], sides["p"][c] = F.when(both, o), F.when(both, p)
+    # both sides in the same passes
+    found = quantile_table(paired, {f"{side}{c}": v for side, values in sides.items() for c, v in values.items()}, shares)
+    left, right = (
+        found.where(F.startswith("column", F.lit(side))).withColumn("column", F.substring("column", 2, 1 << 20)).drop("count")
+        for side in sides
     )
+    return left, right
 
 
 def compare_numeric(paired: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -61,7 +64,7 @@ def compare_numeric(paired: DataFrame, columns: Sequence[str] | None = None) ->
         or_zero(F.max(o)).alias("max_original"),
         or_zero(F.max(p)).alias("max_protected"),
     )
-    left, right = _side_quantiles(cells, {"median": 0.5})
+    left, right = _side_quantiles(paired, columns, {"median": 0.5})
     for which in ("mean", "std"):
         before, after = F.col(f"{which}_original"), F.col(f"{which}_protected")
         stats = stats.withColumns({
@@ -83,7 +86,7 @@ def compare_percentiles(
     """(column, percentile, original, protected, difference)."""
     columns = list(columns or side_columns(paired, "numeric"))
     shares = {f"p{p}": p / 100 for p in percentiles}
-    left, right = _side_quantiles(pair_cells(paired, columns, number), shares)
+    left, right = _side_quantiles(paired, columns, shares)
     wide = left.select("column", *[F.col(s).alias(f"o_{s}") for s in shares]).join(
         F.broadcast(right.select("column", *[F.col(s).alias(f"p_{s}") for s in shares])), "column"
     )

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hushframe.functions.search import count_where_prefix, plan_array
-from hushframe.operators.ordered import cumulate, into_ranges, most_ranges
+from hushframe.functions.search import count_where_prefix
+from hushframe.operators.ordered import cumulate
 from hushframe.operators.protect import present
 from hushframe.session import materialize
 
@@ -18,13 +19,39 @@ from hushframe.session import materialize
 HOT_SHARE = 500
 
 
+#: Up to so many columns each row emits its pairs; beyond, matrix products are cheaper.
+NARROW = 24
+
+
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Upper triangle, pairwise complete; null where a side is constant.
 
-    One matrix product per Arrow batch; a task emits one row per pair, so
-    what is shuffled does not depend on the number of rows.
+    Sums per pair leave each task, so what is shuffled does not depend on the number of rows.
     """
     names = list(columns)
+    return _pearson_by_pair(df, names) if len(names) <= NARROW else _pearson_by_matrix(df, names)
+
+
+def _pearson_by_pair(df: DataFrame, names: list[str]) -> DataFrame:
+    values = {c: present(df, c).cast("double") for c in names}
+    pairs = list(combinations(names, 2))
+    cells = F.array(*[F.struct(F.lit(k).alias("pair"), values[a].alias("x"), values[b].alias("y")) for k, (a, b) in enumerate(pairs)])
+    both = df.select(F.inline(cells)).where("x is not null and y is not null")
+    sums = both.groupBy("pair").agg(
+        F.count(F.lit(1)).alias("n"), F.covar_pop("x", "y").alias("cov"), F.var_pop("x").alias("var_x"), F.var_pop("y").alias("var_y"),
+        *[f(c).alias(f"{name}{c}") for c in ("x", "y") for f, name in ((F.min, "l"), (F.max, "h"))],
+    )
+    listed = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, column1 string, column2 string")
+    # merged variances of a constant are not exactly zero
+    defined = (F.col("lx") < F.col("hx")) & (F.col("ly") < F.col("hy")) & (F.col("var_x") > 0) & (F.col("var_y") > 0)
+    return listed.join(sums, "pair", "left").select(
+        "column1", "column2", F.coalesce("n", F.lit(0)).alias("n"),
+        F.when(defined, F.col("cov") / F.sqrt(F.col("var_x") * F.col("var_y"))).alias("correlation"),
+    )
+
+
+def _pearson_by_matrix(df: DataFrame, names: list[str]) -> DataFrame:
+    """One matrix product per Arrow batch; a task emits one row per pair."""
     rows = df.select(*[present(df, c).cast("double").alias(c) for c in names])
     # values are shifted near their mean so that the sums do not cancel
     means = rows.agg(*[F.avg(f"`{c}`").alias(c) for c in names]).first()
@@ -140,26 +167,69 @@ def side_of(pairs: DataFrame, side: str) -> DataFrame:
     )
 
 
+def column_ranks(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns of ``df`` replaced by the average ranks of their known values.
+
+    All columns are ranked together: one value count, one cumulation, one lookup of
+    cells and one regrouping by row, whatever the number of columns.
+    """
+    values = [present(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]
+    rows = materialize(df.select(*values).withColumn("_row", F.monotonically_increasing_id()))
+    cells = rows.select("_row", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("column"), F.col(f"c{i}").alias("value")) for i in range(len(names))
+    ]))).where("value is not null")
+    counts = materialize(cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    ranks = materialize(average_ranks(counts, ["column"]))
+    # at most HOT_SHARE values of a column are hot; their cells are answered from a broadcast
+    # table and carry keys that match nothing through the shuffled join
+    totals = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    least = F.element_at(F.create_map(*[F.lit(x) for i in range(len(names)) for x in (i, totals.get(i, 0) // HOT_SHARE)]), F.col("column"))
+    hot = ranks.where(F.col("n") > least).select("column", "value", F.col("rank").alias("_hot"))
+    cold = ranks.where(F.col("n") <= least).select("column", "value", F.col("rank").alias("_cold"), F.lit(0).cast("bigint").alias("_slot"))
+    known = cells.join(F.broadcast(hot), ["column", "value"], "left")
+    spread = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64("_row"), F.lit(1 << 20))).otherwise(F.lit(0).cast("bigint"))
+    ranked = known.withColumn("_slot", spread).join(cold, ["column", "value", "_slot"], "left")
+    rank = F.coalesce("_hot", "_cold")
+    return ranked.groupBy("_row").agg(*[
+        F.max(F.when(F.col("column") == i, rank)).alias(c) for i, c in enumerate(names)
+    ]).drop("_row")
+
+
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson on average ranks; ranks are taken within the complete rows of
-    each pair. Pairs are counted before the ranks are looked up."""
-    result = None
-    for a, b in combinations(columns, 2):
-        pairs = counted_pairs(df, a, b)
-        ranked = pairs
-        for side in ("x", "y"):
-            counts = side_of(pairs, side)
-            table = average_ranks(counts, ["column"]).select(
-                F.col("value").alias(side), F.col("rank").alias(f"rank_{side}")
-            )
-            ranked = lookup(
-                ranked, side, table, f"rank_{side}", hot_values(counts, "value"), F.xxhash64("x", "y")
-            )
-        line = _weighted_corr(ranked, "rank_x", "rank_y", "w", a, b)
-        result = line if result is None else result.unionByName(line)
+    """Pearson on average ranks, taken within the complete rows of each pair.
+
+    Each column is ranked once and one matrix product over the ranks serves all pairs
+    without gaps. A pair of which one column is null where the other is not has
+    ranks of its own: those pairs, and only they, are ranked one by one.
+    """
+    names = list(columns)
+    if len(names) == 2:  # one pair: its own ranks are all there is to take
+        return _spearman_pair(df, *names)
+    known = df.agg(*[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    sizes = {c: known[i] for i, c in enumerate(names)}
+    whole = materialize(pearson(column_ranks(df, names), names))
+    gaps = [(r["column1"], r["column2"]) for r in whole.collect() if not r["n"] == sizes[r["column1"]] == sizes[r["column2"]]]
+    if not gaps:
+        return whole
+    gapped = F.array(*[F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2")) for a, b in gaps])
+    result = whole.where(~F.array_contains(gapped, F.struct(F.col("column1"), F.col("column2"))))
+    for a, b in gaps:
+        result = result.unionByName(_spearman_pair(df, a, b))
     return result
 
 
+def _spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One pair ranked within its complete rows, pairs of values counted first."""
+    ranked = pairs = counted_pairs(df, a, b)
+    for side in ("x", "y"):
+        counts = side_of(pairs, side)
+        table = average_ranks(counts, ["column"]).select(
+            F.col("value").alias(side), F.col("rank").alias(f"rank_{side}")
+        )
+        ranked = lookup(ranked, side, table, f"rank_{side}", hot_values(counts, "value"), F.xxhash64("x", "y"))
+    return _weighted_corr(ranked, "rank_x", "rank_y", "w", a, b)
+
+
 def _weighted_corr(rows: DataFrame, x: str, y: str, w: str, a: str, b: str) -> DataFrame:
     # ranks average (n + 1) / 2 exactly, so the centre needs no pass of its own
     n = F.sum(w)
@@ -179,92 +249,122 @@ def _weighted_corr(rows: DataFrame, x: str, y: str, w: str, a: str, b: str) -> D
     )
 
 
-def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Kendall tau-b, exact.
-
-    Discordant pairs are counted bit by bit of y's dense rank instead of pair
-    by pair: two rows are discordant at the highest bit where their ranks
-    differ, when the row with the smaller x holds the 1. At every bit rows
-    merge to one per (prefix, x), and running sums over x run in ranges of
-    bounded size: n log n work and no group that grows with the data.
-    """
-    result = None
-    for a, b in combinations(columns, 2):
-        line = _kendall_pair(df, a, b)
-        result = line if result is None else result.unionByName(line)
-    return result
+#: Distinct points a task compares at once, and ranges a side of more points is cut into.
+POINTS = 250_000
+RANGES = 128
+WIDE = "decimal(38,0)"
 
 
-def _kendall_pair(df: DataFrame, a: str, b: str) -> DataFrame:
-    pairs = counted_pairs(df, a, b)
-    sides = {side: side_of(pairs, side) for side in ("x", "y")}
-    ranks = cumulate(sides["y"], ["column"], "value", ["one", "n"]).select(
-        F.col("value").alias("y"), F.col("one_before").alias("rank")
-    )
-    bits = max((sides["y"].count() - 1).bit_length(), 1)
-    hot = hot_values(sides["y"], "value")
-    ranked = lookup(pairs, "y", ranks, "rank", hot, F.xxhash64("x", "y"))
-
-    per_bit = (
-        ranked.select("x", "w", "rank", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
-        .withColumns({
-            "prefix": F.expr("shiftright(rank, bit + 1)"),
-            "one": F.expr("shiftright(rank, bit) & 1"),
-        })
-        .groupBy("bit", "prefix", "x")
-        .agg(
-            F.sum(F.when(F.col("one") == 1, F.col("w")).otherwise(0)).alias("ones"),
-            F.sum(F.when(F.col("one") == 0, F.col("w")).otherwise(0)).alias("zeros"),
-        )
-    )
-    places = into_ranges(sides["x"], ["column"], "value", ["n", "one"]).select(F.col("value").alias("x"), "_range")
-    borders = places.groupBy("_range").agg(F.min("x").alias("first"))
-    edges = sorted(r["first"] for r in borders.collect())
-    in_range = _range_of(F.col("x"), edges, most_ranges(df))
-    ranged = per_bit.withColumn("_range", in_range)
-    group = ["bit", "prefix"]
-    earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        ranged.groupBy(*group, "_range").agg(F.sum("ones").alias("_ones"))
-        .select(*group, "_range", F.coalesce(F.sum("_ones").over(earlier), F.lit(0)).alias("_start"))
-    )
-    inside = W.partitionBy(*group, "_range").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    crossed = ranged.withColumn("_near", F.coalesce(F.sum("ones").over(inside), F.lit(0)))
-    if len(edges) > 1:
-        crossed = crossed.join(starts, [*group, "_range"])
-    else:
-        crossed = crossed.withColumn("_start", F.lit(0))
-    wide = "decimal(38,0)"
-    discordant = crossed.agg(
-        F.sum((F.col("zeros").cast(wide) * (F.col("_start") + F.col("_near")).cast(wide)).cast(wide)).alias("q")
-    )
+def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Kendall tau-b, exact, all pairs of columns in the same jobs.
 
-    def tied(counts: DataFrame, n: str) -> Column:
-        """Pairs inside groups of equal values, as a scalar subquery."""
-        m = F.col(n).cast(wide)
-        return counts.agg((F.sum((m * (m - 1)).cast(wide)).cast("double") / 2).alias("t")).scalar()
-
-    tables = pairs.agg(F.sum("w").cast("double").alias("n")).withColumns({
-        "q": discordant.select(F.col("q").cast("double")).scalar(),
-        "tx": tied(sides["x"], "n"),
-        "ty": tied(sides["y"], "n"),
-        "txy": tied(pairs, "w"),
-    })
+    Discordant pairs are counted without forming pairs (``discordant``); ties come
+    from the value counts of each pair's complete rows.
+    """
+    names = list(columns)
+    values = [present(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]
+    rows = df.select(*values)
+    chosen = list(combinations(range(len(names)), 2))
+    cells = F.array(*[
+        F.struct(F.lit(k).alias("pair"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y")) for k, (i, j) in enumerate(chosen)
+    ])
+    points = rows.select(F.inline(cells)).where("x is not null and y is not null").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    points = materialize(points)
+
+    def ties(counts: DataFrame, name: str) -> DataFrame:
+        """Pairs of rows inside groups of equal values."""
+        m = F.col("w").cast(WIDE)
+        return counts.groupBy("pair").agg((F.sum((m * (m - 1)).cast(WIDE)).cast("double") / 2).alias(name))
+
+    sums = points.groupBy("pair").agg(F.sum("w").cast("double").alias("n"))
+    for by, name in ((["x"], "tx"), (["y"], "ty")):
+        sums = sums.join(ties(points.groupBy("pair", *by).agg(F.sum("w").alias("w")), name), "pair")
+    sums = sums.join(ties(points, "txy"), "pair")
+    crossed = discordant(points.select(F.col("pair").cast("bigint").alias("group"), "x", "y", "w")).select(F.col("group").alias("pair"), F.col("q").cast("double").alias("q"))
+    # one row per pair of columns from here on
+    joined = df.sparkSession.createDataFrame(
+        [(k, names[i], names[j]) for k, (i, j) in enumerate(chosen)], "pair int, column1 string, column2 string",
+    ).join(sums, "pair", "left").join(crossed, "pair", "left")
     n = F.col("n")
     total = n * (n - 1) / 2
-    balance = total - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("q")
+    balance = total - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.coalesce("q", F.lit(0.0))
     size = F.sqrt(total - F.col("tx")) * F.sqrt(total - F.col("ty"))
-    return tables.select(
-        F.lit(a).alias("column1"), F.lit(b).alias("column2"),
-        F.coalesce(n, F.lit(0.0)).cast("bigint").alias("n"),
+    return joined.select(
+        "column1", "column2", F.coalesce(n, F.lit(0.0)).cast("bigint").alias("n"),
         F.when(size > 0, balance / size).alias("correlation"),
     )
 
 
-def _range_of(value: Column, edges: list[float], most: int) -> Column:
-    if len(edges) <= 1:
-        return F.lit(0)
-    return count_where_prefix(plan_array(edges[1:], "double"), lambda e: e <= value, most)
+def discordant(points: DataFrame) -> DataFrame:
+    """(group, q): per group of (group bigint, x, y, w) the weight of pairs with x smaller and y larger.
+
+    A group of at most POINTS points is counted in one task. A larger one is cut into
+    ranges of x and ranges of y at sketched values, a frequent value being a range of its
+    own. Two points in different ranges of both sides are counted from the totals of the
+    cells (range, range); points that share a range of x, or else one of y, form smaller
+    groups of the same kind. So a point is repeated twice a level, and two levels reach
+    some 4 billion points a pair. ``points`` must be cheap to read again.
+    """
+    sizes = points.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"))
+    # one side constant: no pair is discordant
+    sizes = materialize(sizes.where("lx < hx and ly < hy").select("group", "n"))
+    result = _whole(points.join(sizes.where(F.col("n") <= POINTS).select("group"), "group"))
+    large = sizes.where(F.col("n") > POINTS).select("group")
+    if large.isEmpty():
+        return result
+    shares = [k / RANGES for k in range(1, RANGES)]
+    split = points.join(large, "group")
+    borders = split.groupBy("group").agg(*[
+        F.array_distinct(F.approx_percentile(c, shares, 4 * RANGES)).alias(f"_{c}") for c in ("x", "y")
+    ])
+
+    def place(value: str) -> Column:
+        """Even: between two borders; odd: on one."""
+        held, mine = F.col(f"_{value}"), F.col(value)
+        below = count_where_prefix(held, lambda b: b < mine, RANGES)
+        return 2 * below + F.coalesce((F.get(held, below) == mine).cast("int"), F.lit(0))
+
+    placed = materialize(split.join(borders, "group").select("group", "x", "y", "w", place("x").alias("i"), place("y").alias("j")))
+    cells = placed.groupBy("group", "i", "j").agg(F.sum("w").alias("w"))
+    # numbers of the smaller groups: ranges of x, then ranges of y
+    most = 4 * RANGES + 2
+    inside = placed.where("i % 2 = 0").select((F.col("group") * most + F.col("i")).alias("group"), "x", "y", "w")
+    # points of one range of x are ties here: they are counted above
+    beside = placed.where("j % 2 = 0").select((F.col("group") * most + (2 * RANGES + 1) + F.col("j")).alias("group"), F.col("i").cast("double").alias("x"), "y", "w")
+    parts = discordant(inside.unionByName(beside)).select(F.floor(F.col("group") / most).alias("group"), "q")
+    everywhere = _whole(cells.select("group", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), "w"))
+    found = parts.unionByName(everywhere).groupBy("group").agg(F.sum("q").cast(WIDE).alias("q"))
+    return result.unionByName(found)
+
+
+def _crossings(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
+    """The weight of pairs with x smaller and y larger, in n log n steps and without overflow."""
+    order = np.lexsort((y, x))
+    held = w[order].astype(object) if float(w.sum()) ** 2 >= 2**62 else w[order].astype(np.int64)
+    rank = np.unique(y[order], return_inverse=True)[1]
+    total, here = 0, np.arange(len(rank))
+    # two points differ first at some bit of their ranks; the one with the 1 must come first
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        prefix = rank >> (bit + 1)
+        one = (rank >> bit) & 1
+        ones = np.cumsum(held * one)
+        start = np.maximum.accumulate(np.where(np.r_[True, prefix[1:] != prefix[:-1]], here, 0))
+        base = np.where(start > 0, ones[np.maximum(start - 1, 0)], 0)
+        total += int(np.sum((ones - base) * held * (1 - one)))
+        # the next bit looks inside groups that agree so far, each still in the order of x
+        moved = np.argsort(rank >> bit, kind="stable")
+        rank, held = rank[moved], held[moved]
+    return total
+
+
+def _whole(points: DataFrame) -> DataFrame:
+    """Groups counted by one task each: their points, or the at most (2 RANGES + 1)^2 cells."""
+
+    def counted(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        found = _crossings(*[frame[c].to_numpy() for c in ("x", "y", "w")])
+        return pd.DataFrame({"group": [key[0]], "q": [Decimal(found)]})
+
+    return points.select("group", "x", "y", "w").groupBy("group").applyInPandas(counted, f"group bigint, q {WIDE}")
 
 
 METHODS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}

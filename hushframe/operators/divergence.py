@@ -11,13 +11,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hushframe.functions.search import count_where_prefix, plan_array
 from hushframe.operators.compare import shares_of
-from hushframe.operators.ordered import cumulate, most_ranges
+from hushframe.operators.ordered import cumulate, no_nan, number_rows
 from hushframe.operators.pairs import (
     complete, number, pair_cells, side_columns, side_counts, text,
 )
 from hushframe.operators.profile import top_per_column
+from hushframe.session import materialize
 
 # Probabilities below the first count as zero; the second is
 # added against log(0), to probabilities and to histogram counts alike.
@@ -25,9 +25,19 @@ MIN_PROBABILITY = 1e-15
 SMOOTHING = 1e-10
 
 
-def distribution(cells: DataFrame, by: Sequence[str] = ("column",)) -> DataFrame:
-    """(by..., value, n_o, n_p, p, q) of the pairs (o, p)."""
-    return side_counts(cells, by).withColumns({
+def distribution(
+    cells: DataFrame, by: Sequence[str] = ("column",), categories: DataFrame | None = None
+) -> DataFrame:
+    """(by..., value, n_o, n_p, p, q) of the pairs (o, p). With ``categories``
+    (by..., value) those are listed too where neither side has them, with zeros."""
+    counts = side_counts(cells, by)
+    if categories is not None:
+        none = F.lit(0).cast("bigint")
+        listed = categories.select(*by, "value").where("value is not null").distinct()
+        counts = counts.unionByName(listed.select(*by, "value", none.alias("n_o"), none.alias("n_p"))).groupBy(*by, "value").agg(
+            F.sum("n_o").alias("n_o"), F.sum("n_p").alias("n_p"),
+        )
+    return counts.withColumns({
         "p": F.col("n_o").cast("double"), "q": F.col("n_p").cast("double"),
     })
 
@@ -201,6 +211,34 @@ def transport(counts: DataFrame, by: Sequence[str] = ("column",), w_o: str = "n_
     )
 
 
+def weighted_transport(
+    original: DataFrame, protected: DataFrame, by: Sequence[str] = ("column",), value: str = "value", weight: str = "weight",
+) -> DataFrame:
+    """(by..., wasserstein, ks_statistic) between two weighted samples (by..., value, weight).
+
+    Weights are real numbers of any scale and are normalised per group and side; equal
+    values merge before anything is ordered. Rows without a value or a weight are left
+    out, a negative, NaN or infinite weight is an error. A group in which a side has no weight has
+    distance zero, as it has without samples.
+    """
+    by = list(by)
+    mass = F.col(f"`{weight}`").cast("double")
+    sound = F.when((mass >= 0) & (mass < float("inf")), mass).otherwise(
+        F.when(mass.isNotNull(), F.raise_error(F.lit("a weight is negative or not finite")).cast("double")))
+    zero = F.lit(0.0)
+    sides = [
+        side.select(*by, no_nan(F.col(f"`{value}`").cast("double")).alias("value"), *[(sound if w == k else zero).alias(f"w_{w}") for w in "op"])
+        for side, k in ((original, "o"), (protected, "p"))
+    ]
+    known = sides[0].unionByName(sides[1]).where("value is not null and w_o is not null and w_p is not null")
+    # sums of doubles: value_counts would round them to whole rows
+    counts = known.groupBy(*by, "value").agg(F.sum("w_o").alias("w_o"), F.sum("w_p").alias("w_p"))
+    held = counts.groupBy(*by).agg(F.sum("w_o").alias("_o"), F.sum("w_p").alias("_p"))
+    weighed = counts.join(held.where("_o > 0 and _p > 0").select(*by), by, "left_semi")
+    moved = transport(weighed, by, "w_o", "w_p").select(*by, "wasserstein", "ks_statistic")
+    return held.select(*by).join(moved, by, "left").fillna(0.0, ["wasserstein", "ks_statistic"])
+
+
 def kolmogorov_tail(x: Column) -> Column:
     """Pr(K > x). The alternating series converges fast from 1 on; below, the
     theta-function form of the same law does."""
@@ -256,32 +294,40 @@ def numeric_drift(paired: DataFrame, columns: Sequence[str] | None = None, bins:
     )
 
 
-def category_index(counts: DataFrame, by: Sequence[str] = ("column",)) -> DataFrame:
+#: Code points of a category by which categories are dealt out, and categories that may share them.
+PREFIX = 64
+SHARED = 50_000
+
+
+def category_index(counts: DataFrame, by: Sequence[str] = ("column",), shared: int = SHARED) -> DataFrame:
     """Adds ``index``, the 0-based place of a category in sorted order.
 
-    Borders taken from a bounded, hash-ordered sample split the categories
-    into ranges, so one window never holds a whole column.
+    Categories are range-partitioned by their first PREFIX code points; beginnings that
+    more than ``shared`` categories have in common go on by the next PREFIX, until no
+    beginning does. Only such beginnings are sampled for the borders, never whole
+    categories, and no task orders more than its range.
     """
     by = list(by)
-    most = most_ranges(counts)
-    sample = (
-        counts.select("value").orderBy(F.xxhash64("value"), "value").limit(most).collect()
-    )
-    borders = sorted({r["value"] for r in sample})
-    ranged = counts.withColumn(
-        "_range",
-        count_where_prefix(plan_array(borders, "string"), lambda b: b < F.col("value"), most),
-    )
-    sizes = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(*by, "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    inside = W.partitionBy(*by, "_range").orderBy("value")
-    return (
-        ranged.withColumn("_place", F.row_number().over(inside) - 1)
-        .join(F.broadcast(starts), [*by, "_range"])
-        .withColumn("index", F.col("_start") + F.col("_place"))
-        .drop("_range", "_start", "_place")
-    )
+    # read by each step below
+    rows = materialize(counts)
+    prefixes: list[str] = []
+    crowded = None
+    while True:
+        name, start = f"_p{len(prefixes)}", 1 + PREFIX * len(prefixes)
+        piece = F.substring("value", start, PREFIX)
+        if crowded is None:
+            rows = rows.withColumn(name, piece)
+        else:
+            # beginnings shared by many: at most one for every ``shared`` categories
+            rows = rows.join(crowded, [*by, *prefixes], "left").withColumn(name, F.when(F.col("_crowded"), piece).otherwise("")).drop("_crowded")
+        prefixes.append(name)
+        crowded = materialize(
+            rows.where(F.length(name) == PREFIX).groupBy(*by, *prefixes).agg(F.count(F.lit(1)).alias("_k"))
+            .where(F.col("_k") > shared).select(*by, *prefixes, F.lit(True).alias("_crowded"))
+        )
+        if crowded.isEmpty():
+            break
+    return number_rows(rows, by, [*prefixes, "value"], "index").drop(*prefixes)
 
 
 def category_drift(

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hushframe.functions.search import count_where_prefix
+from hushframe.session import materialize
 
 VALUES_PER_RANGE = 50_000
 SKETCH_SHARE = 64
@@ -94,13 +95,20 @@ def into_ranges(
     per_range: int = VALUES_PER_RANGE,
 ) -> DataFrame:
     """Adds ``_range`` and the totals of the weights. ``by`` must name few
-    groups (columns of a table): the broadcast side holds one row of at most
-    ``most_ranges`` numbers per group."""
+    groups (columns of a table): their borders, at most ``most_ranges`` numbers
+    each, are one constant map that rows refer to."""
+    by = list(by)
+    totals = [f"{w}_total" for w in weights]
+    group = F.struct(*by) if by else F.lit(0)
     borders = range_borders(counts, by, value, weights, per_range)
-    joined = counts.join(F.broadcast(borders), list(by), "left")
+    pairs = F.collect_list(F.struct(group.alias("group"), F.struct("_borders", *totals).alias("found")))
+    found = borders.agg(F.map_from_entries(pairs).alias("m")).scalar()
     target = F.col(value).cast("double")
-    found = count_where_prefix(F.col("_borders"), lambda b: b < target, most_ranges(counts))
-    return joined.withColumn("_range", F.coalesce(found, F.lit(0))).drop("_borders")
+    # looked up once a row, whatever the steps of the search
+    search = F.transform(F.array("_mine._borders"), lambda held: count_where_prefix(held, lambda b: b < target, most_ranges(counts)))
+    return counts.withColumn("_mine", F.element_at(found, group)).withColumns({
+        "_range": F.coalesce(F.get(search, F.lit(0)), F.lit(0)), **{t: F.col(f"_mine.{t}") for t in totals},
+    }).drop("_mine")
 
 
 def cumulate(
@@ -205,3 +213,24 @@ def even_quantiles(counts: DataFrame, by: Sequence[str], points: Column, value:
         .agg(low.alias("_lo"), high.alias("_hi"), F.max("_part").alias("_part"))
         .select(*by, "point", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("value"))
     )
+
+
+def number_rows(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``, the 0-based place of each row within its group in the order of ``order``.
+
+    One range partitioning orders all groups; a row's number is its place in its part
+    plus the rows of its group in earlier parts, so no group is one task's work.
+    """
+    by = list(by)
+    columns = rows.columns
+    at = F.monotonically_increasing_id()
+    parted = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    parted = materialize(parted.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    stretches = parted.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_held"), F.min("_at").alias("_first"))
+    # one row per group and part
+    bases = stretches.select(*[F.col(b).alias(f"_b{b}") for b in by], F.col("_part").alias("_b_part"), (F.coalesce(F.sum("_held").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"))
+    met = F.col("_part") == F.col("_b_part")
+    for b in by:
+        met = met & F.col(b).eqNullSafe(F.col(f"_b{b}"))
+    return parted.join(bases, met).select(*columns, (F.col("_at") + F.col("_base")).alias(name))

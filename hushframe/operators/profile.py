@@ -3,12 +3,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from hushframe.operators.ordered import no_nan, quantiles, unpivot, value_counts
+from hushframe.operators.correlate import correlation_pairs
+from hushframe.operators.ordered import no_nan, unpivot, value_counts
 from hushframe.operators.protect import missing, present
+from hushframe.operators.selection import quantile_table
 
 PERCENTILES = {
     "p5": 0.05, "p10": 0.10, "q1": 0.25, "median": 0.50,
@@ -43,15 +45,19 @@ def outlier_bounds(quartiles: DataFrame, multiplier: float) -> DataFrame:
     })
 
 
-def outliers_from_counts(counts: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Outlier rows per column, read off the value counts."""
+def column_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of numeric columns, one row per column with a value."""
+    return quantile_table(df, {c: present(df, c) for c in columns}, shares)
+
+
+def is_outside() -> Column:
+    return (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
+
+
+def outlier_counts(cells: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Outlier rows per column."""
     limits = F.broadcast(bounds.select("column", "lower_bound", "upper_bound"))
-    outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    return (
-        counts.join(limits, "column")
-        .groupBy("column")
-        .agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outlier_count"))
-    )
+    return cells.join(limits, "column").groupBy("column").agg(F.count_if(is_outside()).alias("outlier_count"))
 
 
 def profile_numeric(
@@ -59,11 +65,13 @@ def profile_numeric(
 ) -> DataFrame:
     """Counts, moments, percentiles and IQR outliers, one row per column.
 
-    Moments come from the rows (nothing is shuffled but one row per task and
-    column), percentiles and outliers from the value counts.
+    Percentiles are selected first (``selection``); moments and outliers then
+    come from one pass that shuffles one row per task and column.
     """
     columns = list(columns or numeric_columns(df))
-    cells = numeric_cells(df, columns)
+    bounds = outlier_bounds(column_quantiles(df, columns, PERCENTILES).drop("count"), iqr_multiplier)
+    # one row per column
+    cells = numeric_cells(df, columns).join(F.broadcast(bounds.select("column", "lower_bound", "upper_bound")), "column", "left")
     value = F.col("value")
     # merged variances of a constant are not exactly zero
     constant = F.min(value) == F.max(value)
@@ -77,18 +85,12 @@ def profile_numeric(
         F.max(value).alias("max"),
         F.when(shaped, F.skewness(value)).alias("skewness"),
         F.when(shaped, F.kurtosis(value)).alias("kurtosis"),
+        F.count_if(is_outside()).alias("outlier_count"),
     )
-    counts = value_counts(cells, ["column"])
-    bounds = outlier_bounds(quantiles(counts, ["column"], PERCENTILES).drop("count"), iqr_multiplier)
-    outliers = outliers_from_counts(counts, bounds)
-    return (
-        moments.join(F.broadcast(bounds), "column", "left")
-        .join(F.broadcast(outliers), "column", "left")
-        .select(
-            "column", "count", "null_count", "mean", "std", "min", "max",
-            *PERCENTILES, (F.col("q3") - F.col("q1")).alias("iqr"), "skewness", "kurtosis",
-            F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"), "lower_bound", "upper_bound",
-        )
+    return moments.join(F.broadcast(bounds), "column", "left").select(
+        "column", "count", "null_count", "mean", "std", "min", "max",
+        *PERCENTILES, (F.col("q3") - F.col("q1")).alias("iqr"), "skewness", "kurtosis",
+        "outlier_count", "lower_bound", "upper_bound",
     )
 
 
@@ -96,14 +98,13 @@ def outlier_rows(
     df: DataFrame, column: str, key: Sequence[str], iqr_multiplier: float = 1.5
 ) -> DataFrame:
     """Key and value of the rows outside the IQR bounds."""
-    counts = value_counts(numeric_cells(df, [column]), ["column"])
-    bounds = outlier_bounds(quantiles(counts, ["column"], {"q1": 0.25, "q3": 0.75}), iqr_multiplier)
+    bounds = outlier_bounds(column_quantiles(df, [column], {"q1": 0.25, "q3": 0.75}), iqr_multiplier)
     value = present(df, column).cast("double")
     return (
         df.select(*key, value.alias("value"))
         .withColumn("column", F.lit(column))
         .join(F.broadcast(bounds.select("column", "lower_bound", "upper_bound")), "column")
-        .where((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")))
+        .where(is_outside())
         .select(*key, "value")
     )
 
@@ -316,9 +317,11 @@ def profile_columns(
     return result
 
 
-def profile_dataset(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def profile_dataset(df: DataFrame, columns: Sequence[str] | None = None, correlations: str | None = None) -> DataFrame:
     """Shape, column kinds, completeness and duplicates: one row. Duplicates
-    look at every column of the table, the rest at ``columns``."""
+    look at every column of the table, the rest at ``columns``. With the name of a
+    method (pearson, spearman, kendall) in ``correlations`` the row also holds the
+    correlations of the numeric columns, as an array of (column1, column2, n, correlation)."""
     columns = list(columns or df.columns)
     gaps, copies = missing_summary(df, columns), duplicate_rows(df)
     kinds = {
@@ -330,6 +333,12 @@ def profile_dataset(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         name: F.lit(len([c for c in columns if c in found])).cast("bigint")
         for name, found in kinds.items()
     }
+    found = []
+    if correlations:
+        pairs = correlation_pairs(df, [c for c in columns if c in kinds["numeric_columns"]], correlations)
+        cells = F.array_sort(F.collect_list(F.struct("column1", "column2", "n", "correlation")))
+        # one entry per pair of columns
+        found = [pairs.agg(cells.alias("cells")).scalar().alias("correlations")]
     return gaps.select(
         (F.col("rows_with_missing") + F.col("complete_rows")).alias("row_count"),
         F.lit(len(columns)).cast("bigint").alias("column_count"),
@@ -337,7 +346,7 @@ def profile_dataset(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         "total_missing",
         (F.lit(1.0) - F.col("missing_percentage") / 100).alias("completeness"),
         (F.col("total_missing") > 0).alias("has_missing"),
-        copies.select("duplicate_rows").scalar().alias("duplicate_rows"),
+        copies.select("duplicate_rows").scalar().alias("duplicate_rows"), *found,
     )
 
 

@@ -11,6 +11,7 @@ from hushframe.operators.ordered import even_quantiles, quantiles, value_counts
 from hushframe.operators.pairs import number, pair_cells, side_columns, side_counts, text
 from hushframe.operators.profile import top_per_column
 from hushframe.operators.protect import EXCLUDE, PASSTHROUGH, PROTECT, Release
+from hushframe.operators.selection import quantile_table
 
 
 def side_rows(paired: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -98,18 +99,19 @@ def box_table(paired: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """Box statistics per column and side; whiskers end at the outermost
     values within 1.5 IQR."""
     columns = list(columns or side_columns(paired, "numeric"))
-    rows = side_rows(paired, columns)
-    counts = value_counts(rows, ["column", "side"])
-    box = quantiles(counts, ["column", "side"], {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0})
-    means = rows.groupBy("column", "side").agg(F.avg("value").alias("mean"))
+    sides = {"original": "orig", "protected": "prot"}
+    # "|" parts the side from the column's name
+    shares = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+    found = quantile_table(paired, {f"{side}|{c}": number(F.col(field)[c]) for side, field in sides.items() for c in columns}, shares)
+    box = found.withColumns({"side": F.substring_index("column", "|", 1), "column": F.expr("substring(column, instr(column, '|') + 1)")})
+    box = box.select("column", "side", "count", *shares)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
-    whiskers = (
-        counts.join(F.broadcast(box.select("column", "side", "q1", "q3")), ["column", "side"])
-        .where(inside).groupBy("column", "side")
-        .agg(F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high"))
+    # one row per column and side is broadcast
+    spread = side_rows(paired, columns).join(F.broadcast(box.select("column", "side", "q1", "q3")), ["column", "side"]).groupBy("column", "side").agg(
+        F.avg("value").alias("mean"), F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
     )
-    return box.join(F.broadcast(means), ["column", "side"]).join(F.broadcast(whiskers), ["column", "side"])
+    return box.join(F.broadcast(spread), ["column", "side"])
 
 
 def qq_table(paired: DataFrame, column: str, points: int = 1000) -> DataFrame:

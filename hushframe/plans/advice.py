@@ -335,3 +335,31 @@ def _reasons(reasons, column: str) -> str:
 
 SQL["recommendation_reasons"] = f"""WITH {KINDS}, {_LEVELS}, {_ADVISED} SELECT "column", level, kind,
  {_reasons(advise.LEVEL_REASONS, 'level')} AS level_reason, {_reasons(advise.KIND_REASONS, 'kind')} AS kind_reason FROM advised"""
+
+
+def _unnamed(spark, sf):
+    """Customers under names that say nothing: mail addresses, phone numbers, a third of them, market segments."""
+    key = F.col("c_custkey")
+    digits = lambda n: F.lpad((key % 10**n).cast("string"), n, "0")
+    return table(spark, sf, "customer").select(
+        F.concat(F.regexp_replace(F.lower("c_name"), "[^a-z0-9]", ""), F.lit("@mail.org")).alias("blob_a"),
+        F.concat(digits(3), F.lit("-"), digits(3), F.lit("-"), digits(4)).alias("blob_b"),
+        F.when(key % 3 == 0, F.concat(digits(3), F.lit("-"), digits(2), F.lit("-"), digits(4))).otherwise(F.col("c_mktsegment")).alias("blob_c"),
+        F.col("c_mktsegment").alias("blob_d"), F.col("c_acctbal").alias("blob_e"),
+    )
+
+
+QUERIES["recommend_by_content"] = lambda spark, sf: advise.recommend_dataset(_unnamed(spark, sf), bounded=["blob_e"], analyze_content=True).select(
+    "column", "level", "epsilon", "kind", "mechanism", "description", "confidence")
+_CONTENT = {"blob_a": ("regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') || '@mail.org'", "Email", r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+$"),
+            "blob_b": ("lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')",
+                       "Phone", r"^\d{3}-\d{3}-\d{4}$"),
+            "blob_c": ("CASE WHEN c_custkey % 3 = 0 THEN lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((c_custkey % 100)::VARCHAR, 2, '0') || '-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') ELSE c_mktsegment END",
+                       "SSN", r"^\d{3}-\d{2}-\d{4}$"),
+            "blob_d": ("c_mktsegment", "Email", "@"), "blob_e": ("'x'", "Email", "@")}
+SQL["recommend_by_content"] = "WITH seen AS (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{kind}' AS type, avg(regexp_matches({value}, '{pattern}')::INT) >= 0.5 AS hit FROM customer""" for c, (value, kind, pattern) in _CONTENT.items()
+) + """) SELECT "column", CASE WHEN hit THEN 'high' ELSE 'medium' END AS level, CASE WHEN hit THEN 0.3 ELSE 1.0 END::DOUBLE AS epsilon,
+ CASE "column" WHEN 'blob_e' THEN 'numeric_bounded' ELSE 'categorical' END AS kind, CASE "column" WHEN 'blob_e' THEN 'laplace' ELSE 'exponential' END AS mechanism,
+ CASE WHEN hit THEN 'Content analysis detected: ' || type ELSE 'No pattern match - using default' END AS description,
+ CASE WHEN hit THEN 0.85 ELSE 0.5 END::DOUBLE AS confidence FROM seen"""

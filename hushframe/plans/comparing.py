@@ -178,3 +178,26 @@ def compare_by_key(spark, sf):
 QUERIES["compare_by_key"] = compare_by_key
 SQL["compare_by_key"] = f"""WITH {RELEASED} SELECT 'o_totalprice' AS "column", count(*) AS count,
  {r('avg(abs(price_p - price_o))', 3)} AS mae, {r('sqrt(avg(pow(price_p - price_o, 2)))', 3)} AS rmse FROM released"""
+
+
+def _empty_pairs(spark, sf):
+    """Orders whose totals are missing on one side and whose priorities on both."""
+    orders = table(spark, sf, "orders")
+    none = F.lit(None)
+    return orders.select(
+        F.struct(F.col("o_totalprice").alias("total"), none.cast("string").alias("priority"), none.cast("timestamp").alias("day")).alias("orig"),
+        F.struct(none.cast("double").alias("total"), none.cast("string").alias("priority"), F.col("o_orderdate").alias("day")).alias("prot"),
+    )
+
+
+QUERIES["compare_empty"] = lambda spark, sf: compare.compare_numeric(_empty_pairs(spark, sf), ["total"])
+SQL["compare_empty"] = """SELECT 'total' AS "column", 0::BIGINT AS count, count(*) AS null_count, NULL::DOUBLE AS mape, """ + ", ".join(
+    f"0.0::DOUBLE AS {c}" for c in (
+        "mae", "rmse", "max_absolute_error", "mean_original", "mean_protected", "std_original", "std_protected", "min_original", "min_protected",
+        "max_original", "max_protected", "mean_difference", "std_difference", "median_original", "median_protected")
+) + ", NULL::DOUBLE AS mean_relative_error, NULL::DOUBLE AS std_relative_error FROM orders"
+
+QUERIES["compare_empty_columns"] = lambda spark, sf: compare.compare_columns(
+    _empty_pairs(spark, sf), ["total"], ["priority"], ["day"]).select("column", "kind", "count", "null_count", "drift")
+SQL["compare_empty_columns"] = """SELECT "column", kind, 0::BIGINT AS count, n AS null_count, drift FROM (SELECT count(*) AS n FROM orders),
+ (VALUES ('total', 'numeric', NULL), ('priority', 'categorical', 0.0::DOUBLE), ('day', 'date', NULL)) t("column", kind, drift)"""

@@ -10,6 +10,7 @@ from hushframe.plans.common import r, rounded, table
 from hushframe.plans.comparing import CF, FREQ, GAPPY, _gappy, _returned
 
 QUERIES, SQL = {}, {}
+_round = r
 
 
 def _brands(spark, sf):
@@ -123,7 +124,9 @@ SQL["ks_test"] = f"WITH {MOVED} " + "\nUNION ALL\n".join(
     for n, c in NAMES)
 
 
-def drift_sql(c: str, n: str, source: str = "moved", bins: int = 50) -> str:
+def drift_sql(c: str, n: str, source: str = "moved", bins: int = 50, digits: int | None = 6) -> str:
+    """Rounded, or for use in a larger query as it is (``digits`` None)."""
+    r = (lambda e: f"({e})") if digits is None else (lambda e: _round(e, digits))
     p = f"(n_o + 1e-10) / (sum(n_o) OVER () + {bins} * 1e-10)"
     q = f"(n_p + 1e-10) / (sum(n_p) OVER () + {bins} * 1e-10)"
     return f"""SELECT '{n}' AS "column", w AS wasserstein, ks AS ks_statistic, pv AS ks_pvalue, kl AS kl_divergence, js AS js_distance, tvd, shift AS mean_shift, ratio AS std_ratio FROM
@@ -158,10 +161,10 @@ SQL["category_top_changes"] = f"""WITH {CF} SELECT "column", rank, value, {r('p_
  {r('p_p - p_o')} AS difference FROM ({TOP_CHANGES}) WHERE rank <= 10"""
 
 QUERIES["all_divergences"] = lambda spark, sf: rounded(divergence.all_divergences(
-    _gappy(spark, sf), ["o_totalprice"], ["o_orderpriority"]), 4)
+    _gappy(spark, sf), ["o_totalprice"], ["o_orderpriority"]))
 _ALL = f"""
 num AS (SELECT price_o, price_p FROM known),
-drift AS ({drift_sql('price', 'o_totalprice', 'num')}),
+drift AS ({drift_sql('price', 'o_totalprice', 'num', digits=None)}),
 htvd AS (SELECT 0.5 * sum(abs(p - q)) AS tvd FROM (SELECT n_o / sum(n_o) OVER () AS p, n_p / sum(n_p) OVER () AS q FROM {hist_sql('price', 50, 'num')})),
 cat AS (SELECT *, min(p_p) OVER () < 1e-15 AS zero, count(*) OVER () AS k FROM freq),
 cats AS (SELECT *, CASE WHEN zero THEN (p_p + 1e-10) / (1 + k * 1e-10) ELSE p_p END AS q FROM cat),
@@ -173,4 +176,47 @@ UNION ALL SELECT 'o_orderpriority', 'kl_divergence', {_KL}, false, 'nats' FROM c
 UNION ALL SELECT 'o_orderpriority', 'js_distance', sqrt(greatest({_JS}, 0)), true, 'bits' FROM cats
 UNION ALL SELECT 'o_orderpriority', 'tvd', 0.5 * sum(abs(p_o - p_p)), true, 'probability' FROM cats)"""
 METRICS = f"{GAPPY}, {FREQ}, {_ALL}"
-SQL["all_divergences"] = f"""WITH {METRICS} SELECT "column", metric, {r('value', 4)} AS value, is_symmetric, unit FROM metrics"""
+SQL["all_divergences"] = f"""WITH {METRICS} SELECT "column", metric, {r('value')} AS value, is_symmetric, unit FROM metrics"""
+
+
+def _light_lines(spark, sf):
+    """Prices weighted by discount against prices weighted by tax, by return flag: weights below one."""
+    lines = table(spark, sf, "lineitem")
+    sample = lambda weight: lines.select("l_returnflag", F.col("l_extendedprice").alias("value"), weight.alias("weight"))
+    return divergence.weighted_transport(sample(F.col("l_discount") / 3), sample((F.col("l_tax") + 0.001) / 7), ["l_returnflag"])
+
+
+QUERIES["wasserstein_real_weights"] = lambda spark, sf: rounded(_light_lines(spark, sf))
+SQL["wasserstein_real_weights"] = f"""WITH c AS (SELECT l_returnflag, l_extendedprice AS v, sum(l_discount / 3) AS a, sum((l_tax + 0.001) / 7) AS z FROM lineitem GROUP BY 1, 2),
+f AS (SELECT l_returnflag, sum(a) OVER w / sum(a) OVER (PARTITION BY l_returnflag) AS f, sum(z) OVER w / sum(z) OVER (PARTITION BY l_returnflag) AS g,
+ lead(v) OVER w - v AS gap FROM c WINDOW w AS (PARTITION BY l_returnflag ORDER BY v))
+SELECT l_returnflag, {r('sum(abs(f - g) * gap)')} AS wasserstein, {r('max(abs(f - g))')} AS ks_statistic FROM f GROUP BY 1"""
+
+
+def _fixed_categories(spark, sf):
+    """Ship flags of returned lines over all flags there are, and two that nothing has."""
+    lines = table(spark, sf, "lineitem")
+    flags = lines.select(F.lit("flag").alias("column"), F.col("l_returnflag").alias("value")).distinct()
+    extra = spark.createDataFrame([("flag", "X"), ("flag", "Y")], "column string, value string")
+    cells = lines.where("l_returnflag <> 'N'").select(
+        F.lit("flag").alias("column"), F.col("l_returnflag").alias("o"), F.when(F.col("l_tax") > 0.04, "R").otherwise(F.col("l_returnflag")).alias("p"))
+    return divergence.distribution(cells, categories=flags.unionByName(extra))
+
+
+QUERIES["category_set"] = lambda spark, sf: _fixed_categories(spark, sf).select("column", "value", "n_o", "n_p")
+SQL["category_set"] = """WITH kept AS (SELECT l_returnflag AS o, CASE WHEN l_tax > 0.04 THEN 'R' ELSE l_returnflag END AS p FROM lineitem WHERE l_returnflag <> 'N')
+SELECT 'flag' AS "column", value, (SELECT count(*) FROM kept WHERE o = value) AS n_o, (SELECT count(*) FROM kept WHERE p = value) AS n_p
+FROM (SELECT DISTINCT l_returnflag AS value FROM lineitem UNION SELECT 'X' UNION SELECT 'Y')"""
+
+
+def _long_categories(spark, sf):
+    """Places of part names behind a beginning longer than what deals them out."""
+    parts = table(spark, sf, "part")
+    long = F.concat(F.lit("part-" * 30), "p_name", F.lit("/"), F.col("p_partkey").cast("string"))
+    counts = parts.select(F.col("p_brand").alias("column"), long.alias("value"))
+    return divergence.category_index(counts, shared=100)
+
+
+QUERIES["category_index"] = _long_categories
+SQL["category_index"] = """SELECT p_brand AS "column", repeat('part-', 30) || p_name || '/' || p_partkey AS value,
+ row_number() OVER (PARTITION BY p_brand ORDER BY repeat('part-', 30) || p_name || '/' || p_partkey) - 1 AS index FROM part"""

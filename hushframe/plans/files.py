@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from hushframe.operators.profile import profile_categorical
-from hushframe.plans.common import RELEASED, orders_release, r, rounded, table
+from hushframe.operators.protect import protect
+from hushframe.plans.common import GAPS, RELEASE, RELEASED, SECRET, lineitem_with_gaps, orders_release, orders_rules, r, rounded, table
 from hushframe.session import scratch_folder
-from hushframe.sources import readers, writers
+from hushframe.sources import partials, readers, writers
 from hushframe.sources.profiles import saved_profile
+from hushframe.sources.releases import compare_release
 
 QUERIES, SQL = {}, {}
 
@@ -163,3 +165,81 @@ def reused_profile(spark, sf):
 QUERIES["profile_reuse"] = reused_profile
 SQL["profile_reuse"] = """SELECT 'c_mktsegment' AS "column", count(*) AS count, count(DISTINCT c_mktsegment) AS cardinality,
  true AS same_content_reused, false AS other_content_reused FROM customer"""
+
+
+def compare_exported(spark, sf):
+    """The orders release, exported both ways and compared by its own metadata."""
+    orders, release = table(spark, sf, "orders"), orders_release(spark, sf, unique_key=True)
+    rows = None
+    for extension in ("parquet", "csv"):
+        path = _path(spark, extension)
+        writers.export(release.data, path, release)
+        found = compare_release(spark, orders, path, ["o_orderkey"]).withColumn("format", F.lit(extension))
+        rows = found if rows is None else rows.unionByName(found)
+    return rounded(rows, 3)
+
+
+QUERIES["compare_release"] = compare_exported
+_DAY_GAP = "(date_p::DATE - date_o::DATE)"
+SQL["compare_release"] = f"""WITH {RELEASED} SELECT f.format, c.* FROM (VALUES ('parquet'), ('csv')) f(format),
+ (SELECT 'o_totalprice' AS "column", 'numeric' AS kind, count(*) AS count, 0::BIGINT AS null_count,
+  {r('avg(abs(price_p - price_o))', 3)} AS mae, {r('sqrt(avg(pow(price_p - price_o, 2)))', 3)} AS rmse, {r('max(abs(price_p - price_o))', 3)} AS max_error, NULL::DOUBLE AS drift FROM released
+ UNION ALL SELECT 'o_orderpriority', 'categorical', count(*), 0, NULL, NULL, NULL, {r('avg((prio_o <> prio_p)::INT)', 3)} FROM released
+ UNION ALL SELECT 'o_orderdate', 'date', count(*), 0, {r(f'avg(abs({_DAY_GAP}))', 3)}, {r(f'sqrt(avg({_DAY_GAP} * {_DAY_GAP}))', 3)}, {r(f'max(abs({_DAY_GAP}))', 3)}, NULL FROM released) c"""
+
+
+def compare_exported_empty(spark, sf):
+    """A release of orders whose totals are all missing."""
+    none = table(spark, sf, "orders").withColumn("o_totalprice", F.lit(None).cast("double"))
+    release = protect(none, orders_rules(), ["o_orderkey"], SECRET, RELEASE, unique_key=True)
+    path = _path(spark, "parquet")
+    writers.export(release.data, path, release)
+    return compare_release(spark, none, path, ["o_orderkey"]).where("kind <> 'date'").select("column", "kind", "count", "null_count", "mae", "rmse", "max_error")
+
+
+QUERIES["compare_release_empty"] = compare_exported_empty
+SQL["compare_release_empty"] = """SELECT 'o_totalprice' AS "column", 'numeric' AS kind, 0::BIGINT AS count, count(*) AS null_count, 0.0::DOUBLE AS mae, 0.0::DOUBLE AS rmse, 0.0::DOUBLE AS max_error FROM orders
+UNION ALL SELECT 'o_orderpriority', 'categorical', count(*), 0, NULL, NULL, NULL FROM orders"""
+
+
+def _growing(spark, sf):
+    """lineitem as a table of two files, profiled, then of three: (partials of all, files read again)."""
+    lines = lineitem_with_gaps(spark, sf)
+    base = f"{scratch_folder(spark)}/growing-{uuid.uuid4().hex}"
+    path, folder = f"{base}/table", f"{base}/partials"
+    lines.where("l_orderkey % 3 < 2").repartition(2, "l_partkey").write.parquet(path)
+    partials.update(spark, path, folder)
+    lines.where("l_orderkey % 3 = 2").coalesce(1).write.mode("append").parquet(path)
+    return partials.update(spark, path, folder)
+
+
+def growing_numbers(spark, sf):
+    merged, read = _growing(spark, sf)
+    return rounded(partials.numbers(merged).withColumn("files_read", F.lit(read)), 5)
+
+
+QUERIES["profile_growing"] = growing_numbers
+_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+SQL["profile_growing"] = f"WITH {GAPS} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS count, count(*) - count({c}) AS null_count, {r(f'avg({c})', 5)} AS mean, {r(f'stddev_samp({c})', 5)} AS std,
+ {r(f'min({c})', 5)} AS min, {r(f'max({c})', 5)} AS max, {r(f"avg(pow(({c} - m_{c}) / s_{c}, 3))", 5)} AS skewness, {r(f"avg(pow(({c} - m_{c}) / s_{c}, 4)) - 3", 5)} AS kurtosis,
+ 1::INTEGER AS files_read FROM gaps, (SELECT avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c} FROM gaps)""" for c in _NUMBERS)
+
+
+def growing_rest(spark, sf):
+    """Correlations, categories and dates of the grown table."""
+    merged, _ = _growing(spark, sf)
+    text = "struct<name:string,other:string,n:bigint,x:double,mode:string>"
+    pairs = partials.correlations(merged).select(F.struct("column1", "column2", "n", "correlation", F.lit(None).cast("string")).cast(text).alias("r"))
+    labels = partials.categories(merged).select(F.struct("column", F.lit("categories"), "cardinality", "entropy", "mode").cast(text).alias("r"))
+    days = partials.dates(merged).select(F.struct("column", F.lit("days"), "count", F.date_diff("max_date", "min_date"), F.lit(None).cast("string")).cast(text).alias("r"))
+    return rounded(pairs.unionByName(labels).unionByName(days).select("r.*"), 6)
+
+
+QUERIES["profile_growing_pairs"] = growing_rest
+SQL["profile_growing_pairs"] = f"WITH {GAPS} " + " UNION ALL ".join(
+    [f"""SELECT '{a}' AS name, '{b}' AS other, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, {r(f'corr({a}, {b})')} AS x, NULL::VARCHAR AS mode FROM gaps"""
+     for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1:]]
+    + [f"""SELECT '{c}', 'categories', count(DISTINCT {c}), (SELECT {r('-sum(n / t * log2(n / t))')} FROM (SELECT count(*) AS n, (SELECT count({c}) FROM gaps)::DOUBLE AS t FROM gaps WHERE {c} IS NOT NULL GROUP BY {c})),
+ (SELECT {c} FROM gaps WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) FROM gaps""" for c in ("l_returnflag", "l_linestatus")]
+    + ["SELECT 'l_shipdate', 'days', count(l_shipdate), date_diff('day', min(l_shipdate), max(l_shipdate))::DOUBLE, NULL FROM gaps"])

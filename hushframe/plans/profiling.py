@@ -205,6 +205,14 @@ SQL["profile_dataset"] = f"""WITH {GAPS} SELECT count(*) AS row_count, 11::BIGIN
         ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
          "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]))
 
+def _dataset_correlations(spark, sf):
+    """The dataset profile by rank correlation, its pairs as rows."""
+    found = profile.profile_dataset(lineitem_with_gaps(spark, sf), ["l_quantity", "l_discount", "l_tax", "l_returnflag"], "spearman")
+    return rounded(found.select("row_count", "column_count", "numeric_columns", F.inline("correlations")))
+
+
+QUERIES["profile_dataset_correlations"] = _dataset_correlations
+
 QUERIES["profile_columns"] = lambda spark, sf: profile.profile_columns(
     table(spark, sf, "orders"), ["o_orderdate", "o_orderstatus", "o_totalprice"]
 ).where("statistic in ('count', 'null_count', 'cardinality', 'mode', 'is_unique', 'range_days', 'outlier_count')")
@@ -265,6 +273,30 @@ SQL["corr_spearman"] = f"WITH {GAPS} " + _union(
   (SELECT {_rank(a)} AS x, {_rank(b)} AS y FROM gaps WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
     for a, b in _pairs(["l_quantity", "l_extendedprice", "l_tax"]))
 
+_DATASET = ["l_quantity", "l_discount", "l_tax"]
+SQL["profile_dataset_correlations"] = f"WITH {GAPS} " + _union(
+    f"""SELECT (SELECT count(*) FROM gaps) AS row_count, 4::BIGINT AS column_count, 3::BIGINT AS numeric_columns, '{min(a, b)}' AS column1, '{max(a, b)}' AS column2,
+  count(*) AS n, {r('corr(x, y)')} AS correlation FROM
+  (SELECT {_rank(a)} AS x, {_rank(b)} AS y FROM gaps WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+    for a, b in _pairs(_DATASET)).replace("'l_discount' AS column1, 'l_quantity' AS column2", "'l_quantity' AS column1, 'l_discount' AS column2")
+
+# twenty columns, each a number of its own: one rank per column serves all 190 pairs
+WIDE = {f"m{k}": f"(l_{c} * {k + 3} % {m})" for k, (c, m) in enumerate([
+    ("orderkey", 101), ("partkey", 97), ("suppkey", 31), ("linenumber", 5), ("orderkey", 1009), ("partkey", 13), ("suppkey", 7), ("orderkey", 17),
+    ("partkey", 499), ("suppkey", 61), ("orderkey", 53), ("partkey", 251)])}
+_PLAIN = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def wide_lines(spark, sf):
+    return table(spark, sf, "lineitem").select(*_PLAIN, *[F.expr(e).alias(c) for c, e in WIDE.items()])
+
+
+QUERIES["corr_spearman_wide"] = lambda spark, sf: rounded(correlate.spearman(wide_lines(spark, sf), [*_PLAIN, *WIDE]))
+SQL["corr_spearman_wide"] = f"""WITH wide AS (SELECT {', '.join(_PLAIN)}, {', '.join(f'{e} AS {c}' for c, e in WIDE.items())} FROM lineitem),
+ranks AS (SELECT {', '.join(f'{_rank(c)} AS {c}' for c in [*_PLAIN, *WIDE])} FROM wide),
+one AS (SELECT count(*) AS n, {', '.join(f'corr({a}, {b}) AS {a}__{b}' for a, b in _pairs([*_PLAIN, *WIDE]))} FROM ranks)
+""" + _union(f"SELECT '{a}' AS column1, '{b}' AS column2, n, {r(f'{a}__{b}')} AS correlation FROM one" for a, b in _pairs([*_PLAIN, *WIDE]))
+
 QUERIES["corr_kendall"] = lambda spark, sf: rounded(correlate.correlation_pairs(
     lineitem_with_gaps(spark, sf), ["l_quantity", "l_discount", "l_tax"], "kendall"))
 SQL["corr_kendall"] = f"WITH {GAPS} " + _union(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from hushframe.operators.profile import as_stamp, text_columns, top_per_column
+from hushframe.operators.profile import parse_date, text_columns, top_per_column
 from hushframe.operators.protect import present
 
 # Formats by file extension, words that hint at a date column.
@@ -85,62 +85,90 @@ def dataset_info(loaded: Loaded) -> DataFrame:
     )
 
 
-def column_info(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """dtype, null count, distinct count and the smallest values per column.
+def _distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n, value text, stamp): one row per distinct value and for null, from one scan.
 
-    Distinct values are counted after a shuffle by value; the sample is the
-    first ``SAMPLE_VALUES`` of each column, kept by a per-task limit.
+    Cells travel in their own types, one field per type of the table; text forms are
+    made, and texts are parsed as dates, once per distinct value.
     """
-    columns = list(columns or df.columns)
+    kinds = {c: df.schema[c].dataType for c in columns}
+    # what cannot be grouped as it is goes as text
+    slot = {c: k.simpleString() if isinstance(k, _PLAIN) else "string" for c, k in kinds.items()}
+    types = sorted(set(slot.values()))
+
+    def cell(c: str) -> Column:
+        value = present(df, c).cast(slot[c])
+        fields = [(value if t == slot[c] else F.lit(None).cast(t)).alias(f"v{i}") for i, t in enumerate(types)]
+        return F.struct(F.lit(c).alias("column"), *fields)
+
+    slots = [f"v{i}" for i in range(len(types))]
+    values = df.select(F.inline(F.array(*[cell(c) for c in columns]))).groupBy("column", *slots).agg(F.count(F.lit(1)).alias("n"))
+    text = F.coalesce(*[F.col(s).cast("string") for s in slots])
+    stamp = F.lit(None).cast("timestamp_ntz")
+    if "string" in types:
+        texts = [c for c in columns if isinstance(kinds[c], T.StringType)]
+        held = F.col(f"v{types.index('string')}")
+        if texts:
+            stamp = F.when(F.col("column").isin(texts) & may_be_date(held), parse_date(held))
+    return values.select("column", "n", text.alias("value"), stamp.alias("stamp"))
+
+
+_PLAIN = (T.NumericType, T.BooleanType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def may_be_date(text: Column) -> Column:
+    """Cheap test that leaves out most texts that no date form reads: those begin with a
+    digit, a sign, a ``T`` or the name of a month, and hold a digit."""
+    return text.rlike(r"^[\s\x00-\x20]*(?:[+\-T]?[0-9]|[A-Za-z]{3,9} )") & text.rlike("[0-9]")
+
+
+def _column_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    values = _distinct_values(df, columns)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), present(df, c).cast("string").alias("value")) for c in columns
-    ])
-    values = df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     known = F.col("value").isNotNull()
+    n = F.col("n")
     stats = values.groupBy("column").agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("null_count"),
+        F.sum(n).alias("rows"),
+        F.sum(F.when(known, 0).otherwise(n)).alias("null_count"),
         F.count_if(known).alias("unique_count"),
+        F.sum(F.when(F.col("stamp").isNotNull(), n).otherwise(0)).alias("parsed"),
     )
     sample = (
-        top_per_column(values.where(known).withColumn("n", F.lit(0)), SAMPLE_VALUES)
+        top_per_column(values.where(known).select("column", "value", F.lit(0).alias("n")), SAMPLE_VALUES)
         .groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
     )
     dtype = F.create_map(*[F.lit(x) for c in columns for x in (c, types[c])])[F.col("column")]
-    return stats.join(F.broadcast(sample), "column", "left").select(
-        "column", dtype.alias("dtype"), "rows", "null_count", "unique_count",
-        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
-    )
+    return stats.join(F.broadcast(sample), "column", "left").withColumns({
+        "dtype": dtype, "sample_values": F.coalesce("sample_values", F.array().cast("array<string>")),
+    })
+
+
+def column_info(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """dtype, null count, distinct count and the smallest values per column.
+
+    Distinct values are counted after a shuffle by value; the sample is the
+    first ``SAMPLE_VALUES`` of each column, kept by a per-task limit.
+    """
+    return _column_facts(df, list(columns or df.columns)).select("column", "dtype", "rows", "null_count", "unique_count", "sample_values")
 
 
 def date_parse_rate(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Share of the known values of text columns that read as dates."""
     columns = list(columns or text_columns(df))
     texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
-    cells = F.array(*[
-        F.struct(
-            F.lit(c).alias("column"), F.col(f"`{c}`").isNotNull().alias("known"),
-            as_stamp(df, c).isNotNull().alias("parsed"),
-        ) for c in texts
-    ])
-    return df.select(F.inline(cells)).groupBy("column").agg(
-        F.count_if("known").alias("values"),
-        F.coalesce(
-            F.try_divide(F.count_if("parsed"), F.count_if("known")), F.lit(0.0)
-        ).alias("parse_rate"),
+    known = F.col("rows") - F.col("null_count")
+    return _column_facts(df, texts).select(
+        "column", known.alias("values"), F.coalesce(F.try_divide("parsed", known), F.lit(0.0)).alias("parse_rate"),
     )
 
 
 def column_kinds(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Column information plus ``kind``: date, numeric, categorical, unknown."""
     columns = list(columns or df.columns)
-    info = column_info(df, columns)
     texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
-    if texts:
-        info = info.join(F.broadcast(date_parse_rate(df, texts)), "column", "left").drop("values")
-    else:
-        info = info.withColumn("parse_rate", F.lit(None).cast("double"))
+    known = F.col("rows") - F.col("null_count")
+    rate = F.when(F.col("column").isin(texts), F.coalesce(F.try_divide("parsed", known), F.lit(0.0)))
+    info = _column_facts(df, columns).select("column", "dtype", "rows", "null_count", "unique_count", "sample_values", rate.alias("parse_rate"))
     return info.withColumn("kind", _kind(df, columns))
 
 

@@ -69,9 +69,9 @@ def test_kendall_matches_all_pairs(spark, monkeypatch):
     rows = [(x, y + 0.2 * x, 2.0 if rng.random() < 0.4 else z) for x, y, z in rows]
     rows += [(None, 1.0, 2.0), (1.0, None, None)]
     df = spark.createDataFrame(rows, "x double, y double, z double")
-    # small ranges, so that sums cross range borders
-    plain = correlate.into_ranges
-    monkeypatch.setattr(correlate, "into_ranges", lambda c, by, v, w: plain(c, by, v, w, per_range=3))
+    # few points a task and small ranges, so that sums cross range borders
+    monkeypatch.setattr(correlate, "POINTS", 30)
+    monkeypatch.setattr(correlate, "RANGES", 6)
     found = {(r["column1"], r["column2"]): r for r in correlate.kendall(df, ["x", "y", "z"]).collect()}
     for i, j in itertools.combinations(range(3), 2):
         known = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
