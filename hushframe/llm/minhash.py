@@ -166,18 +166,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return per_batch(both.select("a", "b", "text_a", "text_b"), work, "a long, b long")
 
 
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    ends = [found.select(F.col("node").alias(side), F.col("component").alias(f"in_{side}")) for side in "ab"]
+    placed = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    return materialize(placed.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Each row has a key of its own, so rows without an id or with the same id are
     compared like any other. Rows with equal sets are one class, led by one row. Leaders
-    that share a band key are candidates. In the first round every leader of a
-    key is held against the key's smallest leader; in the second, pairs of a key
-    that the links so far leave in different components are held against each
-    other, so that no pair of a key stays undecided, and groups of copies cost
-    one comparison each. Candidates pass the bit estimate first, those of the
-    second round a closer one as well; links count only after their full sets
-    were compared.
+    that share a band key are candidates. In the first round every leader is held
+    against the hub of each of its keys, the row that meets most others: first
+    the hub it shares most keys with, then those that this left in another
+    component. In the second round, pairs of a key that are still in different
+    components are held against each other, so that no pair of a key stays
+    undecided, and groups of copies cost one comparison each. Candidates pass
+    the bit estimate first, those of the second round a closer one as well; links
+    count only after their full sets were compared.
 
     Null and empty texts have no set and are linked with nothing. The component's
     id is its smallest doc_id, null if it has none; rows of that id are kept, or
@@ -194,33 +202,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("leader"), first.alias("first")))
     leaders = materialize(rows.select("row", "bits", "bands").join(classes.select(F.col("leader").alias("row")), "row"))
     keyed = leaders.select("row", F.explode("bands").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1"))
-    members = materialize(keyed.join(shared, "key").select("key", "a", F.col("row").alias("b")))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(keyed.join(shared, "key"))
+    # what others are copies of shares keys with more rows than its copies do
+    known = members.groupBy("row").agg(F.sum("n").alias("met"))
+    ranked = members.join(known, "row").select("key", F.struct("met", (-F.col("row")).alias("first")).alias("rank"))
+    hubs = ranked.groupBy("key").agg(F.max("rank").alias("rank")).select("key", (-F.col("rank.first")).alias("a"))
     bits = leaders.select("row", "bits")
 
     def probable(pairs: DataFrame) -> DataFrame:
         return pairs.join(bits.select(F.col("row").alias("a"), F.col("bits").alias("bits_a")), "a").join(
             bits.select(F.col("row").alias("b"), F.col("bits").alias("bits_b")), "b",
-        ).where(estimate("bits_a", "bits_b") >= LEAST_ESTIMATE).select("a", "b")
+        ).where(estimate("bits_a", "bits_b") >= LEAST_ESTIMATE).drop("bits_a", "bits_b")
 
-    stars = materialize(probable(members.where("a <> b").select("a", "b").distinct()))
-    links = materialize(confirmed(stars, texts))
+    pairs = members.select("key", F.col("row").alias("b")).join(hubs, "key").where("a <> b")
+    stars = materialize(probable(pairs.groupBy("a", "b").agg(F.count("*").alias("n"))))
+    # each row against the hub it shares most keys with; of the rest only what that left apart
+    nearest = stars.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("hub")).select((-F.col("hub.a")).alias("a"), "b")
+    links = materialize(confirmed(nearest, texts))
     found = components(links)
+    rest = apart(stars.join(nearest, ["a", "b"], "left_anti").select("a", "b"), found)
+    if not rest.isEmpty():
+        links = materialize(links.union(confirmed(rest, texts)))
+        found = components(links)
 
-    placed = members.select("key", F.col("b").alias("row")).join(
+    placed = members.select("key", "row").join(
         found.withColumnRenamed("node", "row"), "row", "left",
     ).withColumn("component", F.coalesce("component", "row"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = materialize(placed.join(mixed, "key").join(bits, "row"))
-    undecided = open_.join(long_bits(texts, open_.select("row").distinct()), "row")
+    open_ = materialize(placed.join(mixed, "key"))
+    undecided = open_.join(long_bits(texts, open_.select("row").distinct()), "row").join(leaders, "row")
     sides = [
-        undecided.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("row", "component", "bits", "long")]) for side in "ab"
+        undecided.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("row", "component", "bits", "long", "bands")]) for side in "ab"
     ]
     near = (estimate("bits_a", "bits_b") >= LEAST_ESTIMATE) & (estimate("long_a", "long_b", LONG_HASHES, 2) >= LEAST_LONG_ESTIMATE)
+    # a pair that shares several keys is met at the first of them
+    once = F.col("key") == F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0))
     met = sides[0].join(sides[1], "key").where(
-        (F.col("row_a") < F.col("row_b")) & (F.col("component_a") != F.col("component_b")) & near,
+        (F.col("row_a") < F.col("row_b")) & (F.col("component_a") != F.col("component_b")) & near & once,
     ).select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
-    others = materialize(met.join(stars, ["a", "b"], "left_anti"))
+    tried = stars.select("a", "b").union(stars.select("b", "a"))
+    others = materialize(met.join(tried, ["a", "b"], "left_anti"))
     if not others.isEmpty():
         more = materialize(confirmed(others, texts))
         found = components(links.union(more))

@@ -75,6 +75,30 @@ def test_stages_on_nothing_and_nulls(spark, sf_dir, name, stage):
     assert got.count() >= (2 if name == "mixing" else 3)
 
 
+#: Names a stage might use itself, and one that stands for the key of rows.
+NAMES = [
+    "_file", "_at", "_number", "_score", "_copies", "_pass", "_row_key", "row", "row_key", "row_key_", "score_of_row", "times_taken", "turn_of_row", "key",
+    "file_of_row", "place_of_row", "number_of_file", "size", "kept", "bucket", "digest", "content", "score", "copies", "number", "bits", "component", "_metadata",
+]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_keep_columns_of_any_name(spark, sf_dir, name, stage):
+    """Rows and their other columns come out as they went in, from files and from elsewhere."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    named = docs.select("*", *[F.concat(F.lit(f"{n}:"), "doc_id").alias(n) for n in NAMES])
+    plain = Counter(map(tuple, stage(spark, corpus_pipeline.materialize(docs), sf_dir).collect()))
+    for rows in (corpus_pipeline.materialize(named), named.repartition(3, "doc_id")):
+        got = stage(spark, rows, sf_dir)
+        if name == "byte_bpe":
+            assert Counter(map(tuple, got.collect())) == plain
+            continue
+        assert got.columns == named.columns
+        found = got.collect()
+        assert all(r[n] == f"{n}:{r.doc_id}" for r in found for n in NAMES)
+        assert Counter(tuple(r[: len(docs.columns)]) for r in found) == plain
+
+
 def test_stages_decide_row_by_row(spark, sf_dir, monkeypatch):
     """A third of the ids is null and every fifth row is there twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
