@@ -88,7 +88,7 @@ def classify(catalog: DataFrame, rules: NameRules = NameRules(), name: str = "co
         pattern.alias("pattern"),
         F.coalesce(
             F.get(plan_array([d for _, _, d in listed], "string"), rule),
-            F.lit("No pattern match - using default"),
+            F.lit(NO_MATCH),
         ).alias("description"),
         F.when(rule.isNull(), 0.5).when(F.rlike(norm, text), F.least(F.lit(0.9), close))
         .otherwise(0.7).alias("confidence"),
@@ -134,6 +134,10 @@ def at_least(classified: DataFrame, level: str) -> DataFrame:
     return classified.where(rank[F.col("level")] >= LEVEL_ORDER[level])
 
 
+# Descriptions, as users' own tools read them.
+NO_MATCH = "No pattern match - using default"
+CONTENT_FOUND = "Content analysis detected: "
+
 # Whole-value patterns of personal data, in the order tried.
 CONTENT_PATTERNS = (
     ("SSN", r"^\d{3}-\d{2}-\d{4}$"),
@@ -199,7 +203,7 @@ def refine_by_content(classified: DataFrame, scan: DataFrame) -> DataFrame:
         .withColumns({
             "confidence": F.when(hit, CONTENT_CONFIDENCE).otherwise(F.col("confidence")),
             "pattern": F.when(hit, F.concat(F.lit("content:"), "detected")).otherwise(F.col("pattern")),
-            "description": F.when(hit, F.concat(F.lit("Content analysis detected: "), "detected"))
+            "description": F.when(hit, F.concat(F.lit(CONTENT_FOUND), "detected"))
             .otherwise(F.col("description")),
             "level": F.when(hit, HIGH).otherwise(F.col("level")),
         })

@@ -179,13 +179,14 @@ def category_dashboard(paired: DataFrame, columns: Sequence[str] | None = None,
     )
 
 
+# Labels of a total epsilon up to each limit, and beyond.
+PRIVACY_LABELS = ((1.0, "Strong privacy protection"), (5.0, "Moderate privacy protection"), (None, "Utility-focused protection"))
+
+
 def privacy_level(epsilon):
     """Label of a total epsilon."""
-    return (
-        F.when(epsilon <= 1.0, "Strong privacy protection")
-        .when(epsilon <= 5.0, "Moderate privacy protection")
-        .otherwise("Utility-focused protection")
-    )
+    *limited, (_, last) = PRIVACY_LABELS
+    return F.coalesce(*[F.when(epsilon <= limit, label) for limit, label in limited], F.lit(last))
 
 
 def report_summary(release: Release, compared: DataFrame) -> DataFrame:

@@ -128,6 +128,11 @@ taken AS (SELECT dataset, unnest(state.ids) AS query_id FROM folded)
 SELECT r.query_id, r.dataset, total_epsilon IS NULL OR t.query_id IS NOT NULL AS admitted
 FROM requests r JOIN budgets USING (dataset) LEFT JOIN taken t ON t.query_id = r.query_id AND t.dataset = r.dataset"""
 
+# all requests of a year at one moment: the order within it is that of their ids
+QUERIES["ledger_admission_moments"] = lambda spark, sf: ledger.admit(
+    requests(spark, sf).withColumn("ts", F.date_trunc("year", "ts")), budgets(spark, sf), "basic").select("query_id", "dataset", "admitted")
+SQL["ledger_admission_moments"] = SQL["ledger_admission"].replace("ORDER BY ts, query_id", "ORDER BY date_trunc('year', ts), query_id")
+
 QUERIES["ledger_admission_parallel"] = lambda spark, sf: ledger.admit(
     requests(spark, sf), budgets(spark, sf), "parallel").select("query_id", "dataset", "admitted")
 SQL["ledger_admission_parallel"] = f"""WITH {ENTRIES}, {BUDGETS}, {_REQUESTS}
