@@ -10,6 +10,8 @@ from hushframe.llm.frames import materialize
 #: dealt to several sort keys; there can be no more than 1 / HOT_SHARE such texts.
 HOT_SHARE = 0.001
 LEAST_HOT = 100
+#: Code points of a content that splitters are sampled from; digests order contents that share them.
+BEGINNING = 32
 
 
 def normalised(text: str) -> Column:
@@ -29,8 +31,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their normalised contents are. Sampled splitters
-    range-partition the contents, each partition sorts its part externally and
-    a sorted aggregation compares neighbours in full, keeping the row with
+    range-partition the contents by their beginning and digest, each partition
+    sorts its part externally and a sorted aggregation compares neighbours in full, keeping the row with
     the most code points, then the smallest id. The pieces of a very frequent
     text, dealt to several sort keys, and their documents meet by digest.
 
@@ -57,8 +59,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     piece = F.pmod(F.xxhash64("row"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece")
     # at most 1 / HOT_SHARE rows are broadcast
-    sorted_ = contents.join(F.broadcast(hot), "digest", "left").select("content", piece, "digest", "row", "doc_id", "n_points").repartitionByRange("content", "piece")
-    equal = sorted_.groupBy("content", "piece", "digest").agg(F.count("*").alias("n"), _first().alias("first"))
+    # splitters are sampled from beginnings and digests: no whole text comes to the driver
+    dealt = [F.substring("content", 1, BEGINNING).alias("beginning"), "digest", piece]
+    sorted_ = contents.join(F.broadcast(hot), "digest", "left").select(*dealt, "content", "row", "doc_id", "n_points").repartitionByRange("beginning", "digest", "piece")
+    equal = sorted_.groupBy("beginning", "digest", "piece", "content").agg(F.count("*").alias("n"), _first().alias("first"))
     groups = materialize(
         equal.groupBy("digest").agg(F.sum("n").alias("group_size"), F.min("first").alias("first"))
         .select("digest", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")),
