@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from hushframe.operators import compare, pairs
 from hushframe.operators.protect import ColumnRule, protect
@@ -123,21 +123,22 @@ _SCALES = {"l_quantity": (0, 50, 5.0), "l_extendedprice": (0, 105000, 2.0), "l_d
 def lineitem_pairs(spark, sf):
     """Three correlated numbers of lineitem beside their release. A line is
     not unique by its columns, so equal lines are told apart by a count."""
-    lines = table(spark, sf, "lineitem").groupBy(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in NUMBERS])
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    copy = F.row_number().over(Window.partitionBy(*columns).orderBy(*NUMBERS))
+    lines = table(spark, sf, "lineitem").select(*columns, copy.alias("copy"), *NUMBERS)
     rules = {c: ColumnRule(lower=lo, upper=hi, epsilon=e) for c, (lo, hi, e) in _SCALES.items()}
-    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    key = [*columns, "copy"]
     rules.update({k: ColumnRule("passthrough") for k in key})
     return protect(lines, rules, key, SECRET, RELEASE, keep_original=True, unique_key=True).data
 
 
-_LK = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
-LINES = f"""lines AS (SELECT {_LK}, max(l_quantity) AS l_quantity, max(l_extendedprice) AS l_extendedprice, max(l_discount) AS l_discount
- FROM lineitem GROUP BY ALL),
+_LINE = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+_LK = f"{_LINE}, copy"
+LINES = f"""lines AS (SELECT {_LINE}, l_quantity, l_extendedprice, l_discount,
+ row_number() OVER (PARTITION BY {_LINE} ORDER BY l_quantity, l_extendedprice, l_discount) AS copy FROM lineitem),
 noisy AS (SELECT """ + ", ".join(
     f"{c} AS {c}_o, least(greatest({c}, {lo}), {hi}) + {sql_laplace(f'({hi - lo}) / {e}', sql_uniform(c, _LK))} AS {c}_p"
     for c, (lo, hi, e) in _SCALES.items()) + " FROM lines)"
-LINES = LINES.replace("GROUP BY ALL", f"GROUP BY {_LK}")
 _CPAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1:]]
 SHIFT = "shift AS (" + " UNION ALL ".join(
     f"SELECT '{a}' AS column1, '{b}' AS column2, corr({a}_o, {b}_o) AS original, corr({a}_p, {b}_p) AS protected FROM noisy"

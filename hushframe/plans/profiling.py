@@ -48,6 +48,22 @@ SQL["column_info"] = _union(
 )
 
 
+_DIMENSIONS = {
+    "customer": CUSTOMER, "part": PART,
+    "supplier": [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")],
+}
+
+
+def column_info_all(spark, sf):
+    """Every column of three tables, numbers with fractions too."""
+    parts = [readers.column_info(table(spark, sf, t)) for t in _DIMENSIONS]
+    info = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return info.withColumn("sample_values", F.array_join("sample_values", ","))
+
+
+QUERIES["column_info_all"] = column_info_all
+
+
 def dated_events(spark, sf):
     """events with its times also as text, some of them slashed or broken."""
     stamp = F.col("ts").cast("string")
@@ -230,6 +246,59 @@ UNION ALL SELECT 'o_orderdate', 'date', unnest(['count', 'null_count', 'cardinal
    (SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') FROM orders GROUP BY o_orderdate ORDER BY count(*) DESC, o_orderdate LIMIT 1),
    date_diff('day', min(o_orderdate), max(o_orderdate))::VARCHAR]) FROM orders)"""
 
+def profile_columns_all(spark, sf):
+    """Every statistic of every column of orders: numbers as numbers, the rest as text."""
+    found = profile.profile_columns(table(spark, sf, "orders"))
+    number = F.col("value").try_cast("double")
+    return found.select("column", "kind", "statistic", (F.round(number, 4) + F.lit(0.0)).alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+
+
+QUERIES["profile_columns_all"] = profile_columns_all
+
+
+def _stat_rows(column: str, kind: str, numbers: dict[str, str], texts: dict[str, str]) -> str:
+    names = ", ".join(f"'{n}'" for n in [*numbers, *texts])
+    values = ", ".join([*[r(e, 4) for e in numbers.values()], *["NULL" for _ in texts]])
+    words = ", ".join([*["NULL" for _ in numbers], *texts.values()])
+    return f"""SELECT '{column}' AS "column", '{kind}' AS kind, unnest([{names}]) AS statistic, unnest([{values}]) AS number, unnest([{words}]) AS text FROM orders"""
+
+
+def _numeric_stats(c: str) -> str:
+    q = {n: f"quantile_cont({c}, {p})" for n, p in profile.PERCENTILES.items()}
+    low, high = (f"(SELECT {q['q1' if side < 0 else 'q3']} {'-' if side < 0 else '+'} 1.5 * ({q['q3']} - {q['q1']}) FROM orders)" for side in (-1, 1))
+    power = lambda k: f"(SELECT avg(pow(({c} - m) / s, {k})) FROM orders, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM orders))"
+    return _stat_rows(c, "numeric", {
+        "count": f"count({c})", "null_count": f"count(*) - count({c})", "mean": f"avg({c})", "std": f"stddev_samp({c})", "min": f"min({c})", "max": f"max({c})",
+        **q, "iqr": f"{q['q3']} - {q['q1']}", "skewness": power(3), "kurtosis": f"{power(4)} - 3",
+        "outlier_count": f"(SELECT count(*) FROM orders WHERE {c} < {low} OR {c} > {high})", "lower_bound": low, "upper_bound": high,
+    }, {})
+
+
+def _text_stats(c: str) -> str:
+    mode = f"(SELECT {{}} FROM (SELECT {c} AS v, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)"
+    return _stat_rows(c, "categorical", {
+        "count": f"count({c})", "null_count": f"count(*) - count({c})", "cardinality": f"count(DISTINCT {c})", "mode_count": mode.format("n"),
+        "mode_frequency": f"{mode.format('n')} / count({c})",
+        "entropy": f"(SELECT -sum(n / t * log2(n / t)) FROM (SELECT count(*) AS n, (SELECT count({c})::DOUBLE FROM orders) AS t FROM orders WHERE {c} IS NOT NULL GROUP BY {c}))",
+    }, {"mode": mode.format("v"), "is_unique": f"CASE WHEN count(DISTINCT {c}) = count({c}) THEN 'true' ELSE 'false' END"})
+
+
+def _date_stats(c: str) -> str:
+    mode = f"(SELECT {{}} FROM (SELECT {c} AS v, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)"
+    shown = lambda e: f"strftime({e}, '%Y-%m-%d %H:%M:%S')"
+    return _stat_rows(c, "date", {
+        "count": f"count({c})", "null_count": f"count(*) - count({c})", "cardinality": f"count(DISTINCT {c})", "mode_count": mode.format("n"),
+        "range_days": f"date_diff('day', min({c}), max({c}))",
+    }, {"min_date": shown(f"min({c})"), "max_date": shown(f"max({c})"), "mode": mode.format(shown("v"))})
+
+
+SQL["profile_columns_all"] = _union([
+    *[_numeric_stats(c) for c in ("o_orderkey", "o_custkey", "o_totalprice")], *[_text_stats(c) for c in ("o_orderstatus", "o_orderpriority")], _date_stats("o_orderdate")])
+SQL["column_info_all"] = _union(
+    f"""SELECT '{c}' AS "column", '{t}' AS dtype, count(*) AS rows, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count,
+  (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM {name} ORDER BY v LIMIT 5)) AS sample_values FROM {name}"""
+    for name, fields in _DIMENSIONS.items() for c, t in fields)
+
 QUERIES["fingerprint_same_rows"] = lambda spark, sf: _same_rows(table(spark, sf, "customer"))
 SQL["fingerprint_same_rows"] = "SELECT count(*) AS rows, true AS reordered_equal, false AS changed_equal FROM customer"
 

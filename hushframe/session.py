@@ -46,9 +46,26 @@ def scratch_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Intermediate tables this process has written and not yet deleted.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The table written once to the shared folder and read back: later plans
-    start from files that survive the loss of any executor."""
+    start from files that survive the loss of any executor. ``clean_up`` deletes it."""
     path = f"{scratch_folder(df.sparkSession)}/hushframe-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes the intermediate tables written so far and says how many there were.
+
+    Results that are still lazy read them: write or collect what is wanted first.
+    """
+    done = 0
+    while _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return done

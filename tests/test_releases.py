@@ -106,3 +106,15 @@ def test_kinds_come_from_one_scan(spark):
     assert found["d"].sample_values == ["0.0", "1.0", "2.0"] and found["b"].unique_count == 2 and found["n"].null_count == len(df.collect())
     scans = readers.column_kinds(df.repartition(2))._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression")
     assert scans <= 2
+
+
+def test_intermediate_tables_are_deleted_on_demand(spark):
+    from hushframe import session
+
+    kept = session.materialize(spark.range(5))
+    path = session._written[-1]
+    assert kept.count() == 5 and writers.path_exists(spark, path)
+    held = list(session._written)
+    session._written[:] = [path]  # the other tests' tables stay
+    assert session.clean_up(spark) == 1 and not writers.path_exists(spark, path) and session.clean_up(spark) == 0
+    session._written[:] = held[:-1]
