@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 from hushframe.llm.arrays import mix, text_runs
 from hushframe.llm.frames import per_batch
 
-#: What is learnt from at most: rows of each language, languages (the most frequent).
+#: Rows of each language that are learnt from at most. Every language is learnt, so many
+#: of them in one model; models of more languages lie side by side.
 ROWS_PER_LANGUAGE = 1500
-LANGUAGES = 64
+LANGUAGES_AT_ONCE = 64
 ORDER = 4
 DISCOUNT = 0.75
 #: Share of calibration texts of a known language that the rejection may hit.
@@ -120,6 +121,21 @@ class Model:
         return out
 
 
+@dataclass
+class Models:
+    """Models of many languages side by side."""
+
+    parts: list[Model]
+    threshold: float = float("inf")
+
+    @property
+    def languages(self) -> list[str]:
+        return [name for part in self.parts for name in part.languages]
+
+    def entropies(self, text: str) -> np.ndarray:
+        return np.concatenate([part.entropies(text) for part in self.parts])
+
+
 def _counted(train: DataFrame) -> DataFrame:
     """(lang, n, gram, context, suffix, count) of the training texts."""
 
@@ -178,32 +194,34 @@ def _model(languages: list[str], table: pa.Table) -> Model:
     return model
 
 
-def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, at_once: int = LANGUAGES_AT_ONCE) -> Model | Models:
     """Models of the languages in ``docs`` (doc_id, text, lang).
 
-    Learnt from at most about ``rows_per_language`` whole texts of each of the
-    ``languages`` most frequent lang values, chosen by a hash of doc_id; a
-    tenth of them calibrates the rejection instead. Spark counts the n-grams;
-    the counts of this bounded sample meet on the driver. Rows with a null
-    text, lang or doc_id teach nothing. Without any row the model knows no
-    language.
+    Learnt from at most about ``rows_per_language`` whole texts of each lang
+    value, chosen by a hash of doc_id; a tenth of them calibrates the rejection
+    instead. Spark counts the n-grams; the counts of this bounded sample meet on the
+    driver, ``at_once`` languages at a time. Rows with a null text, lang or doc_id
+    teach nothing. Without any row the model knows no language.
     """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    found = usable.groupBy("lang").count().collect()
     if not found:
         return _model([], pa.table({c: pa.array([], t) for c, t in (("lang", pa.string()), ("n", pa.int32()), ("gram", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64()), ("count", pa.int64()))}))
     share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, rows_per_language / r["count"]))])
     dealt = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.withColumn("at", dealt / F.element_at(share, F.col("lang"))).where(F.col("at") < 1)
-    names = sorted(r["lang"] for r in found)
-    counted = _counted(sample.where(F.col("at") < 0.9).select("lang", "text"))
-    model = _model(names, counted.toArrow())
+    names, train = sorted(r["lang"] for r in found), sample.where(F.col("at") < 0.9).select("lang", "text")
+    if len(names) <= at_once:
+        model = _model(names, _counted(train).toArrow())
+    else:
+        parts = [names[k:k + at_once] for k in range(0, len(names), at_once)]
+        model = Models([_model(part, _counted(train.where(F.col("lang").isin(part))).toArrow()) for part in parts])
     best = [r["entropy"] for r in _scored(sample.where(F.col("at") >= 0.9), model).where("entropy is not null").select("entropy").collect()]
     model.threshold = float(np.quantile(best, 1 - REJECTED_SHARE)) if best else float("inf")
     return model
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
+def _scored(docs: DataFrame, model: Model | Models) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, scores, entropies = [], [], []
         for _, data, ends in text_runs(batch, "text"):
@@ -228,7 +246,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model | Models) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected for each whole text.
 
     The language of lowest cross-entropy per character; ``score`` is its share

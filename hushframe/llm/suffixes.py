@@ -327,8 +327,9 @@ def without_repeats(
 
 
 def digests(cut: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``without_repeats``."""
+    """doc_id, n_bytes, n_removed, n_kept (bytes left), n_spans, kept_sha256 of ``without_repeats``."""
+    left = F.octet_length("kept").cast("long")
     return cut.select(
-        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        "doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), left.alias("n_kept"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )

@@ -19,16 +19,20 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     Rows without an id, null vectors and vectors with a null or non-finite
     component are left out. Rows that share an id count once, with the
-    smallest vector.
+    smallest vector. A vector so long that an inner product of two such might leave
+    the range of a long (2^63 or more as the sum of its squared weights) is an error.
     """
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    weights = F.transform("_x", lambda v: F.floor(v * scale))
+    # inner products are at most the product of the vectors' lengths
+    squares = F.aggregate("_x", F.lit(0.0), lambda total, v: total + (F.abs(v * scale) + 1) * (F.abs(v * scale) + 1))
     usable = F.col("_x").isNotNull() & F.col("_id").isNotNull() & ~F.exists(
         "_x", lambda v: F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(True)),
     )
     return (
         vectors.select(F.col(id_col).cast("long").alias("_id"), x.alias("_x"))
         .where(usable).groupBy("_id").agg(F.min("_x").alias("_x"))
-        .select(F.col("_id").alias("vec_id"), F.transform("_x", lambda v: F.floor(v * scale)).alias("weights"))
+        .select(F.col("_id").alias("vec_id"), F.when(squares < 2.0**63, weights).otherwise(F.raise_error(F.lit("a vector is too long for scores that are longs")).cast("array<bigint>")).alias("weights"))
     )
 
 

@@ -75,8 +75,35 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(vectors.where("false"), vectors.where("false"), 5).count() == 0
 
 
+def test_scores_never_leave_a_long(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [2.0**22, 1.0]), (1, [2.0**22, 2.0]), (50, [-(2.0**22), 0.0])]
+    vectors = topk.quantised(spark.createDataFrame(rows, schema))
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(vectors, vectors, 5).collect()}
+    assert got[0, 1] == 2**60 + 256 * 512 and got[0, 50] == -(2**60)
+    for long in ([1e8, 1.0], [1e300], [2.0**24]):
+        with pytest.raises(Exception, match="too long"):
+            topk.quantised(spark.createDataFrame([(0, long)], schema)).collect()
+
+
 # language
 
+def test_every_language_is_learnt(spark):
+    """70 languages, each with letters of its own and some that all share."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 20 * k + j) for j in range(12)] + list("abc ")
+        rows += [(1000 * k + i, "".join(rng.choices(letters, k=60)), f"l{k:02d}") for i in range(12 if k else 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs.where("doc_id % 1000 > 1"), at_once=32)
+    assert model.languages == sorted({r[2] for r in rows}) and len(model.parts) == 3
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs.where("doc_id % 1000 <= 1"), model).collect()}
+    assert all(found[i][0] == lang and 0 < found[i][1] <= 1 for i, _, lang in rows if i % 1000 <= 1)
+    whole = language.fit(docs.where("doc_id % 1000 > 1"), at_once=100)
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs.where("doc_id % 1000 <= 1"), whole).collect()} == {i: p for i, (p, _) in found.items()}
+
+
 def test_language_of_held_out_texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.fit(docs.where("doc_id % 3 <> 0"))
