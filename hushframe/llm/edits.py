@@ -173,6 +173,59 @@ def counts_after_edits(
     )
 
 
+TREES = "doc_id long, leaves array<struct<text:string,tokens:int>>, n_tokens long"
+
+
+def _leaves_of(tree: SegmentTree) -> list[dict]:
+    counts = tree.sums[tree.size:tree.size + len(tree.texts), 1]
+    return [{"text": t, "tokens": int(n)} for t, n in zip(tree.texts, counts) if t]
+
+
+def _tree_rows(batch: pa.RecordBatch, trees: list[SegmentTree], *more: pa.Array) -> list[pa.Array]:
+    leaf = pa.list_(pa.struct([("text", pa.string()), ("tokens", pa.int32())]))
+    return [batch.column("doc_id"), pa.array([_leaves_of(t) for t in trees], leaf), pa.array([t.tokens for t in trees], pa.int64()), *more]
+
+
+def stored_trees(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, leaves, n_tokens: the segment tree of each text by its leaves, to be written and kept.
+
+    Sums above the leaves follow from them. A null or empty text has no leaves; repeated rows
+    have a tree each; an empty table gives no rows.
+    """
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model = coder(vocabulary)
+        trees = [build(t or "", model) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays(_tree_rows(batch, trees), names=["doc_id", "leaves", "n_tokens"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return per_batch(texts, work, TREES)
+
+
+def edited_trees(trees: DataFrame, changes: DataFrame, vocabulary: str, edits_col: str = "edits") -> DataFrame:
+    """The kept ``trees`` after ``changes`` (doc_id and an array of edits): doc_id, leaves, n_tokens, chars_encoded_again.
+
+    Only the leaves an edit touches are encoded again, with the context their borders need; the
+    rest of a text is not encoded, nor read as a text. Edits are those of ``counts_after_edits``;
+    trees without changes pass as they are, changes without a tree are left out. Each doc_id
+    has at most one row of changes; they apply to every tree of that id. A null id has no changes.
+    """
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model, out, again = coder(vocabulary), [], []
+        for leaves, edits in zip(batch.column("leaves").to_pylist(), batch.column("edits").to_pylist(), strict=True):
+            held = leaves or [{"text": "", "tokens": 0}]
+            tree, n = SegmentTree([x["text"] for x in held], np.array([x["tokens"] for x in held])), 0
+            for change in edits or []:
+                start, stop = (change or {}).get("start") or 0, (change or {}).get("stop")
+                n += edit(tree, start, start if stop is None else stop, (change or {}).get("text") or "", model)
+            out.append(tree)
+            again.append(n)
+        return pa.RecordBatch.from_arrays(_tree_rows(batch, out, pa.array(again, pa.int64())), names=["doc_id", "leaves", "n_tokens", "chars_encoded_again"])
+
+    known = changes.select("doc_id", F.col(edits_col).cast("array<struct<start:int,stop:int,text:string>>").alias("edits"))
+    met = trees.select("doc_id", "leaves").join(known, "doc_id", "left").select("doc_id", "leaves", "edits")
+    return per_batch(met, work, f"{TREES}, chars_encoded_again long")
+
+
 def sample_edits(text_col: str = "text") -> F.Column:
     """Three edits of any text: a word put in at a third, a quarter of the text's
     second half cut out, the first 40 characters copied to the end."""

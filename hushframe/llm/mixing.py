@@ -107,7 +107,9 @@ def schedule(goals: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, int]:
     )
     counts = dealt.groupBy("number").agg(F.count("*").alias("n"))
     short = wanted.join(counts, "number", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < needed")
-    late = short.select((F.col("number") + n_slots).alias("position"), "number", F.explode(F.sequence(F.col("n"), F.col("needed") - 1)).alias("turn"))
+    late = short.select("number", "n", F.explode(F.sequence(F.col("n"), F.col("needed") - 1)).alias("turn")).select(
+        (F.col("number") + n_slots + (F.col("turn") - F.col("n")) * sources).alias("position"), "number", "turn",
+    )
     start = F.col("pass") * F.col("source_size") + F.col("block") * block
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block, F.col("whole") - F.col("start"))
     filled = dealt.unionByName(late).join(wanted, "number").where("turn < needed").withColumns({
@@ -116,6 +118,50 @@ def schedule(goals: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, int]:
     return filled.select("position", "number", "turn", "pass", "block", "start", "words"), block
 
 
+def _laid_out(
+    docs: DataFrame, weights: tuple[float, ...], share: float, slots: int, seed: str, row_col: str | None,
+) -> tuple[DataFrame, DataFrame, int]:
+    """The schedule's slots, the pieces of the documents by (number, block), and the words of a block."""
+    sizes = materialize(sized(docs, seed, row_col))
+    goals = materialize(targets(sizes, weights, share))
+    slot, block = schedule(goals, slots)
+    buckets = max(1, sizes.count() // BUCKET_ROWS)
+    bucket = F.floor(F.col("key") / float(1 << _KEY_BITS) * buckets)
+    numbered = sizes.withColumn("bucket", bucket).join(
+        goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")),
+    ).drop("source", "_source")
+    placed = materialize(_running(numbered, ["number"], "bucket", ["key", "doc_id", "size", "row"], "size", "offset"))
+
+    last = F.floor((F.col("offset") + F.greatest(F.col("size"), F.lit(1)) - 1) / block)
+    pieces = placed.select(
+        "number", "bucket", "place", "row", "doc_id", "size", "source_size", "target", "offset",
+        F.explode(F.sequence(F.floor(F.col("offset") / block), last)).alias("block"),
+    )
+    return slot, pieces, block
+
+
+def stream(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, slots: int = SLOTS, seed: str = "mix", row_col: str | None = None,
+) -> DataFrame:
+    """The mix in its order, as (position, at, doc_id, pass, first, words): of which words of which
+    document each slot of the schedule consists, ``at`` being their place within the slot.
+
+    Slots of a source stand where the golden-ratio sequence puts them, so that every stretch of
+    the stream holds the sources by their weights. ``mix`` counts what the stream reads: the words of a
+    document's rows add up to its ``taken``. Nulls, ties, repeats and empties are those of ``mix``;
+    with ``row_col`` the rows carry that column as well.
+    """
+    slot, pieces, block = _laid_out(docs, weights, share, slots, seed, row_col)
+    begin = F.greatest(F.col("offset") - F.col("block") * block, F.lit(0))
+    end = F.least(F.col("offset") + F.col("size") - F.col("block") * block, F.col("slot_words"))
+    reads = slot.select("position", "number", "block", "pass", F.col("words").alias("slot_words"))
+    met = pieces.where("size > 0").join(reads, ["number", "block"]).withColumns({"begin": begin, "end": end}).where("begin < end")
+    return met.select(
+        *[F.col("row").alias(c) for c in [row_col] if c], "position", F.col("begin").alias("at"), "doc_id", F.col("pass").cast("int").alias("pass"),
+        (F.col("block") * block + F.col("begin") - F.col("offset")).alias("first"), (F.col("end") - F.col("begin")).alias("words"),
+    )
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, slots: int = SLOTS, seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
@@ -128,25 +174,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     longs that is returned as well, each has its own place among rows of equal
     id and size. Empty tables give no rows.
     """
-    sizes = materialize(sized(docs, seed, row_col))
-    goals = materialize(targets(sizes, weights, share))
-    slot, block = schedule(goals, slots)
+    slot, pieces, block = _laid_out(docs, weights, share, slots, seed, row_col)
     reads = materialize(slot.groupBy("number", "block").agg(
         F.max(F.when(F.col("pass") == 0, F.col("words")).otherwise(0)).alias("once"),
         F.max(F.when(F.col("pass") == 1, F.col("words")).otherwise(0)).alias("twice"),
     ))
-    buckets = max(1, sizes.count() // BUCKET_ROWS)
-    bucket = F.floor(F.col("key") / float(1 << _KEY_BITS) * buckets)
-    numbered = sizes.withColumn("bucket", bucket).join(
-        goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")),
-    ).drop("source", "_source")
-    placed = materialize(_running(numbered, ["number"], "bucket", ["key", "doc_id", "size", "row"], "size", "offset"))
-
-    last = F.floor((F.col("offset") + F.greatest(F.col("size"), F.lit(1)) - 1) / block)
-    pieces = placed.select(
-        "number", "bucket", "place", "row", "doc_id", "size", "source_size", "target", "offset",
-        F.explode(F.sequence(F.floor(F.col("offset") / block), last)).alias("block"),
-    )
 
     begin = F.greatest(F.col("offset") - F.col("block") * block, F.lit(0))
     end = F.least(F.col("offset") + F.col("size") - F.col("block") * block, F.lit(block))

@@ -435,8 +435,55 @@ def test_counts_of_rows(spark, ranks, awkward, nothing):
     assert [(r.doc_id, r.n_chars_after) for r in edits.counts_after_edits(odd, vocabulary()).orderBy("doc_id").collect()] == [(1, 3), (2, 1)]
 
 
+def test_kept_trees_follow_later_edits(spark, ranks, awkward, nothing):
+    texts = {i: t for i, t in enumerate(AWKWARD)} | {90: "some words and others " * 2000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = edits.stored_trees(docs, vocabulary())
+    for r in kept.collect():
+        assert "".join(x.text for x in r.leaves) == (texts[r.doc_id] or "") and r.n_tokens == len(ranks.encode_ordinary(texts[r.doc_id] or ""))
+    rounds = [{90: [(20_001, 20_005, "changed")], 7: [(2, 3, "x y"), (0, 0, " ")], 0: [(0, 0, "new")], 999: [(0, 1, "z")]}, {90: [(0, 9, "")], 15: [None, (4, None, "!")]}]
+    for changes in rounds:
+        given = spark.createDataFrame(list(changes.items()), "doc_id long, edits array<struct<start:int,stop:int,text:string>>")
+        after = edits.edited_trees(kept, given, vocabulary())
+        for i, cs in changes.items():
+            for c in cs if i in texts else []:
+                t, (a, b, new) = texts[i] or "", c or (0, None, "")
+                texts[i] = t[:a] + new + t[(a if b is None else b):]
+        rows = {r.doc_id: r for r in after.collect()}
+        assert set(rows) == set(texts)
+        for i, text in texts.items():
+            assert "".join(x.text for x in rows[i].leaves) == (text or "") and rows[i].n_tokens == len(ranks.encode_ordinary(text or ""))
+            assert rows[i].chars_encoded_again == 0 if i not in changes else rows[i].chars_encoded_again < 4 * edits.LEAF
+        kept = spark.createDataFrame(after.drop("chars_encoded_again").collect(), edits.TREES)
+    assert edits.stored_trees(nothing, vocabulary()).count() == edits.edited_trees(kept.where("false"), given, vocabulary()).count() == 0
+
+
 # mixing
 
+def test_stream_reads_what_the_mix_takes(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 40, 300])) or None, None, rng.choice(["a", "a", "a", "b", "c", None]), 0, "", "", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows + rows[:9], SCHEMA)
+    taken = {}
+    for r in mixing.mix(docs, slots=600).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    stream = mixing.stream(docs, slots=600).collect()
+    read, places = Counter(), {}
+    for r in stream:
+        read[r.doc_id] += r.words
+        places.setdefault(r.position, []).append((r.at, r.words))
+    assert {i: n for i, n in taken.items() if n} == dict(read)
+    for parts in places.values():  # a slot is read without gaps or overlaps
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:]))
+    source = {r[0]: r[3] for r in rows}
+    order = [source[r.doc_id] for r in sorted(stream, key=lambda r: (r.position, r.at)) for _ in range(r.words)]
+    whole = Counter(order)
+    for first in range(0, len(order) - len(order) // 10, len(order) // 10):  # each tenth holds the sources by their share
+        part = Counter(order[first:first + len(order) // 10])
+        assert all(abs(part[s] / (len(order) // 10) - whole[s] / len(order)) < 0.05 for s in whole)
+
+
 def plain_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
