@@ -33,6 +33,8 @@ TOXIC_BYTES = 768
 #: and that at least this share of the toxic texts hold.
 GRAM = 6
 LEAST_SHARE = 0.03
+#: Grams that may pass by chance, all of them together: few texts need more sightings than the share.
+CHANCE = 0.1
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -103,6 +105,17 @@ def _dictionary(size: int, samples: list[bytes], k: int) -> bytes:
     return trained[-size:]
 
 
+def _beyond_chance(toxic: int, ordinary: int, grams: int) -> int:
+    """In how many toxic texts a gram that no ordinary one holds must be, for less than CHANCE of
+    all the grams to get there by chance (Chernoff's bound for half a sighting among the ordinary)."""
+    expected = toxic * 0.5 / (ordinary + 1)
+    least = np.log(max(grams, 1) / CHANCE)
+    n = 1
+    while n <= toxic and (n <= expected or n * np.log(n / expected) - n + expected < least):
+        n += 1
+    return n
+
+
 def _toxic_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """What toxic texts share and ordinary texts never hold, several runs to a sample."""
     known = np.zeros(0, np.uint64)
@@ -115,7 +128,7 @@ def _toxic_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
         at = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
         new.append(known[at] != g if len(known) else np.ones(len(g), bool))
         held.update(np.unique(g[new[-1]]).tolist())
-    least = max(2, int(len(toxic) * LEAST_SHARE))
+    least = max(2, int(len(toxic) * LEAST_SHARE), _beyond_chance(len(toxic), len(ordinary), len(held)))
     common = np.sort(np.array([g for g, n in held.items() if n >= least], np.uint64))
     runs = []
     for text, g, fresh in zip(toxic, grams, new, strict=True):
