@@ -9,7 +9,9 @@ points come from a sketch; they move the range borders, never the result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -154,10 +156,34 @@ def cumulate(
     )
 
 
+def ranked_where(
+    counts: DataFrame, by: Sequence[str], value: str, wanted: Callable[[Column, Column, Column], Column], per_range: int = VALUES_PER_RANGE,
+) -> DataFrame:
+    """Distinct values with ``n_before`` and ``n_total``, only of the ranges that are ``wanted``:
+    a condition on the rows before a range, the rows in it and all rows. Every range is
+    added up, but only the wanted ones are ordered."""
+    by = list(by)
+    ranged = into_ranges(counts, by, value, ["n"], per_range)
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    # at most most_ranges() rows a group
+    sizes = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_held"), F.first("n_total").alias("_all"))
+    chosen = sizes.withColumn("_base", F.coalesce(F.sum("_held").over(earlier), F.lit(0))).where(
+        wanted(F.col("_base"), F.col("_held"), F.col("_all"))
+    )
+    inside = W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    met = ranged.join(F.broadcast(chosen.select(*by, "_range", "_base")), [*by, "_range"])
+    before = F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return met.withColumn("n_before", before).drop("_range", "_base")
+
+
 def quantiles(counts: DataFrame, by: Sequence[str], shares: dict[str, float], value: str = "value") -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group, one column
     per entry of ``shares``, plus ``count``."""
-    ranked = cumulate(counts, by, value, ["n"])
+    def held(before: Column, rows: Column, total: Column) -> Column:
+        places = [p for share in shares.values() for p in (F.floor(F.lit(share) * (total - 1)), F.ceil(F.lit(share) * (total - 1)))]
+        return reduce(or_, [(before <= p) & (p < before + rows) for p in places])
+
+    ranked = ranked_where(counts, by, value, held)
 
     def value_at(index: Column) -> Column:
         here = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
@@ -180,14 +206,25 @@ def quantiles(counts: DataFrame, by: Sequence[str], shares: dict[str, float], va
     )
 
 
-def even_quantiles(counts: DataFrame, by: Sequence[str], points: Column, value: str = "value") -> DataFrame:
+def even_quantiles(
+    counts: DataFrame, by: Sequence[str], points: Column, value: str = "value", per_range: int = VALUES_PER_RANGE,
+) -> DataFrame:
     """``points`` evenly spaced quantiles per group as (by..., point, value).
 
-    Every distinct value emits only the points it answers, so the work grows
-    with the values and the output, not with their product.
+    Ranges between two points are added up and not ordered; every distinct value
+    emits only the points it answers, so the work grows with the values and the
+    output, not with their product.
     """
-    ranked = cumulate(counts, by, value, ["n"]).withColumn("_points", points)
-    step = F.when(F.col("_points") > 1, (F.col("n_total") - 1) / (F.col("_points") - 1)).otherwise(0.0)
+    def spacing(total: Column) -> Column:
+        return F.when(points > 1, (total - 1) / (points - 1)).otherwise(0.0)
+
+    def held(before: Column, rows: Column, total: Column) -> Column:
+        step = spacing(total)
+        first, final = F.ceil((before - 1) / step), F.floor((before + rows) / step)
+        return F.when(step > 0, first <= final).otherwise(before == 0)
+
+    ranked = ranked_where(counts, by, value, held, per_range).withColumn("_points", points)
+    step = spacing(F.col("n_total"))
     last = F.col("_points") - 1
     first = F.when(step > 0, F.floor((F.col("n_before") - 1) / step)).otherwise(0)
     final = F.when(step > 0, F.ceil((F.col("n_before") + F.col("n")) / step)).otherwise(last)

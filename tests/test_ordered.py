@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.operators import correlate, divergence
+from hushframe.operators import correlate, divergence, ordered
 from hushframe.operators.ordered import cumulate, even_quantiles, quantiles, value_counts
 from hushframe.operators.pairs import side_counts
 
@@ -119,3 +119,24 @@ def test_divergences_are_metrics(spark):
     assert found["same"]["kl_divergence"] == found["same"]["tvd"] == found["same"]["js_distance"] == 0
     assert found["apart"]["tvd"] == found["apart"]["js_distance"] == found["apart"]["hellinger_distance"] == 1
     assert found["apart"]["kl_divergence"] == pytest.approx(math.log(1e10), abs=1e-6)
+
+
+@pytest.mark.parametrize("points, per_range", [(2, 3), (7, 3), (40, 5), (1, 3), (300, 50_000)])
+def test_even_quantiles_order_only_the_ranges_they_need(spark, points, per_range):
+    rng = random.Random(points)
+    rows = [("a", round(rng.gauss(0, 9), 1)) for _ in range(900)] + [("b", float(i % 4)) for i in range(50)] + [("c", 1.5)]
+    counts = ordered.value_counts(spark.createDataFrame(rows, "column string, value double"), ["column"])
+    got = {}
+    for r in ordered.even_quantiles(counts, ["column"], F.lit(points), per_range=per_range).collect():
+        got.setdefault(r["column"], {})[r["point"]] = r["value"]
+    for column in "abc":
+        known = [v for c, v in rows if c == column]
+        want = np.quantile(known, np.arange(points) / max(points - 1, 1)) if points > 1 else [min(known)]
+        if len(known) > 1 or points == 1:
+            assert [got[column][k] for k in range(points)] == pytest.approx(list(want), abs=1e-9)
+
+def test_unwanted_ranges_are_not_ordered(spark):
+    counts = spark.range(1000).select(F.lit("c").alias("column"), F.col("id").cast("double").alias("value"), F.lit(1).alias("n"))
+    some = ordered.ranked_where(counts, ["column"], "value", lambda before, rows, total: (before <= 500) & (500 < before + rows), per_range=50).collect()
+    assert 0 < len(some) < 400 and {r.n_before: r.value for r in some}[500] == 500.0
+    assert all(r.n_before == r.value for r in some)
