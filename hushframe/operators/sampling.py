@@ -245,7 +245,7 @@ def select_per_group(
 def _finite(score: str) -> Column:
     value = F.col(score).cast("double")
     sound = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    return F.when(sound, value).otherwise(F.raise_error(F.lit("a score is not a finite number")).cast("double"))
+    return F.when(sound, value).otherwise(F.raise_error(F.lit("a score is not a number or not finite")).cast("double"))
 
 
 def _at_least_two(candidates: Column) -> Column:
