@@ -33,6 +33,12 @@ def data_files(spark: SparkSession, path: str) -> DataFrame:
     return listing.select(F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified"))
 
 
+def _as_listed(path: Column, encoded: bool = True) -> Column:
+    """A path as the lister spells it: readers escape signs, and both differ in leading slashes."""
+    plain = F.url_decode(F.regexp_replace(path, r"\+", "%2B")) if encoded else path
+    return F.regexp_replace(plain, "^file:/+", "/")
+
+
 def _row(kind: str, **values: Column) -> Column:
     names = [part.split() for part in SCHEMA.split(", ")][3:]
     given = {"kind": F.lit(kind), **values}
@@ -97,14 +103,13 @@ def update(spark: SparkSession, path: str, folder: str) -> tuple[DataFrame, int]
     fresh = [tuple(r) for r in files.join(stored.where(F.col("kind") == FILE).select(*key), key, "left_anti").collect()]
     for start in range(0, len(fresh), FILES_AT_ONCE):
         part = fresh[start:start + FILES_AT_ONCE]
-        table = spark.read.parquet(*[f for f, _, _ in part])
+        table = spark.read.option("basePath", path).parquet(*[f for f, _, _ in part])
         listed = spark.createDataFrame(part, "file string, length bigint, modified timestamp")
-        named = table.withColumn("_file", table.metadataColumn("_metadata")["file_path"])
-        sums = _sums(named)
-        # the reader's and the lister's spelling of a path differ in their slashes
-        plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-        # at most FILES_AT_ONCE rows are broadcast
-        sums.join(F.broadcast(listed), plain(F.col("_file")) == plain(F.col("file"))).select(*[p.split()[0] for p in SCHEMA.split(", ")]).write.mode("append").parquet(folder)
+        sums = _sums(table.withColumn("_file", _as_listed(table.metadataColumn("_metadata")["file_path"])))
+        # at most FILES_AT_ONCE rows are listed; a file without rows is kept as such
+        met = F.broadcast(listed).join(sums, _as_listed(F.col("file"), False) == F.col("_file"), "left")
+        empty = {"kind": F.coalesce("kind", F.lit(FILE)), "n": F.when(F.col("kind").isNull(), F.lit(0)).otherwise(F.col("n"))}
+        met.withColumns(empty).select(*[p.split()[0] for p in SCHEMA.split(", ")]).write.mode("append").parquet(folder)
     current = spark.read.schema(SCHEMA).parquet(folder) if known or fresh else stored
     return current.join(files, key, "left_semi"), len(fresh)
 

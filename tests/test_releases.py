@@ -57,6 +57,17 @@ def test_an_appended_file_is_read_alone(spark):
     assert (days["count"], days.min_date, days.max_date) == (day["count"], day.min_date, day.max_date)
 
 
+def test_files_of_any_name_and_empty_ones(spark):
+    path, kept = f"{folder(spark)}/a b%20c+d", folder(spark)
+    lines(spark, 0, 40).withColumn("part", F.concat(F.lit("p q"), F.col("id") % 2)).write.partitionBy("part").parquet(path)
+    lines(spark, 0, 0).coalesce(1).write.parquet(f"{path}/part=none")
+    merged, read = partials.update(spark, path, kept)
+    counts = {r["column"]: r["count"] for r in partials.numbers(merged).collect()}
+    assert read >= 3 and counts["id"] == 40
+    assert {r["column"]: r.cardinality for r in partials.categories(merged).collect()} == {"label": 4, "part": 2}
+    assert partials.update(spark, path, kept)[1] == 0
+
+
 def test_a_removed_file_drops_out(spark):
     path, kept = folder(spark), folder(spark)
     lines(spark, 0, 50).coalesce(1).write.parquet(f"{path}/a=1")
