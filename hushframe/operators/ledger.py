@@ -191,7 +191,7 @@ EXACT = "decimal(28,18)"
 _SUMS = ("k", "se", "me", "sd", "md")
 #: Stretches admitted in bulk: places from ``start`` up to before ``until``, of the
 #: requests that could still fit with the sums held then.
-SPANS = f"array<struct<start:bigint,until:bigint,k:bigint,se:{EXACT},me:double,sd:{EXACT}>>"
+SPANS = f"array<struct<start:bigint,until:bigint,k:bigint,se:{EXACT},me:double,sd:{EXACT},slack:boolean>>"
 
 
 def admit(
@@ -211,9 +211,10 @@ def admit(
     every request, scans that part for the first misfit, and admits all before
     it; the next ``chunk`` requests are then folded one by one. Composed epsilon
     never falls, so a request larger than what is left is refused for good and
-    drops out of the next round: rounds follow the refusals that leave room for
-    others, not the requests. What a round leaves behind is a few numbers per
-    dataset.
+    drops out of the next round; so does one whose delta leaves no room for the slack of
+    advanced composition, once no order of the waiting requests can do without it. Rounds
+    follow the refusals that leave room for others, not the requests. What a round
+    leaves behind is a few numbers per dataset.
 
     A request is known by (dataset, query_id); a repeated pair is an error.
     Costs are summed as decimals with 18 places. A null ts comes first.
@@ -240,7 +241,7 @@ def admit(
     none = F.lit(None).cast("double")
     states = materialize(limits.withColumns({
         "k": F.lit(0).cast("bigint"), "se": F.lit(0).cast(EXACT), "me": F.lit(0.0), "sd": none.cast(EXACT), "md": none,
-        "done": F.lit(-1).cast("bigint"), "spans": F.array().cast(SPANS),
+        "done": F.lit(-1).cast("bigint"), "slack": F.lit(False), "spans": F.array().cast(SPANS),
     }))
     taken, in_bulk = None, False
     while True:
@@ -259,7 +260,7 @@ def admit(
     in_span = F.exists(
         "spans",
         lambda s: (F.col("_at") >= s["start"]) & (F.col("_at") < s["until"])
-        & _may_fit(s["k"], s["se"], s["me"], s["sd"], method, delta_prime),
+        & _may_fit(s["k"], s["se"], s["me"], s["sd"], s["slack"], method, delta_prime),
     )
     marked = placed.join(spans, "dataset")
     accepted = in_span
@@ -278,15 +279,39 @@ def _plus(total: Column, cost: Column) -> Column:
 
 
 def _may_fit(
-    k: Column, se: Column, me: Column, sd: Column, method: str, delta_prime: float
+    k: Column, se: Column, me: Column, sd: Column, slack: Column, method: str, delta_prime: float
 ) -> Column:
     """Whether a request could still be admitted, now or after others. Both
     sums only grow, so what fails here is refused for good."""
     epsilon, delta = F.col("epsilon"), F.col("delta")
-    cost = _plus(se, epsilon).cast("double")
+    cost, spent = _plus(se, epsilon).cast("double"), _plus(sd, delta).cast("double")
     if method == ADVANCED:
         cost = F.least(cost, advanced_epsilon(k + 1, F.greatest(me, epsilon), delta_prime))
-    return fits(cost, _plus(sd, delta).cast("double"), F.col("total_epsilon"), F.col("total_delta"))
+        spent = F.when(slack, F.coalesce(spent, F.lit(0.0)) + delta_prime).otherwise(spent)
+    return fits(cost, spent, F.col("total_epsilon"), F.col("total_delta"))
+
+
+def _bounds() -> list[Column]:
+    """What ``_slack`` asks of the requests that wait."""
+    return [F.min("epsilon").alias("_least"), F.max("epsilon").alias("_most"), F.count(F.lit(1)).alias("_n")]
+
+
+def _slack(k: Column, se: Column, me: Column, method: str, delta_prime: float) -> Column:
+    """Whether the tighter epsilon, and with it ``delta_prime``, is taken at every request
+    to come, whichever of the waiting ones are admitted.
+
+    After j more of them the plain sum is at least se + j * least, the tighter epsilon at most
+    that of k + j requests of the largest epsilon, of those admitted too. Their distance is concave in j.
+    """
+    if method != ADVANCED:
+        return F.lit(False)
+    least, most = F.col("_least"), F.greatest(F.col("_most"), me)
+    slope = least - most * (F.exp(most) - 1)
+    turn = F.pow(F.try_divide(most * math.sqrt(2 * math.log(1 / delta_prime)), 2 * slope), 2)
+    last = k + F.col("_n")
+    at = F.when(slope > 0, F.greatest(F.least(turn, last), k + 1)).otherwise(last)
+    gain = advanced_epsilon(at, most, delta_prime) * (1 + 1e-9) - (at - k) * least
+    return F.coalesce(gain < se.cast("double") * (1 - 1e-9), F.lit(False))
 
 
 def _waiting(queue: DataFrame, states: DataFrame, method: str, delta_prime: float) -> DataFrame:
@@ -294,7 +319,7 @@ def _waiting(queue: DataFrame, states: DataFrame, method: str, delta_prime: floa
     the first that fits right now. A refusal changes nothing, so all before it are refused."""
     sums = [F.col(c) for c in _SUMS]
     pending = queue.join(states.drop("spans"), "dataset").where(
-        (F.col("_at") > F.col("done")) & _may_fit(*sums[:4], method, delta_prime)
+        (F.col("_at") > F.col("done")) & _may_fit(*sums[:4], F.col("slack"), method, delta_prime)
     )
     k, se, me, sd, md = sums
     eps, delta = F.col("epsilon"), F.col("delta")
@@ -368,16 +393,17 @@ def _admit_in_bulk(waiting: DataFrame, states: DataFrame, method: str, delta_pri
     stops = materialize(misfits.groupBy("dataset").agg(F.min("_at").alias("stop")))
     admitted = rows.join(stops, "dataset", "left").where("stop is null or _at < stop").drop("stop")
     gained = _merged(admitted, ["dataset"]).withColumnsRenamed({c: f"new_{c}" for c in _SUMS})
-    starts = rows.groupBy("dataset").agg(F.first("start").alias("start"))
+    starts = rows.groupBy("dataset").agg(F.first("start").alias("start"), *_bounds())
     joined = states.join(starts, "dataset", "left").join(gained, "dataset", "left").join(stops, "dataset", "left")
     total = _joined({c: F.col(c) for c in _SUMS}, {c: F.col(f"new_{c}") for c in _SUMS})
     until = F.coalesce("stop", F.lit((1 << 63) - 1))
     moved = F.col("start").isNotNull()
-    span = F.struct("start", until.alias("until"), "k", "se", "me", "sd")
+    span = F.struct("start", until.alias("until"), "k", "se", "me", "sd", "slack")
     return joined.select(
         "dataset", "total_epsilon", "total_delta",
         *[F.when(moved, total[c]).otherwise(F.col(c)).alias(c) for c in _SUMS],
         F.when(moved, until).otherwise(F.col("done")).alias("done"),
+        (F.col("slack") | _slack(total["k"], total["se"], total["me"], method, delta_prime)).alias("slack"),
         F.when(moved, F.concat("spans", F.array(span).cast(SPANS))).otherwise(F.col("spans")).alias("spans"),
     )
 
@@ -417,14 +443,17 @@ def _fold(waiting: DataFrame, states: DataFrame, method: str, delta_prime: float
         moved = F.struct(*[v.alias(c) for c, v in after.items()], taken.alias("taken")).cast(kind)
         return F.when(ok, moved).otherwise(state)
 
-    decided = states.join(queues, "dataset", "left").withColumn(
+    bounds = waiting.groupBy("dataset").agg(*_bounds())
+    decided = states.join(queues, "dataset", "left").join(bounds, "dataset", "left").withColumn(
         "_end", F.when(F.col("queue").isNotNull(), F.aggregate("queue", start.cast(kind), step))
     )
     moved = F.col("_end").isNotNull()
+    held = {c: F.when(moved, F.col("_end")[c]).otherwise(F.col(c)) for c in _SUMS}
     return decided.select(
         "dataset", "total_epsilon", "total_delta",
-        *[F.when(moved, F.col("_end")[c]).otherwise(F.col(c)).alias(c) for c in _SUMS],
+        *[held[c].alias(c) for c in _SUMS],
         F.when(moved, F.element_at("queue", -1)["_at"]).otherwise(F.col("done")).alias("done"),
+        (F.col("slack") | _slack(held["k"], held["se"], held["me"], method, delta_prime)).alias("slack"),
         "spans",
         F.coalesce(F.col("_end")["taken"], F.array().cast("array<bigint>")).alias("taken"),
     )

@@ -100,6 +100,25 @@ def test_one_moment_of_many_requests_takes_few_rounds(spark, monkeypatch, method
     assert len(rounds) <= 3
 
 
+def test_requests_without_room_for_the_slack_drop_out(spark, monkeypatch):
+    """Every third request has a delta that fits the total only where plain composition is
+    taken: once it no longer can be, those requests are refused for good."""
+    import datetime
+
+    rounds = []
+    fold = ledger._fold
+    monkeypatch.setattr(ledger, "_fold", lambda *a: rounds.append(1) or fold(*a))
+    start = datetime.datetime(2024, 1, 1)
+    requests = [(f"{i:05d}", "x", (i % 5 + 1.01) / 1000, 1e-9 if i % 3 == 0 else None, start + datetime.timedelta(seconds=i // 4))
+                for i in range(3000)]
+    frame = spark.createDataFrame(requests, "query_id string, dataset string, epsilon double, delta double, ts timestamp")
+    limits = {"x": (1.5, 1e-7)}
+    totals = spark.createDataFrame([("x", *limits["x"])], "dataset string, total_epsilon double, total_delta double")
+    found = {r["query_id"]: r["admitted"] for r in ledger.admit(frame, totals, "advanced", chunk=200).collect()}
+    assert found == plain("advanced", requests, limits)
+    assert len(rounds) <= 8
+
+
 def test_tenths_add_up_in_order(spark):
     import datetime
 
