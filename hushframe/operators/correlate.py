@@ -17,6 +17,8 @@ from hushframe.session import materialize
 
 # a value held by more than one row in HOT_SHARE is looked up from the plan
 HOT_SHARE = 500
+#: Distinct values of a column whose ranks are looked up from a broadcast table.
+FEW_VALUES = 50_000
 
 
 #: Up to so many columns each row emits its pairs; beyond, matrix products are cheaper.
@@ -170,29 +172,36 @@ def side_of(pairs: DataFrame, side: str) -> DataFrame:
 def column_ranks(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The columns of ``df`` replaced by the average ranks of their known values.
 
-    All columns are ranked together: one value count, one cumulation, one lookup of
-    cells and one regrouping by row, whatever the number of columns.
+    All columns are ranked together by one value count and one cumulation. The ranks of a
+    column of few distinct values are looked up in a broadcast table; only a column of
+    more deals the rows by its value, one shuffle of the rows for each.
     """
     values = [present(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]
-    rows = materialize(df.select(*values).withColumn("_row", F.monotonically_increasing_id()))
-    cells = rows.select("_row", F.inline(F.array(*[
+    rows = df.select(*values)
+    cells = rows.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("column"), F.col(f"c{i}").alias("value")) for i in range(len(names))
     ]))).where("value is not null")
     counts = materialize(cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     ranks = materialize(average_ranks(counts, ["column"]))
-    # at most HOT_SHARE values of a column are hot; their cells are answered from a broadcast
-    # table and carry keys that match nothing through the shuffled join
-    totals = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.sum("n").alias("n")).collect()}
-    least = F.element_at(F.create_map(*[F.lit(x) for i in range(len(names)) for x in (i, totals.get(i, 0) // HOT_SHARE)]), F.col("column"))
-    hot = ranks.where(F.col("n") > least).select("column", "value", F.col("rank").alias("_hot"))
-    cold = ranks.where(F.col("n") <= least).select("column", "value", F.col("rank").alias("_cold"), F.lit(0).cast("bigint").alias("_slot"))
-    known = cells.join(F.broadcast(hot), ["column", "value"], "left")
-    spread = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64("_row"), F.lit(1 << 20))).otherwise(F.lit(0).cast("bigint"))
-    ranked = known.withColumn("_slot", spread).join(cold, ["column", "value", "_slot"], "left")
-    rank = F.coalesce("_hot", "_cold")
-    return ranked.groupBy("_row").agg(*[
-        F.max(F.when(F.col("column") == i, rank)).alias(c) for i, c in enumerate(names)
-    ]).drop("_row")
+    sizes = {r["column"]: r for r in counts.groupBy("column").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()}
+    many = [i for i in range(len(names)) if i in sizes and sizes[i]["distinct"] > FEW_VALUES]
+    for i in [i for i in range(len(names)) if i not in many] + many:
+        value, rank = f"c{i}", f"r{i}"
+        mine = ranks.where(F.col("column") == i).select(F.col("value").alias(value), F.col("rank").alias(rank), "n")
+        if i not in many:
+            rows = rows.join(F.broadcast(mine.drop("n")), value, "left").drop(value)
+            continue
+        # at most HOT_SHARE values are hot: their rows are answered from a broadcast table, and those and
+        # rows without a value carry keys that match nothing through the shuffled join
+        least, off = sizes[i]["n"] // HOT_SHARE, F.lit(0).cast("bigint")
+        hot = mine.where(F.col("n") > least).select(value, F.col(rank).alias("_hot"))
+        cold = mine.where(F.col("n") <= least).select(value, rank, off.alias("_slot"))
+        others = [c for c in rows.columns if c != value]
+        spread = 1 + F.pmod(F.xxhash64(*others), F.lit(1 << 20))
+        known = rows.join(F.broadcast(hot), value, "left")
+        slot = F.when(F.col("_hot").isNotNull() | F.col(value).isNull(), spread).otherwise(off)
+        rows = known.withColumn("_slot", slot).join(cold, [value, "_slot"], "left").select(*others, F.coalesce("_hot", rank).alias(rank))
+    return rows.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(names)])
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -207,7 +216,9 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return _spearman_pair(df, *names)
     known = df.agg(*[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
     sizes = {c: known[i] for i, c in enumerate(names)}
-    whole = materialize(pearson(column_ranks(df, names), names))
+    ranked = materialize(column_ranks(df, names))
+    # ranks are finite, so a matrix product of them is safe; a row emits no pairs
+    whole = materialize(_pearson_by_matrix(ranked, names))
     gaps = [(r["column1"], r["column2"]) for r in whole.collect() if not r["n"] == sizes[r["column1"]] == sizes[r["column2"]]]
     if not gaps:
         return whole

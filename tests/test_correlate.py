@@ -64,6 +64,21 @@ def test_spearman(spark, gaps):
             assert same(r.correlation, pearson(ranks([x for x, _ in pairs]), ranks([y for _, y in pairs])))
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_ranks_of_columns_with_few_and_many_values(spark, monkeypatch, few):
+    monkeypatch.setattr(correlate, "FEW_VALUES", few)
+    monkeypatch.setattr(correlate, "HOT_SHARE", 5)  # hot and other values in one column
+    monkeypatch.setattr(correlate, "_pearson_by_pair", None)  # rows of ranks emit no pairs
+    df, rows = table_of(spark, 4, gaps=False)
+    held = sorted(tuple(r) for r in correlate.column_ranks(df.repartition(3), NAMES).collect())
+    assert held == sorted(zip(*[ranks([r[i] for r in rows]) for i in range(len(NAMES))]))
+    for r in correlate.spearman(df, NAMES).collect():
+        pairs = complete(rows, NAMES.index(r.column1), NAMES.index(r.column2))
+        assert r.n == len(pairs) and same(r.correlation, pearson(*map(ranks, zip(*pairs))))
+    gapped, rows = table_of(spark, 4)
+    assert correlate.column_ranks(gapped, NAMES).where("gap is null").count() == sum(r[2] is None for r in rows)
+
+
 @pytest.mark.parametrize("points, ranges", [(250_000, 128), (60, 5), (20, 3)])
 def test_kendall(spark, monkeypatch, points, ranges):
     monkeypatch.setattr(correlate, "POINTS", points)
