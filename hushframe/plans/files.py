@@ -202,14 +202,26 @@ SQL["compare_release_empty"] = """SELECT 'o_totalprice' AS "column", 'numeric' A
 UNION ALL SELECT 'o_orderpriority', 'categorical', count(*), 0, NULL, NULL, NULL FROM orders"""
 
 
+#: Rows of a file of the growing table, about: what one task writes does not grow with the table.
+ROWS_PER_FILE = 2_000_000
+_LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
 def _growing(spark, sf):
-    """lineitem as a table of two files, profiled, then of three: (partials of all, files read again)."""
+    """lineitem as a table of two files, profiled, then of three, of more where three would
+    hold over ROWS_PER_FILE rows each: (partials of all, files read again).
+
+    Every line is in one file. The last file is appended after the first update, so the
+    second one reads that file alone."""
     lines = lineitem_with_gaps(spark, sf)
     base = f"{scratch_folder(spark)}/growing-{uuid.uuid4().hex}"
     path, folder = f"{base}/table", f"{base}/partials"
-    lines.where("l_orderkey % 3 < 2").repartition(2, "l_partkey").write.parquet(path)
+    files = max(3, -(-lines.count() // ROWS_PER_FILE))
+    last = F.pmod(F.xxhash64(*_LINE_KEY), F.lit(files)) == files - 1
+    # other keys than the ones that deal the last file: the hashes of one list would go together
+    lines.where(~last).repartition(files - 1, "l_partkey", "l_orderkey", "l_linenumber").write.parquet(path)
     partials.update(spark, path, folder)
-    lines.where("l_orderkey % 3 = 2").coalesce(1).write.mode("append").parquet(path)
+    lines.where(last).repartition(1).write.mode("append").parquet(path)
     return partials.update(spark, path, folder)
 
 

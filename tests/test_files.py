@@ -62,3 +62,14 @@ def test_name_rules(spark, name, level):
 def test_rule_counts():
     assert catalog.NameRules().counts() == {"high": 71, "medium": 50, "low": 33}
     assert catalog.NameRules(low=(("x", "y"),)).counts()["low"] == 34
+
+
+def test_files_of_the_growing_table_are_bounded(spark, sf_dir, monkeypatch):
+    from hushframe.plans import files
+
+    monkeypatch.setattr(files, "ROWS_PER_FILE", 1000)
+    merged, read = files._growing(spark, sf_dir)
+    held = [r["n"] for r in merged.where("kind = 'file'").collect()]
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert read == 1 and sum(held) == rows
+    assert len(held) == -(-rows // 1000) and max(held) < 2000
