@@ -12,6 +12,7 @@ from hushframe.operators.pairs import (
 )
 from hushframe.operators.profile import top_per_column, whole_days
 from hushframe.operators.selection import quantile_table
+from hushframe.session import materialize
 
 
 def _side_quantiles(paired: DataFrame, columns: Sequence[str], shares: dict[str, float]) -> tuple[DataFrame, DataFrame]:
@@ -295,8 +296,17 @@ def compare_dataset(
     dates: Sequence[str] | None = None,
     correlations: bool = True,
 ) -> DataFrame:
-    """The table-level summary: one row."""
+    """The table-level summary: one row.
+
+    Errors, quantiles and correlations of either side all pass over the pairs, so the
+    compared columns are written once: noise is drawn and rows are matched a single time.
+    """
     numeric = side_columns(paired, "numeric") if numeric is None else list(numeric)
+    categorical = side_columns(paired, "categorical") if categorical is None else list(categorical)
+    dates = side_columns(paired, "date") if dates is None else list(dates)
+    kept = list(dict.fromkeys([*numeric, *categorical, *dates]))
+    if kept:
+        paired = materialize(paired.select(*[F.struct(*[F.col(side)[c].alias(c) for c in kept]).alias(side) for side in ("orig", "prot")]))
     columns = compare_columns(paired, numeric, categorical, dates)
     is_number = (F.col("kind") == "numeric") & (F.col("count") > 0)
     summary = columns.agg(

@@ -129,3 +129,22 @@ def test_intermediate_tables_are_deleted_on_demand(spark):
     session._written[:] = [path]  # the other tests' tables stay
     assert session.clean_up(spark) == 1 and not writers.path_exists(spark, path) and session.clean_up(spark) == 0
     session._written[:] = held[:-1]
+
+
+def test_dataset_comparison_makes_its_pairs_once(spark):
+    from pyspark.sql import functions as F
+
+    from hushframe.operators import compare
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x: int) -> float:
+        made.add(1)
+        return x / 7
+
+    noise = F.udf(count, "double").asNondeterministic()
+    drawn = spark.range(50).select("id", noise("id").alias("z"))
+    sides = lambda z: F.struct(F.col("id").cast("double").alias("a"), z.alias("b"))
+    paired = drawn.select(sides(F.col("id") % 5 + 0.0).alias("orig"), sides(F.col("z")).alias("prot"))
+    row = compare.compare_dataset(paired).first()
+    assert (row["row_count"], row["numeric_columns"], made.value) == (50, 2, 50)
