@@ -23,7 +23,7 @@ LEAST_ESTIMATE = 0.56
 #: two bits each; those below 5.5 of its standard errors under 0.75 are not confirmed.
 LONG_HASHES = 2048
 LEAST_LONG_ESTIMATE = 0.687
-#: Documents whose ids are sent to the scan of the texts; more are joined by a shuffle.
+#: Documents whose ids are sent to the scan of the texts or signatures; more are joined by a shuffle.
 SENT_IDS = 1_000_000
 
 _A = (random_words(LONG_HASHES, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -134,7 +134,8 @@ def estimate(left: str, right: str, hashes: int = HASHES, n: int = 1) -> Column:
 
 
 def long_bits(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(row, long): two bits of LONG_HASHES minima of the rows named."""
+    """(row, long): two bits of LONG_HASHES minima of the rows named. The first
+    HASHES / 64 longs are those of ``signature``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = [low_bits(minima(own, LONG_HASHES), 2).tolist() for _, data, ends in text_runs(batch, "text") for own in shingle_sets(data, ends)]
@@ -200,7 +201,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(signed(texts))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     classes = materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("leader"), first.alias("first")))
-    leaders = materialize(rows.select("row", "bits", "bands").join(classes.select(F.col("leader").alias("row")), "row"))
+    # signatures stay where they are: ids of the copies come to them
+    copies = materialize(rows.where("digest is not null").select("row").join(classes.select(F.col("leader").alias("row")), "row", "left_anti"))
+    few = copies.count() <= SENT_IDS
+    leaders = rows.where("digest is not null").select("row", "bits", "bands").join(F.broadcast(copies) if few else copies, "row", "left_anti")
+    leaders = leaders if few else materialize(leaders)
     keyed = leaders.select("row", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keyed.join(shared, "key"))
@@ -231,13 +236,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).withColumn("component", F.coalesce("component", "row"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ = materialize(placed.join(mixed, "key"))
-    undecided = open_.join(long_bits(texts, open_.select("row").distinct()), "row").join(leaders, "row")
-    sides = [
-        undecided.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("row", "component", "bits", "long", "bands")]) for side in "ab"
-    ]
-    near = (estimate("bits_a", "bits_b") >= LEAST_ESTIMATE) & (estimate("long_a", "long_b", LONG_HASHES, 2) >= LEAST_LONG_ESTIMATE)
-    # a pair that shares several keys is met at the first of them
-    once = F.col("key") == F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0))
+    own = materialize(open_.groupBy("row").agg(F.collect_list("key").alias("keys")))
+    undecided = open_.join(long_bits(texts, own.select("row")).join(own, "row"), "row")
+    sides = [undecided.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("row", "component", "long", "keys")]) for side in "ab"]
+    # the first longs of the long bits are the bits
+    near = (estimate("long_a", "long_b") >= LEAST_ESTIMATE) & (estimate("long_a", "long_b", LONG_HASHES, 2) >= LEAST_LONG_ESTIMATE)
+    # a pair that shares several keys, all of them open, is met at the least of them
+    once = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
     met = sides[0].join(sides[1], "key").where(
         (F.col("row_a") < F.col("row_b")) & (F.col("component_a") != F.col("component_b")) & near & once,
     ).select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()

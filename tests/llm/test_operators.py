@@ -262,6 +262,38 @@ def test_near_duplicates_by_shuffled_ids(spark, monkeypatch):
     assert sorted(minhash.near_duplicates(table(spark, texts).repartition(7)).collect()) == want
 
 
+def test_signatures_are_written_once_and_their_bands_meet_no_pair(spark, monkeypatch, capsys):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = []
+    for k in range(40):  # many pairs on either side of the threshold, and copies of each text
+        words = list(base)
+        for _ in range(k % 4):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(words)] * 2
+    written, plans, write = [], [], minhash.materialize
+
+    def recorded(df):
+        written.append(df.columns)
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return write(df)
+
+    monkeypatch.setattr(minhash, "materialize", recorded)
+    got = {r.doc_id: r for r in minhash.near_duplicates(table(spark, texts)).collect()}
+    assert [c for c in written if "bands" in c] == [["row", "doc_id", "n_shingles", "digest", "bits", "bands"]]
+    assert any("keys_a" in p for p in plans) and not any("bands_a" in p for p in plans)
+    want = plain_components(plain_sets(texts))
+    assert {i: (r.component_id, r.kept) for i, r in got.items()} == {i: (want[i], want[i] == i) for i in got}
+
+
+def test_long_bits_begin_with_the_bits_of_the_signature(spark):
+    texts = ["a b c d e f g", " ".join(f"v{i * i % 997}" for i in range(4000)), "one"]
+    docs = table(spark, texts).select(F.col("doc_id").alias("row"), "doc_id", "text")
+    long = {r.row: r.long for r in minhash.long_bits(docs, docs.select("row")).collect()}
+    assert {r.row: r.bits for r in minhash.signed(docs).collect()} == {k: v[:minhash.HASHES // 64] for k, v in long.items()}
+
+
 def test_near_duplicates_of_awkward_rows(spark, awkward, nothing):
     got = minhash.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
